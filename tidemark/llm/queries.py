@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, warc
+from . import media, mixing, simhash, substring, warc
 
 QUERIES = {
+    "op2_media": media.op2_media,
+    "op4_simhash": simhash.op4_simhash,
+    "op6_substring": substring.op6_substring,
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
 }
 
-SQL = {"op9_warc": warc.OP9_SQL}
+SQL = {"op2_media": media.OP2_SQL, "op9_warc": warc.OP9_SQL}
