@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import media, mixing, simhash, substring, warc
+from . import licenses, media, mixing, simhash, substring, toxicity, warc
 
 QUERIES = {
     "op2_media": media.op2_media,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_simhash": simhash.op4_simhash,
     "op6_substring": substring.op6_substring,
+    "op8_license_scan": licenses.op8_license_scan,
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
 }
