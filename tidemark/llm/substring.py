@@ -241,26 +241,34 @@ def _with(docs: DataFrame, per_doc: DataFrame, how: str) -> DataFrame:
     return docs.join(r, docs["doc_id"].eqNullSafe(r["r_doc"]) & (docs["tag"] == r["r_tag"]), how).drop("r_doc", "r_tag")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256, kept``, one row per row of ``docs``."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...] = ("doc_id",), rewrite: bool = False) -> DataFrame:
+    """The columns ``keep``, ``n_words, n_removed, kept_sha256, kept``, one row per row of ``docs``.
+
+    ``kept`` has one space between words; with ``rewrite`` a text of which nothing
+    is removed stays as it is (null stays null).
+    """
     spans = repeated_spans(docs, length).groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     spans = written(spans, "spans")
     release(docs.sparkSession)
+    schema, k = docs.select(*keep).schema, len(keep)
 
     def run(batches):
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                rows = [cut_words(t.as_py(), [(s["start"], s["stop"]) for s in p.as_py() or ()]) for t, p in zip(part.column(1), part.column(2), strict=True)]
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                texts = [x.as_py() for x in part.column(k)]
+                rows = [cut_words(t, [(s["start"], s["stop"]) for s in p.as_py() or ()]) for t, p in zip(texts, part.column(k + 1), strict=True)]
                 sha = [hashlib.sha256(x[2].encode("utf-8", "surrogatepass")).hexdigest() for x in rows]
+                kept = [t if rewrite and not x[1] else x[2] for t, x in zip(texts, rows, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array(sha, pa.string()), pa.array([x[2] for x in rows], pa.string())],
-                    names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
+                    [*part.columns[:k], pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())],
+                    names=[*keep, "n_words", "n_removed", "kept_sha256", "kept"],
                 )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = _with(keyed(docs), spans, "left").select("doc_id", "text", "spans")
-    return found.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
+    columns = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text", *[F.col(c).alias(f"__{i}") for i, c in enumerate(keep)])
+    found = _with(columns, spans, "left").select(*[f"__{i}" for i in range(k)], "text", "spans")
+    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema)
+    return found.mapInArrow(run, f"{ddl}n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
