@@ -1,0 +1,356 @@
+"""Offsets between two streams of moments.
+
+``ref`` and ``sub`` are long tables (keys, t).  The pieces are relational: a band
+join gives differences, a histogram with a range frame their density, unions with
+``last``/``first`` the nearest neighbour either way, prefix sums the best cut.
+The whole fit, whose cuts are found one after another, runs per pair in a grouped
+function over sorted arrays; a pair is one video and one cue file, so groups are
+small whatever the number of pairs.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def unique_starts(cues: DataFrame, keys: list[str], start: str = "t", tol: float = 0.15) -> DataFrame:
+    """Per group the starts to 3 places, each more than ``tol`` after the last one kept."""
+    zero = F.lit(None).cast("array<double>")
+    xs = F.array_sort(F.collect_set(F.bround(F.col(start).cast("double"), 3)))
+    step = lambda kept, x: F.when(kept.isNull(), F.array(x)).when(x - F.element_at(kept, -1) > tol, F.concat(kept, F.array(x))).otherwise(kept)
+    return cues.groupBy(*keys).agg(xs.alias("xs")).select(*keys, F.coalesce(F.aggregate("xs", zero, step), F.array().cast("array<double>")).alias("starts"))
+
+
+def differences(ref: DataFrame, sub: DataFrame, keys: list[str], window: float = 120.0) -> DataFrame:
+    """``keys, r, a, d``: all pairs of moments within the window, by a bucketed band join."""
+    cell = lambda t: F.floor(F.col(t) / window).cast("long")
+    r = ref.select(*keys, F.col("t").alias("r"), F.explode(F.sequence(cell("t") - 1, cell("t") + 1)).alias("cell"))
+    a = sub.select(*keys, F.col("t").alias("a"), cell("t").alias("cell"))
+    return r.join(a, [*keys, "cell"]).where(F.abs(F.col("r") - F.col("a")) <= window).select(*keys, "r", "a", (F.col("r") - F.col("a")).alias("d"))
+
+
+def offset_histogram(diffs: DataFrame, keys: list[str], window: float = 120.0, bin_s: float = 0.01, half: int = 35) -> DataFrame:
+    """``keys, bin, n, smooth``: counts of differences and their sum over neighbouring bins."""
+    b = F.floor((F.col("d") + window) / bin_s).cast("long")
+    h = diffs.groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n"))
+    return h.withColumn("smooth", F.sum("n").over(Window.partitionBy(*keys).orderBy("bin").rangeBetween(-half, half)))
+
+
+def nearest_hits(ref: DataFrame, sub: DataFrame, keys: list[str], offset: Column | float = 0.0, tol: float = 0.35) -> DataFrame:
+    """``keys, t, hit``: whether a moment, moved by the offset, has another within ``tol``.
+
+    As-of join in both directions by one union and two frames; no pair is formed.
+    """
+    o = F.lit(offset) if isinstance(offset, (int, float)) else offset
+    both = ref.select(*keys, "t", (F.col("t") - o).alias("at"), F.lit(1).alias("side")).unionByName(
+        sub.select(*keys, F.lit(None).cast("double").alias("t"), F.col("t").alias("at"), F.lit(0).alias("side"))
+    )
+    w = Window.partitionBy(*keys).orderBy("at", "side")
+    theirs = F.when(F.col("side") == 0, F.col("at"))
+    before = F.last(theirs, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first(theirs, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    near = both.withColumn("b", before).withColumn("n", after).where("side = 1")
+    hit = (F.coalesce(F.col("at") - F.col("b"), F.lit(1e300)) <= tol) | (F.coalesce(F.col("n") - F.col("at"), F.lit(1e300)) <= tol)
+    return near.select(*keys, "t", hit.alias("hit"))
+
+
+def match_rate(hits: DataFrame, keys: list[str]) -> DataFrame:
+    return hits.groupBy(*keys).agg(F.avg(F.col("hit").cast("double")).alias("rate"), F.count("*").alias("n"))
+
+
+def best_cut(hits: DataFrame, keys: list[str], min_cues: int = 12) -> DataFrame:
+    """The one place that splits a stream best between two offsets, by prefix sums.
+
+    ``hits``: keys, i (from 0), cand, hit.  Result: k (moments before the cut), the
+    candidates of head and tail and their hits; none where no two differ.
+    """
+    w = Window.partitionBy(*keys, "cand").orderBy("i")
+    p = hits.withColumn("head", F.sum(F.col("hit").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    p = p.withColumn("all", F.sum(F.col("hit").cast("long")).over(Window.partitionBy(*keys, "cand"))).withColumn("n", F.count("*").over(Window.partitionBy(*keys, "cand")))
+    p = p.select(*keys, (F.col("i") + 1).alias("k"), "cand", "head", (F.col("all") - F.col("head")).alias("tail"), "n")
+    p = p.where((F.col("k") >= min_cues) & (F.col("k") <= F.col("n") - min_cues))
+    per = p.groupBy(*keys, "k").agg(
+        F.max_by(F.struct("cand", "head"), F.struct("head", -F.col("cand"))).alias("h"), F.max_by(F.struct("cand", "tail"), F.struct("tail", -F.col("cand"))).alias("t")
+    )
+    per = per.where("h.cand <> t.cand").withColumn("total", F.col("h.head") + F.col("t.tail"))
+    best = per.groupBy(*keys).agg(F.max_by(F.struct("k", "total", F.col("h.cand").alias("first"), F.col("t.cand").alias("second")), F.struct("total", -F.col("k"))).alias("b"))
+    return best.select(*keys, "b.*")
+
+
+def bucket_walk(hits: DataFrame, keys: list[str], width: float = 120.0, min_cues: int = 8) -> DataFrame:
+    """Hit rate per bucket of the running time; null where a bucket has too few moments."""
+    g = hits.groupBy(*keys, (F.floor(F.col("t") / width) * width).alias("t0")).agg(F.count("*").alias("n"), F.avg(F.col("hit").cast("double")).alias("rate"))
+    return g.withColumn("rate", F.when(F.col("n") >= min_cues, F.col("rate")))
+
+
+def boundaries(segments: Column) -> Column:
+    """(at, before, after) on the cue axis of array<struct<split,offset>>; only the last split may be null."""
+    pairs = F.arrays_zip(F.slice(segments, F.lit(1), F.greatest(F.size(segments) - 1, F.lit(0))).alias("a"), F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 1, F.lit(0))).alias("b"))
+    return F.transform(pairs, lambda p: F.struct((p["a"]["split"] - p["a"]["offset"]).alias("at"), p["a"]["offset"].alias("before"), p["b"]["offset"].alias("after")))
+
+
+def map_time(seconds: Column, segments: Column) -> Column:
+    """A moment on the video's axis: the last boundary not after it decides the offset."""
+    first = F.element_at(segments, 1)["offset"]
+    return seconds + F.aggregate(boundaries(segments), first, lambda o, b: F.when(seconds >= b["at"], b["after"]).otherwise(o))
+
+
+def offset_at(seconds: Column, segments: Column) -> Column:
+    """The offset that holds at a moment of the reference: the first split after it."""
+    later = F.filter(segments, lambda s: s["split"].isNull() | (seconds < s["split"]))
+    return F.coalesce(F.get(later, F.lit(0))["offset"], F.element_at(segments, -1)["offset"])
+
+
+def removed_spans(segments: Column) -> Column:
+    """[lo, hi) spans of the cue axis that a backward jump leaves without a place."""
+    back = F.filter(boundaries(segments), lambda b: b["after"] < b["before"])
+    return F.transform(back, lambda b: F.struct(b["at"].alias("lo"), (b["at"] + b["before"] - b["after"]).alias("hi")))
+
+
+def is_removed(seconds: Column, segments: Column) -> Column:
+    return F.exists(removed_spans(segments), lambda s: (s["lo"] <= seconds) & (seconds < s["hi"]))
+
+
+def snap(offset: Column, within: float = 0.015) -> Column:
+    return F.when(F.abs(offset) <= within, 0.0).otherwise(offset)
+
+
+def overlap_join(ref: DataFrame, sub: DataFrame, keys: list[str], cell_s: float = 60.0) -> DataFrame:
+    """``keys, r0, r1, p0, p1, share``: overlapping lines with overlap by union; both have start, end."""
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell_s).cast("long"), F.floor(F.greatest(a, b) / cell_s).cast("long")))
+    r = ref.select(*keys, F.col("start").alias("r0"), F.col("end").alias("r1"), cells("start", "end").alias("cell"))
+    s = sub.select(*keys, F.col("start").alias("p0"), F.col("end").alias("p1"), cells("start", "end").alias("cell"))
+    both = r.join(s, [*keys, "cell"]).where((F.col("r0") < F.col("p1")) & (F.col("p0") < F.col("r1")))
+    # a pair counts in the first cell that both touch
+    both = both.where(F.col("cell") == F.floor(F.greatest("r0", "p0") / cell_s))
+    share = (F.least("r1", "p1") - F.greatest("r0", "p0")) / (F.greatest("r1", "p1") - F.least("r0", "p0"))
+    return both.select(*keys, "r0", "r1", "p0", "p1", share.alias("share"))
+
+
+def unchecked_runs(ref: DataFrame, sub: DataFrame, keys: list[str], far: float = 120.0) -> DataFrame:
+    """Runs of moments of ``sub`` whose nearest reference is farther than ``far``: lo, hi, lines."""
+    lines = nearest_hits(sub, ref, keys, 0.0, far)
+    w = Window.partitionBy(*keys).orderBy("t")
+    alone = (~F.col("hit")).cast("int")
+    f = lines.withColumn("new", F.when(~F.col("hit") & F.coalesce(F.lag("hit").over(w), F.lit(True)), 1).otherwise(0)).withColumn("alone", alone)
+    f = f.withColumn("run", F.sum("new").over(w)).where("alone = 1")
+    return f.groupBy(*keys, "run").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("lines")).drop("run")
+
+
+@dataclass(frozen=True)
+class Settings:
+    """Thresholds of the fit; the test tables have other time scales, so all can be set."""
+
+    tol: float = 0.35
+    window: float = 120.0
+    bin: float = 0.01
+    global_peaks: int = 6
+    bucket_peaks: int = 2
+    bucket: float = 120.0
+    separation: float = 0.5
+    refine_passes: int = 3
+    min_cues: int = 12
+    min_bucket_cues: int = 8
+    min_break: float = 1.0
+    max_break: float = 60.0
+    min_gain: float = 0.02
+    min_margin: float = 0.35
+    min_excess: float = 2.5
+    tie_slack: float = 1.0
+    refine_window: float = 0.6
+    refine_step: float = 0.01
+    local_window: float = 15.0
+    rate_slack: float = 0.15
+    max_drift: float = 0.75
+    noise_z: float = 4.0
+
+
+class Fitter:
+    """One pair: R, the reference's moments, and A, the subtitle's, both sorted."""
+
+    def __init__(self, ref, sub, duration=None, settings: Settings = Settings()):
+        self.R, self.A, self.s = np.asarray(ref, float), np.asarray(sub, float), settings
+        own = float(self.A[-1] - self.A[0]) if len(self.A) else 0.0
+        span = max(float(duration), own) if duration else own
+        self.chance = min(1.0, 2 * settings.tol * len(self.A) / span) if span > 0 else 1.0
+
+    def hits(self, offset: float, at=slice(None)) -> np.ndarray:
+        x = self.R[at] - offset
+        k = np.searchsorted(self.A, x)
+        edge = np.r_[-np.inf, self.A, np.inf]
+        return np.minimum(x - edge[k], edge[k + 1] - x) <= self.s.tol
+
+    def peaks(self, d: np.ndarray, most: int) -> list[float]:
+        """Centres of the densest plateaus of differences, each clear of the ones before."""
+        s = self.s
+        bins = int(2 * s.window / s.bin) + 1
+        at = ((d + s.window) / s.bin).astype(np.int64)
+        counts = np.bincount(at[(at >= 0) & (at < bins)], minlength=bins)
+        half = (int(round(2 * s.tol / s.bin)) | 1) // 2
+        total = np.r_[np.zeros(half + 1), np.cumsum(counts), np.full(half, counts.sum())]
+        dense = total[2 * half + 1 :] - total[: bins]
+        clear, out = max(1, int(s.separation / s.bin)), []
+        while len(out) < most and dense.max(initial=0) > 0:
+            first = last = int(dense.argmax())
+            while last + 1 < bins and dense[last + 1] == dense[first]:
+                last += 1
+            offset = ((first + last) // 2) * s.bin - s.window
+            if (last - first) * s.bin < s.tol:
+                for _ in range(s.refine_passes):
+                    near = d[np.abs(d - offset) <= s.tol]
+                    if not len(near):
+                        break
+                    offset = float(np.median(near))
+            out.append(offset)
+            dense[max(0, first - clear) : last + clear + 1] = 0
+        return out
+
+    def candidates(self) -> list[float]:
+        s, R, A = self.s, self.R, self.A
+        lo, hi = np.searchsorted(A, R - s.window, "left"), np.searchsorted(A, R + s.window, "right")
+        who = np.repeat(np.arange(len(R)), hi - lo)
+        first = np.repeat(lo - np.r_[0, np.cumsum(hi - lo)[:-1]], hi - lo) if len(R) else lo
+        d = R[who] - A[first + np.arange(len(who))] if len(who) else np.zeros(0)
+        if not len(d):
+            return []
+        found = self.peaks(d, s.global_peaks)
+        bucket = (R // s.bucket).astype(np.int64)[who]
+        for b in np.unique(bucket[bucket >= 0]):
+            part = d[bucket == b]
+            if len(part) >= s.min_cues:
+                for o in self.peaks(part, s.bucket_peaks):
+                    if all(abs(o - c) > s.separation for c in found):
+                        found.append(o)
+        return found
+
+    def cut(self, a: int, b: int):
+        """(moments before, head's and tail's candidate) of the best cut of [a, b), or None."""
+        m, least = b - a, self.s.min_cues
+        if m < 2 * least:
+            return None
+        head = np.cumsum(self.H[:, a:b], axis=1)
+        k = np.arange(least, m - least + 1)
+        left, right = head[:, k - 1], head[:, -1:] - head[:, k - 1]
+        p, q = left.argmax(0), right.argmax(0)
+        total = np.where(p == q, -1.0, left.max(0) + right.max(0))
+        j = int(total.argmax())
+        return None if total[j] < 0 else (a + int(k[j]), int(p[j]), int(q[j]))
+
+    def worth(self, cuts: list[int], labels: list[int]) -> float | None:
+        """Overall rate of a division whose every part and cut earns its place, else None."""
+        s, parts = self.s, list(zip(cuts, cuts[1:], strict=False))
+        rate = [self.H[c, a:b].mean() for c, (a, b) in zip(labels, parts, strict=True)]
+        if min(rate) < s.min_excess * self.chance:
+            return None
+        for i in range(len(parts) - 1):
+            if not s.min_break <= abs(self.offsets[labels[i + 1]] - self.offsets[labels[i]]) <= s.max_break:
+                return None
+            size = [b - a for a, b in parts[i : i + 2]]
+            mine = i if size[0] <= size[1] else i + 1
+            other = 2 * i + 1 - mine
+            a, b = parts[mine]
+            if self.H[labels[mine], a:b].mean() - self.H[labels[other], a:b].mean() < s.min_margin:
+                return None
+        return sum(r * (b - a) for r, (a, b) in zip(rate, parts, strict=True)) / len(self.R)
+
+    def refine(self, offset: float, a: int, b: int) -> float:
+        s = self.s
+        grid = np.arange(offset - s.refine_window, offset + s.refine_window + s.refine_step, s.refine_step)
+        rate = np.array([self.hits(o, slice(a, b)).mean() for o in grid])
+        top = np.flatnonzero(rate >= rate.max() - 1e-12)
+        return float(grid[top[0]] + grid[top[-1]]) / 2 if rate.max() > 0 else offset
+
+    def ties(self, a: int, b: int, p: int, q: int) -> np.ndarray:
+        """Places of a cut that are as good up to the slack."""
+        least = self.s.min_cues
+        if b - a < 2 * least:
+            return np.array([a + (b - a) // 2])
+        head, tail = np.r_[0, np.cumsum(self.H[p, a:b])], np.r_[0, np.cumsum(self.H[q, a:b])]
+        k = np.arange(least, b - a - least + 1)
+        total = head[k] + tail[-1] - tail[k]
+        return a + k[total >= total.max() - self.s.tie_slack - 1e-9]
+
+    def walk(self, cuts: list[int], labels: list[int]) -> list[dict]:
+        """Per bucket the rate of the offset in force and of the best one near it."""
+        s, rows = self.s, []
+        applied = np.repeat(labels, np.diff(cuts))
+        bucket = (self.R // s.bucket).astype(np.int64)
+        for b in range(int(bucket.max(initial=-1)) + 1):
+            at = np.flatnonzero(bucket == b)
+            row = {"t0": b * s.bucket, "n": len(at), "applied": None, "wanted": None, "rate": None, "fails": False, "centre": None}
+            rows.append(row)
+            if len(at) < s.min_bucket_cues:
+                continue
+            row["applied"] = float(self.H[applied[at], at].mean())
+            row["centre"] = centre = float(np.median(self.offsets[applied[at]]))
+            near = np.flatnonzero(np.abs(self.offsets - centre) <= s.local_window)
+            if len(near):
+                rate = self.H[near][:, at].mean(1)
+                best = int(rate.argmax())
+                row["wanted"], row["rate"] = float(self.offsets[near[best]]), float(rate[best])
+                spread = np.sqrt(max(self.chance * (1 - self.chance), 0) / len(at))
+                floor = min(1.0, self.chance + s.noise_z * spread) if self.chance > 0 else 1.0
+                row["fails"] = bool(row["rate"] - row["applied"] > s.rate_slack and abs(row["wanted"] - centre) > s.max_drift and row["rate"] > floor)
+        return rows
+
+    def fit(self, max_segments: int | None = None) -> dict:
+        found = self.candidates() if len(self.R) and len(self.A) else []
+        out = {"segments": [{"split": None, "offset": 0.0}], "score": 0.0, "chance": self.chance, "single_offset": 0.0, "single_rate": 0.0, "buckets": [], "gaps": [], "candidates": found, "n_ref": len(self.R), "n_sub": len(self.A)}
+        if not found:
+            return out
+        n, self.offsets = len(self.R), np.array(found)
+        self.H = np.array([self.hits(o) for o in found], float)
+        best = int(self.H.sum(1).argmax())
+        cuts, labels, score = [0, n], [best], float(self.H[best].mean())
+        out["single_offset"], out["single_rate"] = found[best], score
+        while max_segments is None or len(labels) < max_segments:
+            trials = []
+            for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if c := self.cut(a, b):
+                    t = ([*cuts[: i + 1], c[0], *cuts[i + 1 :]], [*labels[:i], *c[1:], *labels[i + 1 :]])
+                    w = self.worth(*t)
+                    if w is not None and w - score >= self.s.min_gain:
+                        trials.append((w, -i, t))
+            if not trials:
+                break
+            score, _, (cuts, labels) = max(trials)
+        parts = list(zip(cuts, cuts[1:], strict=False))
+        fine = [self.refine(found[c], a, b) for c, (a, b) in zip(labels, parts, strict=True)]
+        segments, gaps = [], []
+        for i, o in enumerate(fine[:-1]):
+            k = self.ties(cuts[i], cuts[i + 2], labels[i], labels[i + 1])
+            k = k[(k > 0) & (k < n)]
+            if not len(k):
+                k = np.array([min(max(cuts[i + 1], 0), n - 1)])
+            gaps.append({"lo": float(self.R[k[0]]), "hi": float(self.R[k[-1]])})
+            segments.append({"split": float(self.R[k[0]]), "offset": o})
+        segments.append({"split": None, "offset": fine[-1]})
+        return out | {"segments": segments, "score": score, "gaps": gaps, "buckets": self.walk(cuts, labels)}
+
+
+FIT = (
+    "segments array<struct<split:double,offset:double>>, score double, chance double, single_offset double, single_rate double, "
+    "buckets array<struct<t0:double,n:int,applied:double,wanted:double,rate:double,fails:boolean,centre:double>>, "
+    "gaps array<struct<lo:double,hi:double>>, candidates array<double>, n_ref int, n_sub int"
+)
+
+
+def fit_pairs(pairs: DataFrame, settings: Settings = Settings(), max_segments: int | None = None) -> DataFrame:
+    """Fit every row of (pair_id, ref array<double>, sub array<double>, duration double)."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for p, r, a, d in zip(pdf["pair_id"], pdf["ref"], pdf["sub"], pdf["duration"], strict=True):
+                d = None if d is None or pd.isna(d) else float(d)
+                rows.append({"pair_id": p} | Fitter(r, a, d, settings).fit(max_segments))
+            yield pd.DataFrame(rows)
+
+    kind = pairs.schema["pair_id"].dataType.simpleString()
+    cols = pairs.select("pair_id", "ref", "sub", F.col("duration").cast("double").alias("duration"))
+    return cols.mapInPandas(run, f"pair_id {kind}, {FIT}")

@@ -1,4 +1,13 @@
 """Queries over the provided tables, one per operator, with equal SQL."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from . import catalog_align, catalog_names, catalog_pairs
+
+QUERIES = {**catalog_align.QUERIES, **catalog_pairs.QUERIES, **catalog_names.QUERIES}
+SQL = {**catalog_align.SQL, **catalog_pairs.SQL, **catalog_names.SQL}
+
+
+def flagship(spark, sf_dir):
+    """Fits and verdicts of all pairs of streams."""
+    return catalog_align.fit_and_judge(spark, sf_dir)
