@@ -120,7 +120,7 @@ def links(fps: DataFrame, bits: int = MAX_BITS, dense: int = DENSE) -> DataFrame
     struck = [sum(1 << i for i in c) for c in combinations(range(64), bits)]
     masks = [m - (1 << 64) if (m := ~s & ((1 << 64) - 1)) >= 1 << 63 else m for s in struck]
     array = F.array(*[F.lit(m).cast("long") for m in masks])
-    wide = crowd.select("fp", F.posexplode(array).alias("slot", "mask")).select("fp", "slot", F.col("fp").bitwiseAND("mask").alias("value"))
+    wide = crowd.select("fp", F.posexplode(array).alias("slot", "mask")).select("fp", "slot", F.col("fp").bitwiseAND(F.col("mask")).alias("value"))
     if crowd.isEmpty():
         return found
     star = wide.groupBy("slot", "value").agg(F.min("fp").alias("least"))
