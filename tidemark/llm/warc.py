@@ -44,15 +44,18 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFr
     return keys.join(first, ["digest", "bytes"]).where("page_id < refers_to or (page_id is null and refers_to is not null)")
 
 
-def records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """``page_id, record``: the text of each page's record up to its end mark."""
-    revisits = plan_records(pages, min_bytes).select(
-        F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest"), F.col("bytes").alias("r_bytes"), "refers_to"
-    ).distinct()
+def records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, files: int | None = None) -> DataFrame:
+    """The text of each page's record up to its end mark, as ``page_id, value``; dealt to ``files`` partitions."""
+    # one key of page and digest: pages are dealt by it once, for the join and for the files
+    key = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "digest").alias("key")
+    revisits = plan_records(pages, min_bytes).select(key.alias("r_key"), "refers_to").distinct()
     url = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\x00-\x20]", "") if "url" in pages.columns else F.lit("")
     html = F.coalesce(F.col("html"), F.lit(""))
     p = pages.select("page_id", url.alias("url"), html.alias("html"), F.sha1(F.encode(html, "utf-8")).alias("digest"), F.octet_length(html).alias("bytes"))
-    p = p.join(revisits, p["page_id"].eqNullSafe(revisits["r_page"]) & (p["digest"] == revisits["r_digest"]) & (p["bytes"] == revisits["r_bytes"]), "left")
+    p = p.withColumn("key", key)
+    if files:
+        p = p.repartition(files, "key")
+    p = p.join(revisits, p["key"] == revisits["r_key"], "left")
     again = F.col("refers_to").isNotNull()
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(NEXT))
@@ -84,9 +87,7 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
     """Write gzip archives of about ``archive_bytes`` each (before gzip)."""
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     files = max(1, -(-total // archive_bytes))
-    # dealt by a salt beside the id, so that no id fills one archive
-    dealt = pages.repartition(int(files), F.xxhash64("page_id", "url")) if "url" in pages.columns else pages.repartition(int(files), "page_id")
-    records(dealt, min_bytes).select("value").write.option("lineSep", NEXT).option("compression", "gzip").text(path)
+    records(pages, min_bytes, int(files)).select("value").write.option("lineSep", NEXT).option("compression", "gzip").text(path)
     return path
 
 
