@@ -54,15 +54,17 @@ def fingerprint(text: str | None, words: int = WORDS, block: int = 1 << 16) -> i
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id, fp``; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = WORDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and ``fp``; fp is the fingerprint as a signed long."""
+    schema, k = docs.select(*keep).schema, len(keep)
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(x.as_py(), words) for x in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(x.as_py(), words) for x in b.column(k)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(fp)], names=[*keep, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema)
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{ddl}fp long")
 
 
 def segments(bits: int, width: int = 64) -> list[tuple[int, int]]:
