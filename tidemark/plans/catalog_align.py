@@ -97,7 +97,7 @@ def best_single_cut(spark, d):
             "pair_id", (F.row_number().over(Window.partitionBy("pair_id").orderBy("t")) - 1).alias("i"), F.lit(c).alias("cand"), "hit"
         )
         hit = h if hit is None else hit.union(h)
-    return align.best_cut(hit, K)
+    return align.best_cut(hit, K).withColumn("k", F.col("k").cast("long"))
 
 
 SEGMENTS = "array(struct(double(1800) as split, 1.5D as offset), struct(double(3600) as split, -8.25D as offset), struct(cast(null as double) as split, 4.0D as offset))"
