@@ -75,6 +75,29 @@ def _hash(bits: int, tables: int):
     return run
 
 
+def spanning(near: np.ndarray, left: list[int], right: list[int], same: bool) -> list[tuple[int, int]]:
+    """Edges that span the links of a block: each vector is visited once, its row of links looked at once."""
+    if same:
+        near = near | near.T
+    sides = [(near, left, right), (near.T, right, left)]
+    new = [np.ones(len(left), bool)] * 2 if same else [np.ones(len(left), bool), np.ones(len(right), bool)]
+    out = []
+    for start in np.flatnonzero(near.any(1)).tolist():
+        if not new[0][start]:
+            continue
+        new[0][start] = False
+        todo = [(0, start)]
+        while todo:
+            side, i = todo.pop()
+            links, own, other = sides[side]
+            far = 0 if same else 1 - side
+            for k in np.flatnonzero(links[i] & new[far]).tolist():
+                new[far][k] = False
+                out.append((own[i], other[k]))
+                todo.append((far, k))
+    return out
+
+
 def _compare(threshold: float):
     """(rows of links, rows of edges) between two blocks of a bucket, or within one."""
 
@@ -85,7 +108,7 @@ def _compare(threshold: float):
         a = pdf if same else pdf[pdf["block"] == pdf["i"]]
         b = pdf if same else pdf[pdf["block"] == pdf["j"]]
         links: dict = {}
-        edges = []
+        edges: list = []
         if len(a) and len(b):
             xa, xb = unit(np.stack(a["embedding"].to_numpy()).astype(np.float64)), unit(np.stack(b["embedding"].to_numpy()).astype(np.float64))
             ra, rb = a["rep"].to_numpy(), b["rep"].to_numpy()
@@ -107,21 +130,7 @@ def _compare(threshold: float):
             for r, n in (*zip(ra, na, strict=True), *zip(rb, nb, strict=True)):
                 if n:
                     links[int(r)] = links.get(int(r), 0) + int(n)
-            root: dict = {}
-
-            def find(x):
-                while root.setdefault(x, x) != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            # one edge per vector that joins another set, not one per pair
-            for x in np.unique(p).tolist():
-                for y in q[p == x].tolist():
-                    u, v = find(int(ra[x])), find(int(rb[y]))
-                    if u != v:
-                        root[max(u, v)] = min(u, v)
-                        edges.append((max(u, v), min(u, v)))
+            edges = [(max(u, v), min(u, v)) for u, v in spanning(near, ra.tolist(), ra.tolist() if same else rb.tolist(), same)]
         return pd.DataFrame([(r, n, None) for r, n in links.items()] + [(u, None, v) for u, v in edges], columns=["rep", "links", "other"]).astype("Int64")
 
     return run
