@@ -98,6 +98,18 @@ def alias_bridge(spark, d):
     return pairing.bridge(pairs, alias, 8)
 
 
+@query("""WITH a AS (SELECT DISTINCT l_partkey % 300 AS key, l_suppkey % 40 AS entity FROM lineitem),
+k AS (SELECT * FROM a WHERE key IN (SELECT key FROM a GROUP BY key HAVING count(*) <= 64)),
+p AS (SELECT DISTINCT o_orderkey % 300 AS a, o_custkey % 300 AS b FROM orders),
+f AS (SELECT p.a, p.b, min(x.entity) AS entity FROM p JOIN k x ON x.key = p.a JOIN k y ON y.key = p.b AND y.entity = x.entity GROUP BY 1, 2)
+SELECT p.a, p.b, f.entity FROM p LEFT JOIN f ON f.a = p.a AND f.b = p.b""")
+def alias_bridge_whole(spark, d):
+    """alias_bridge over all lineitem rows, with the operator's own limit of entities."""
+    alias = table(spark, d, "lineitem").select((F.col("l_partkey") % 300).alias("key"), (F.col("l_suppkey") % 40).alias("entity"))
+    pairs = table(spark, d, "orders").select((F.col("o_orderkey") % 300).alias("a"), (F.col("o_custkey") % 300).alias("b")).distinct()
+    return pairing.bridge(pairs, alias)
+
+
 GRAMS = """
 t AS (SELECT p_partkey AS id, p_name || ' ' || p_brand AS name FROM part),
 g AS (SELECT id, list_distinct(list_transform(range(1, length(name)), lambda i: substr(name, i, 2))) AS grams FROM t),
