@@ -173,6 +173,24 @@ def cluster_coherence(spark, d):
     return agreement.coherence(o, ["g"])
 
 
+ALL_OFFSETS = """
+o AS (SELECT l_suppkey % 50 AS g, ((l_partkey * 37) % 4000)::DOUBLE AS offset_ms FROM lineitem)"""
+
+
+@query(f"""WITH {ALL_OFFSETS},
+n AS (SELECT g, offset_ms AS o, count(*) OVER w AS n, min(offset_ms) OVER w AS below FROM o WINDOW w AS (PARTITION BY g ORDER BY offset_ms RANGE BETWEEN 500 PRECEDING AND 500 FOLLOWING)),
+b AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, o) AS rk, count(*) OVER (PARTITION BY g) AS size FROM n),
+t AS (SELECT g, n, below, size FROM b WHERE rk = 1),
+r AS (SELECT g, offset_ms, row_number() OVER (PARTITION BY g ORDER BY offset_ms) AS i FROM o),
+f AS (SELECT t.g, t.n, t.size, min(r.i) AS lo FROM t JOIN r ON t.g = r.g AND r.offset_ms >= t.below GROUP BY 1, 2, 3)
+SELECT f.g, f.size, f.n::DOUBLE / f.size AS coherence, r.offset_ms AS centre, f.size >= 3 AND f.n::DOUBLE / f.size >= 6e-1 AS coheres
+FROM f JOIN r ON f.g = r.g AND r.i = f.lo + f.n // 2""")
+def cluster_coherence_whole(spark, d):
+    """cluster_coherence over all lineitem rows."""
+    o = table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("g"), ((F.col("l_partkey") * 37) % 4000).cast("double").alias("offset_ms"))
+    return agreement.coherence(o, ["g"])
+
+
 FITS = """
 f AS (SELECT o_orderkey AS id, (o_orderkey % 100) / 100e0 AS score, (o_orderkey % 7 + 1) / 20e0 AS chance, o_orderkey % 60 AS n_ref, o_orderkey % 45 AS n_sub,
              CASE WHEN o_orderkey % 9 = 0 THEN 1 ELSE 0 END AS failing, o_orderkey % 4 AS usable, o_orderkey % 5 = 0 AS coheres, o_orderkey % 2 = 0 AS agrees FROM orders)"""

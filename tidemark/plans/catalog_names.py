@@ -175,6 +175,18 @@ def parser_vote(spark, d):
     return names.vote(v.select("id", F.col("e").cast("double").alias("episode")), ["id"])
 
 
+@query("""WITH v AS (SELECT l_orderkey * 10 + l_linenumber AS id, unnest([l_partkey % 3, l_suppkey % 3, l_linenumber % 3])::DOUBLE AS episode FROM lineitem),
+n AS (SELECT id, episode, count(*) AS n FROM v GROUP BY 1, 2),
+g AS (SELECT id, sum(n) AS all_n, count(*) AS kinds, arg_max(episode, n * 10 - episode) AS top, max(n) AS tn FROM n GROUP BY id),
+s AS (SELECT *, CASE WHEN all_n = 1 THEN 'sole' WHEN kinds = 1 THEN 'agree' WHEN tn >= 2 AND tn > all_n - tn THEN 'majority' ELSE 'disagree' END AS state FROM g)
+SELECT id, state, CASE WHEN state <> 'disagree' THEN top END AS episode FROM s""")
+def parser_vote_whole(spark, d):
+    """parser_vote on each line of an order, not on its first only."""
+    x = table(spark, d, "lineitem")
+    v = x.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.explode(F.array(F.col("l_partkey") % 3, F.col("l_suppkey") % 3, (F.col("l_linenumber") % 3).cast("long"))).alias("e"))
+    return names.vote(v.select("id", F.col("e").cast("double").alias("episode")), ["id"])
+
+
 @query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name || ' v2x' END AS title, p_partkey % 2 = 0 AS polluted FROM part""")
 def decoration_strip(spark, d):
     k = F.col("p_partkey")

@@ -172,6 +172,45 @@ def film_pairing(spark, d):
     return pairing.pair_films(v, s)
 
 
+#: As FILMS, with folders and keys that grow with the tables.
+ALL_FILMS = """
+fv AS (SELECT '/films/' || (o_orderkey * 7 // 10) || '/f' || o_orderkey || '.mkv' AS path, 'k' || (o_orderkey // 3) AS key,
+         CASE WHEN o_orderkey % 3 <> 0 THEN 1990 + o_orderkey % 7 END AS year, CASE WHEN o_orderkey % 5 = 0 THEN 'extended' WHEN o_orderkey % 7 = 0 THEN 'theatrical' END AS edition,
+         5000e0 + o_orderkey % 900 AS seconds FROM orders),
+fs AS (SELECT '/films/' || (p_partkey * 5) || CASE WHEN p_partkey % 4 = 0 THEN '/subs' ELSE '' END || '/s' || p_partkey || '.srt' AS path, 'k' || (p_partkey * 2) AS key,
+         CASE WHEN p_partkey % 4 <> 0 THEN 1990 + p_partkey % 7 END AS year, CASE WHEN p_partkey % 6 = 0 THEN 'extended' END AS edition,
+         4800e0 + p_partkey * 11 % 2500 AS seconds FROM part)"""
+
+
+@query(f"""WITH {ALL_FILMS},
+v AS (SELECT path AS video, key AS vk, year AS vy, edition AS ve, seconds AS vs, regexp_extract(path, '^(.*)/[^/]*$', 1) AS vd FROM fv),
+s AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM fs),
+o AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY vd) AS n FROM v) WHERE n = 1),
+c AS (SELECT s.*, v.*, 1 AS rung FROM s JOIN v ON s.key = v.vk AND s.year IS NOT DISTINCT FROM v.vy
+ UNION ALL SELECT s.*, v.*, 2 FROM s JOIN v ON s.key = v.vk AND (s.year IS NULL) <> (v.vy IS NULL)
+ UNION ALL SELECT s.*, o.* EXCLUDE (n), 3 FROM s JOIN o ON s.dir = o.vd
+ UNION ALL SELECT s.*, o.* EXCLUDE (n), 3 FROM s JOIN o ON regexp_extract(s.dir, '^(.*)/[^/]*$', 1) = o.vd WHERE s.dir NOT IN (SELECT vd FROM v)),
+k AS (SELECT * FROM c WHERE NOT coalesce(edition <> ve, false) AND NOT (seconds > vs * 125e-2 AND seconds - vs > 120e0)),
+b AS (SELECT *, min(rung) OVER (PARTITION BY path) AS top FROM k)
+SELECT path AS subtitle, video, rung,
+  CASE WHEN dir = vd THEN 1e0 WHEN starts_with(dir, vd || '/') OR starts_with(vd, dir || '/') THEN 7e-1
+       WHEN regexp_extract(dir, '^(.*)/[^/]*$', 1) = regexp_extract(vd, '^(.*)/[^/]*$', 1) THEN 5e-1 ELSE 2e-1 END AS proximity,
+  abs(vs - seconds) AS gap FROM b WHERE rung = top""")
+def film_pairing_whole(spark, d):
+    """film_pairing over all orders."""
+    k, p, text = F.col("o_orderkey"), F.col("p_partkey"), lambda c: c.cast("long").cast("string")
+    v = table(spark, d, "orders").select(
+        F.concat(F.lit("/films/"), text(F.floor(k * 7 / 10)), F.lit("/f"), text(k), F.lit(".mkv")).alias("path"), F.concat(F.lit("k"), text(F.floor(k / 3))).alias("key"),
+        F.when(k % 3 != 0, 1990 + k % 7).alias("year"), F.when(k % 5 == 0, "extended").when(k % 7 == 0, "theatrical").alias("edition"), (5000.0 + k % 900).alias("seconds"),
+    )
+    s = table(spark, d, "part").select(
+        F.concat(F.lit("/films/"), text(p * 5), F.when(p % 4 == 0, "/subs").otherwise(""), F.lit("/s"), text(p), F.lit(".srt")).alias("path"),
+        F.concat(F.lit("k"), text(p * 2)).alias("key"), F.when(p % 4 != 0, 1990 + p % 7).alias("year"), F.when(p % 6 == 0, "extended").alias("edition"),
+        (4800.0 + p * 11 % 2500).alias("seconds"),
+    )
+    return pairing.pair_films(v, s)
+
+
 @query(f"""WITH {VIDEOS},
 r(root, side) AS (VALUES ('/lib', 'video'), ('/lib/show 1', 'subtitle'), ('/lib/show 2/s1', 'subtitle'))
 SELECT path, arg_max(side, length(root)) AS side FROM videos JOIN r ON starts_with(path, root || '/') GROUP BY path""")
@@ -271,6 +310,14 @@ def claim_collisions(spark, d):
     return ranking.resolve_claims(p)
 
 
+@query("""WITH p AS (SELECT l_orderkey % 500 AS video, l_partkey AS subtitle, min(l_orderkey * 10 + l_linenumber) AS seq FROM lineitem GROUP BY 1, 2)
+SELECT seq, video, subtitle, count(*) OVER (PARTITION BY subtitle) > 1 AS refused FROM p""")
+def claim_collisions_whole(spark, d):
+    """claim_collisions over all lineitem rows."""
+    p = table(spark, d, "lineitem").select((F.col("l_orderkey") % 500).alias("video"), F.col("l_partkey").alias("subtitle"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return ranking.resolve_claims(p)
+
+
 @query("""WITH e AS (SELECT l_orderkey % 800 AS g, l_suppkey % 10 AS item, count(*) AS e FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2),
 p AS (SELECT l_orderkey % 800 AS g, l_suppkey % 10 AS item, count(*) AS p FROM lineitem WHERE l_linenumber = 2 GROUP BY 1, 2),
 b AS (SELECT coalesce(e.g, p.g) AS g, coalesce(e, 0) AS e, coalesce(p, 0) AS p FROM e FULL JOIN p ON e.g = p.g AND e.item = p.item)
