@@ -65,7 +65,7 @@ def title_similarity(spark, d):
 @query("""WITH t AS (SELECT doc_id, substr(text, 1, 400) AS s FROM documents)
 SELECT doc_id, CASE WHEN regexp_matches(s, '[A-Za-z]') THEN 'latin' ELSE 'other' END AS script FROM t""")
 def script_class(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.script_of(F.substring("text", 1, 400)).alias("script"))
+    return table(spark, d, "documents").select("doc_id", text.script_of(F.col("text")).alias("script"))
 
 
 @query("""WITH s AS (SELECT doc_id, text AS s FROM documents)
