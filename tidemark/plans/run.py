@@ -6,6 +6,9 @@
 ``references``: video path, starts array<double>, duration.  ``files``: read cue
 files (sources.formats).  Two steps look at all pairs at once, and are the only
 shuffles that can't be merged: clusters before verdicts, ownership after plans.
+
+Left out, though the operators are there: films (pair_films), the absolute fallback,
+numbering shifts, the alias bridge, kana ranking (best_titles) and witness.check.
 """
 
 from __future__ import annotations
@@ -55,10 +58,11 @@ def parsed(items: DataFrame, tags: dict[str, str]) -> DataFrame:
 
 
 def edges(items: DataFrame) -> DataFrame:
-    """``video, subtitle, identity, score, proximity``: equal episode, a shared title token, and not a different series."""
-    token = F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array("key"))).alias("token")
-    v, s = (items.where(F.col("kind") == k).select("*", token) for k in ("video", "subtitle"))
-    pairs = pairing.block(v, s, ["token"])
+    """``video, subtitle, identity, score, proximity``: equal episode, and not a different series.
+
+    Titles aren't blocked on: other scripts, joined words and misspelt names share no token.
+    """
+    pairs = pairing.block(items.where("kind = 'video'"), items.where("kind = 'subtitle'"))
     left = items.select(F.col("path").alias("video"), *[F.col(c).alias(f"v_{c}") for c in ("key", "tokens", "signature", "script")])
     right = items.select(F.col("path").alias("subtitle"), *[F.col(c).alias(f"s_{c}") for c in ("key", "tokens", "signature", "script")])
     e = pairs.join(left, "video").join(right, "subtitle")
