@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set and all runs in one process."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tidemark-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -43,10 +46,18 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 
 def written(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """Cut lineage with a table in the shared folder and read it back."""
+    """Cut lineage with a table in the shared folder and read it back; ``discard`` removes it."""
     path = scratch_path(df.sparkSession, tag)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``written`` that no later plan reads."""
+    for t in tables:
+        remove(t.sparkSession, t.scratch)
 
 
 def release(spark: SparkSession) -> None:
@@ -83,7 +94,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .select(F.col("x").alias("u"), F.col("m").alias("v"))
             .distinct()
         )
-        cur = written(small, "edges")
+        last, cur = cur, written(small, "edges")
+        discard(last)
         mark = cur.agg(
             F.count("*").alias("n"),
             F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h"),
