@@ -2,16 +2,19 @@
 
 The automaton holds the words of all licence templates.  A text is streamed
 through it and yields matching statistics: at each word, how many words up to it
-stand together in some template.  Long matches are chained per template, in
-order and with small gaps, into spans; a template whose chain covers enough of
-its words gives its label.  Words that no template has reset the automaton, so
-only stretches of words that follow each other in some template are streamed.
+stand together in some template, and by the suffix links of the state the same
+for every other place of every template that agrees with fewer words.  Matches
+of at least ``min_match`` words are chained per template, in order, with at most
+``max_gap`` words passed over on either side between two of them, so that most
+words are covered; a template whose chain covers enough of its words gives its
+label.  Words that no template has reset the automaton.
 
 The base phrases are templates too: a phrase ends at a word where the match is at
 least as long as the phrase and the state descends from the phrase's own.
 
-Defined results: null and empty texts have no words, no labels and score 0;
-repeated rows stay repeated; other columns are not read.
+Defined results: null and empty texts have no words, no labels and score 0; of
+chains that cover as many words the one that ends first, then starts last,
+stands; repeated rows stay repeated; other columns are not read.
 """
 
 from __future__ import annotations
@@ -61,25 +64,25 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """Generalised suffix automaton over word ids; every state knows one end place per template."""
+    """Generalised suffix automaton over word ids; every state knows its end places (template, word) but those of longer states below it."""
 
     def __init__(self, texts: list[list[int]]):
-        self.next, self.link, self.length, self.ends = [{}], [-1], [0], [{}]
+        self.next, self.link, self.length, self.ends = [{}], [-1], [0], [set()]
         for t, ids in enumerate(texts):
             last = 0
             for i, c in enumerate(ids):
                 last = self._extend(last, c)
-                self.ends[last].setdefault(t, i)
+                self.ends[last].add((t, i))
         order = sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True)
         for v in order:  # a suffix ends wherever the longer string does
-            for t, i in self.ends[v].items():
-                self.ends[self.link[v]].setdefault(t, i)
+            if self.link[v] > 0:
+                self.ends[self.link[v]] |= self.ends[v]
 
     def _new(self, length, nxt, link):
         self.next.append(nxt)
         self.link.append(link)
         self.length.append(length)
-        self.ends.append({})
+        self.ends.append(set())
         return len(self.length) - 1
 
     def _split(self, p, q, c):
@@ -110,6 +113,15 @@ class Automaton:
             n = self.length[v]
         return (self.next[v][c], n + 1) if c in self.next[v] else (0, 0)
 
+    def places(self, v: int, least: int) -> list[tuple[int, int, int]]:
+        """(template, word, words that agree at most) of all places that end like state v, for at least ``least`` words."""
+        out, seen, most = [], set(), self.length[v]
+        while v > 0 and most >= least:
+            out += [(t, i, most) for t, i in self.ends[v] - seen]
+            seen, v = self.ends[v], self.link[v]
+            most = self.length[v]
+        return sorted(out)
+
     def walk(self, ids: list[int]) -> int:
         v = 0
         for c in ids:
@@ -133,19 +145,31 @@ class Scanner:
         self.pairs = np.zeros((len(self.ids), len(self.ids)), bool)
         for x in coded:
             self.pairs[x[:-1], x[1:]] = True
-        own = {self.auto.walk([self.ids[w] for w in ws]): (label, len(ws)) for label, ws in phrases}
+        own: dict[int, list] = {}
+        for label, ws in phrases:
+            if ws:
+                own.setdefault(self.auto.walk([self.ids[w] for w in ws]), []).append((label, len(ws)))
+        self.single = min_match < 2 or any(len(ws) == 1 for _, ws in phrases)
         # phrases that end where a state does: its own, or those of its suffixes
         self.ending: list[list] = []
         for v in range(len(self.auto.length)):
             found, u = [], v
             while u > 0:
-                if u in own:
-                    found.append(own[u])
+                found += own.get(u, ())
                 u = self.auto.link[u]
             self.ending.append(found)
+        self.known: dict[int, list[tuple[int, int, int]]] = {}
 
     def statistics(self, codes: np.ndarray):
-        """(place, state, matched words) wherever two words or more match."""
+        """(place, state, matched words) wherever two words or more match; one, if a phrase or match may be so short."""
+        if self.single:
+            v = n = 0
+            for i in np.flatnonzero(codes >= 0).tolist():
+                if i and codes[i - 1] < 0:
+                    v = n = 0
+                v, n = self.auto.step(v, n, int(codes[i]))
+                yield i, v, n
+            return
         if len(codes) < 2:
             return
         a, b = codes[:-1], codes[1:]
@@ -161,24 +185,65 @@ class Scanner:
             before = i
             yield i + 1, v, n
 
-    def chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, float, int, int]]:
-        """(template, share of its words, first word, end) of chained maximal matches."""
-        per: dict[int, list] = {}
-        for place, v, n in matches:
-            for t, end in self.auto.ends[v].items():
-                if t < len(self.labels):
-                    per.setdefault(t, []).append((place - n + 1, place + 1, end - n + 1, end + 1))
+    def matches(self, stats) -> dict[int, list[tuple[int, int, int]]]:
+        """Per template the maximal matches of ``min_match`` words or more: (first word, words, first word in the template)."""
+        open_: dict[tuple[int, int], list[int]] = {}  # by template and distance to it: last word, words
+        done: dict[int, list[tuple[int, int, int]]] = {}
+
+        def close(key, last, words):
+            done.setdefault(key[0], []).append((last - words + 1, words, last - words + 1 - key[1]))
+
+        for place, v, n in stats:
+            if n < self.min_match:
+                continue
+            spots = self.known.get(v)
+            if spots is None:
+                spots = self.known[v] = self.auto.places(v, self.min_match)
+            for t, i, most in spots:
+                key, words = (t, place - i), min(n, most)
+                held = open_.get(key)
+                if held and held[0] != place - 1:
+                    close(key, *held)
+                open_[key] = [place, words]
+            if len(open_) > 4096:
+                for key in [k for k, h in open_.items() if h[0] < place]:
+                    close(key, *open_.pop(key))
+        for key, held in open_.items():
+            close(key, *held)
+        return done
+
+    def chain(self, matches: dict[int, list[tuple[int, int, int]]]) -> list[tuple[int, float, int, int]]:
+        """(template, share of its words, first word, end) of the chain of matches that covers most words.
+
+        A match may be entered after its first word; so a chain is a path over
+        words of matches, each as far on in the text as in the template or up to
+        ``max_gap`` words further on either side.
+        """
         out = []
-        for t, spans in per.items():
-            best = (0.0, 0, 0)
-            chains: list[list[int]] = []  # words covered, first, end, template end
-            for s, e, ts, te in sorted(spans):
-                grown = [(c[0], c) for c in chains[-8:] if s >= c[2] and s - c[2] <= self.max_gap and ts >= c[3] and ts - c[3] <= self.max_gap]
-                base = max(grown, key=lambda g: g[0])[1] if grown else None
-                c = [(base[0] if base else 0) + e - s, base[1] if base else s, e, te]
-                chains.append(c)
-                best = max(best, (min(1.0, c[0] / self.sizes[t]), c[1], c[2]))
-            out.append((t, *best))
+        steps = range(1, self.max_gap + 2)
+        for t, spans in matches.items():
+            spans = sorted(spans)
+            rows: dict[int, dict[int, tuple[int, int]]] = {}  # by word in the text, then in the template: words covered, first word
+            active: list[tuple[int, int, int]] = []
+            k, i, best = 0, 0, (0, 0, 0)
+            while active or k < len(spans):
+                if not active:
+                    i = spans[k][0]
+                while k < len(spans) and spans[k][0] == i:
+                    active.append(spans[k])
+                    k += 1
+                near = [rows[i - x] for x in steps if i - x in rows]
+                row = rows[i] = {}
+                for first, _, there in active:
+                    j = there + i - first
+                    before = max((r[j - y] for r in near for y in steps if j - y in r), default=(0, i))
+                    row[j] = (before[0] + 1, before[1])
+                    best = max(best, (row[j][0], -i, row[j][1]))
+                active = [s for s in active if s[0] + s[1] > i + 1]
+                i += 1
+                rows = {x: r for x, r in rows.items() if x >= i - self.max_gap - 1}
+            covered, last, start = best
+            out.append((t, covered / self.sizes[t], start, 1 - last))
         return out
 
     def scan(self, text: str | None) -> dict:
@@ -189,9 +254,8 @@ class Scanner:
         for place, v, n in self.statistics(codes):
             base += [(place - size + 1, label) for label, size in self.ending[v] if size <= n]
             stats.append((place, v, n))
-        # a match is maximal where the next word doesn't lengthen it
-        longest = [m for m, after in zip(stats, [*stats[1:], (-1, 0, 0)], strict=False) if m[2] >= self.min_match and not (after[0] == m[0] + 1 and after[2] == m[2] + 1)]
-        chained = self.chain(longest)
+        found = self.matches(stats)
+        chained = self.chain({t: m for t, m in found.items() if t < len(self.labels)})
         spans = sorted((s, e, self.labels[t], round(c, 6)) for t, c, s, e in chained if c >= self.min_cover)
         plain = sorted({x for _, x in base})
         return {
