@@ -4,17 +4,22 @@ Every document of a source is wanted ``target / source_size`` times.  The whole
 part is taken as it is; the fractional parts are rounded by the pivotal method:
 two documents of like size exchange probability until one of them is 0 or 1,
 and the one that is left fractional meets the next.  Documents are dealt to
-leaves of bounded size by (source, size class, hash), each leaf is rounded by
-itself and leaves one fractional document at most, and these residuals climb a
-tree until one is left per source, which a seeded draw settles.  A hot source
-has more leaves, not larger ones, and no group but a leaf or a node of bounded
-fan-in is ever gathered.
+leaves of about LEAF_ROWS rows by (source, size class, hash), each leaf is
+rounded by itself and leaves one fractional document at most, and these residuals
+climb a tree until one is left per source, which a seeded draw settles.  A hot
+source has more leaves, not larger ones, and no group but a leaf or a node of
+bounded fan-in is ever gathered.  Rows of equal doc_id, source and size are
+counted and numbered, and dealt by their numbers, so they spread like any others.
+
+Targets follow from sums over sources in two orders.  Sources may be many, hosts
+for example: the sums run within ranges of sources, and only a row per range is
+summed in one place.
 
 Defined results: null text has size 0; null sources are a source of their own
 that sorts last; a source without words has target 0; repeated rows are
-documents of their own; an empty table gives an empty result.  Draws depend on
-(seed, source, node) alone and rows are ordered by (size, doc_id) within
-a node, so reruns agree whatever the partitioning.
+documents of their own, and which of them is taken means nothing; an empty table
+gives an empty result.  Draws depend on (seed, source, node) alone and rows are
+ordered by (size, doc_id) within a node, so reruns agree whatever the partitioning.
 """
 
 from __future__ import annotations
@@ -35,30 +40,37 @@ LEAF_ROWS = 1024
 FAN_IN = 256
 
 
+def running(df: DataFrame, order: list, sums: dict[str, str]) -> DataFrame:
+    """``df`` with ``rank`` (from 1, in a total order) and the sums of the rows before each, as named by ``sums``.
+
+    Rows are dealt to ranges and summed there; a row per range is summed over all.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = Window.partitionBy("__range").orderBy(*order)
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    dealt = written(df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    per = dealt.groupBy("__range").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    over = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    per = per.select("__range", *[F.coalesce(F.sum(c).over(over), F.lit(0)).alias(c) for c in ("__n", *[f"__{n}" for n in sums])])
+    out = dealt.join(F.broadcast(per), "__range")
+    got = [(F.coalesce(F.sum(c).over(before), F.lit(0)) + F.col(f"__{n}")).alias(n) for n, c in sums.items()]
+    return out.select(*df.columns, (F.row_number().over(own) + F.col("__n")).alias("rank"), *got)
+
+
 def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, limit: float = 2.0) -> DataFrame:
     """``source, source_size, n_docs, target``: weighted shares of ``share`` times all
     words, none above ``limit`` times its source, the excess reshared by weight."""
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    per = per.withColumn("w", w).withColumn("k", F.row_number().over(order))
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
+    per = running(per, [F.col("source").isNull(), F.col("source")], {}).withColumn("w", w).withColumnRenamed("rank", "k")
     # the sources that reach their limit are those of least limit per weight
-    by = Window.orderBy(F.col("source_size") / F.col("w"), "k")
-    before, whole = by.rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = (
-        per.withColumn("rank", F.row_number().over(by))
-        .withColumn("capped_before", F.coalesce(F.sum("source_size").over(before), F.lit(0)))
-        .withColumn("w_before", F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-        .withColumn("all_size", F.sum("source_size").over(whole))
-        .withColumn("all_w", F.sum("w").over(whole))
-        .withColumn("level", (F.col("all_size") * F.lit(share) - F.col("capped_before") * F.lit(limit)) / (F.col("all_w") - F.col("w_before")))
-        .withColumn("free", F.col("source_size") * F.lit(limit) >= F.col("level") * F.col("w"))
-    )
-    first = F.min_by(F.when(F.col("free"), F.col("level")), F.when(F.col("free"), F.col("rank"))).over(whole)
-    return per.withColumn("first", first).select(
-        "source", "source_size", "n_docs",
-        F.least(F.col("source_size") * F.lit(limit), F.coalesce(F.col("first") * F.col("w"), F.col("source_size") * F.lit(limit))).alias("target"),
-    )
+    per = written(running(per, [F.col("source_size") / F.col("w"), F.col("k")], {"capped_before": "source_size", "w_before": "w"}), "ratios")
+    size, mass = per.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+    level = (F.lit(float(size) * share) - F.col("capped_before") * F.lit(limit)) / (F.lit(mass) - F.col("w_before"))
+    free = F.col("source_size") * F.lit(limit) >= level * F.col("w")
+    first = per.agg(F.min_by(F.when(free, level), F.when(free, F.col("rank")))).first()[0]
+    most = F.col("source_size") * F.lit(limit)
+    return per.select("source", "source_size", "n_docs", F.least(most, F.coalesce(F.lit(first).cast("double") * F.col("w"), most)).alias("target"))
 
 
 def pivotal(p: np.ndarray, rng: np.random.Generator, last: bool = False) -> np.ndarray:
@@ -111,8 +123,9 @@ def mix(docs: DataFrame, seed: int = 11, leaf_rows: int = LEAF_ROWS, fan_in: int
     )
     goal = written(source_targets(sized, **target), "targets")
     # size classes of half an octave, so that like sizes meet
-    ranked = sized.withColumn("class", F.floor(2 * F.log2(F.col("size") + 1)).cast("int"))
-    leaves = ranked.groupBy("source", "class").agg(F.ceil(F.count("*") / leaf_rows).cast("long").alias("leaves"))
+    alike = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    ranked = alike.withColumn("number", F.explode(F.sequence(F.lit(1), F.col("n")))).withColumn("class", F.floor(2 * F.log2(F.col("size") + 1)).cast("int"))
+    leaves = alike.withColumn("class", F.floor(2 * F.log2(F.col("size") + 1)).cast("int")).groupBy("source", "class").agg(F.ceil(F.sum("n") / leaf_rows).cast("long").alias("leaves"))
     g = goal.withColumnRenamed("source", "g_source")
     parts = leaves.join(g, leaves["source"].eqNullSafe(g["g_source"])).select(
         F.col("source").alias("l_source"), F.col("class").alias("l_class"), "leaves", "source_size", "target"
@@ -123,7 +136,7 @@ def mix(docs: DataFrame, seed: int = 11, leaf_rows: int = LEAF_ROWS, fan_in: int
         .withColumn("ratio", ratio)
         .select(
             "doc_id", "source", "size", "source_size", "target", "class",
-            F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("leaves")).alias("node"),
+            F.pmod(F.xxhash64(F.lit(seed), "doc_id", "number"), F.col("leaves")).alias("node"),
             F.floor("ratio").cast("long").alias("base"), (F.col("ratio") - F.floor("ratio")).alias("p"),
         )
     )
