@@ -10,7 +10,8 @@ inside a payload stands on no chain from the start and is rejected.
 Defined results: null html is an empty payload; of repeated page ids with the
 largest id each is a response; null page ids count as smaller than any, and
 where all ids of a payload are null each is a response.  An empty table gives
-an empty result.
+an empty result.  Every file below a folder is read, whatever its name, plain or
+gzip, of one member or many; one that does not start with a record gives none.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, table, written
+from .common import discard, scratch_path, table, written
 
 MAGIC = b"WARC/1.1\r\n"
 NEXT = "\r\n\r\n"
@@ -41,6 +42,7 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFr
     html = F.coalesce(F.col("html"), F.lit(""))
     keys = pages.select("page_id", F.sha1(F.encode(html, "utf-8")).alias("digest"), F.octet_length(html).alias("bytes")).where(F.col("bytes") >= min_bytes)
     first = keys.groupBy("digest", "bytes").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = written(first, "originals")  # so that the rows of a digest that many pages share can be dealt out by the skew join
     return keys.join(first, ["digest", "bytes"]).where("page_id < refers_to or (page_id is null and refers_to is not null)")
 
 
@@ -173,22 +175,25 @@ def read_archives(spark: SparkSession, path: str, stride: int = STRIDE) -> DataF
     Each candidate carries its next ``stride`` places and where these lead;
     jumps are then doubled until no place is new.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     found = written(files.mapInArrow(_scan(stride), _RAW), "candidates")
     jump = found.where("jump is not null").select("file", F.col("at").alias("from"), F.col("jump").alias("to"))
-    reach, new = found.where("at = 0").select("file", "at"), None
-    count = -1
+    reach, count = written(found.where("at = 0").select("file", "at"), "reach"), -1
+    doubled = None
     while True:
-        step = reach.join(jump, (reach["file"] == jump["file"]) & (reach["at"] == jump["from"])).select(reach["file"], F.col("to").alias("at"))
-        reach = written(reach.union(step).distinct(), "reach")
-        new = reach.count()
-        if new == count:
+        step = reach.join(jump.hint("merge"), (reach["file"] == jump["file"]) & (reach["at"] == jump["from"])).select(reach["file"], F.col("to").alias("at"))
+        last, reach = reach, written(reach.union(step).distinct(), "reach")
+        discard(last)
+        if (new := reach.count()) == count:
             break
         count = new
         hop = jump.select(F.col("file").alias("f2"), F.col("from").alias("from2"), F.col("to").alias("to2"))
-        jump = written(jump.join(hop, (jump["file"] == hop["f2"]) & (jump["to"] == hop["from2"])).select("file", "from", F.col("to2").alias("to")), "jump")
-    true = found.join(reach, ["file", "at"]).select("file", F.explode("path").alias("at"))
-    return found.join(true, ["file", "at"], "left_semi").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", F.col("at").alias("offset"))
+        last = doubled
+        jump = doubled = written(jump.join(hop.hint("merge"), (jump["file"] == hop["f2"]) & (jump["to"] == hop["from2"])).select("file", "from", F.col("to2").alias("to")), "jump")
+        if last is not None:
+            discard(last)
+    true = found.join(reach.hint("merge"), ["file", "at"]).select("file", F.explode("path").alias("at"))
+    return found.join(true.hint("merge"), ["file", "at"], "left_semi").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", F.col("at").alias("offset"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
