@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written
 
 SIDE = 24
 TILE = SIDE * SIDE
@@ -37,6 +37,10 @@ _SEGMENT_ARROW = pa.list_(
 )
 
 
+#: What markup takes as white space.
+BLANK = re.compile("[\t\n\f\r ]+")
+
+
 class _Sequence(HTMLParser):
     BLOCKS = frozenset("p div article section h1 h2 h3 h4 h5 h6 li ul ol table tr td blockquote pre figure br hr main header footer nav aside".split())
     SILENT = frozenset(("script", "style", "noscript", "template"))
@@ -46,7 +50,7 @@ class _Sequence(HTMLParser):
         self.out, self.words, self.silent, self.figure, self.caption = [], [], 0, None, None
 
     def flush(self):
-        text = " ".join("".join(self.words).split())
+        text = " ".join(x for x in BLANK.split("".join(self.words)) if x)
         self.words = []
         if text:
             self.out.append(["text", text, None, None])
@@ -76,7 +80,7 @@ class _Sequence(HTMLParser):
         if tag in self.SILENT:
             self.silent = max(0, self.silent - 1)
         elif tag == "figcaption" and self.caption is not None:
-            text, self.caption = " ".join("".join(self.caption).split()), None
+            text, self.caption = " ".join(x for x in BLANK.split("".join(self.caption)) if x), None
             media = [x for x in self.out[self.figure or 0 :] if x[0] == "media"] if self.figure is not None else []
             if media:
                 media[-1][3] = text
@@ -187,15 +191,32 @@ def resolve(seqs: DataFrame, feats: DataFrame, keep: tuple[str, ...]) -> DataFra
     return refs.join(feats, "digest", "left")
 
 
+def page_of(text: str, digest) -> F.Column:
+    """A page that holds a document: a heading, the figure of its payload, the text, and a figure without a payload."""
+    safe = F.coalesce(F.col(text), F.lit(""))
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        safe = F.replace(safe, F.lit(a), F.lit(b))
+    ref = lambda d: F.concat(F.lit(f'<img src="{REF}'), d, F.lit('">'))
+    return F.concat(
+        F.lit("<h1>document</h1><figure>"), ref(digest), F.lit("<figcaption>payload</figcaption></figure><pre>"), safe, F.lit("</pre><figure>"),
+        ref(F.lit("0" * 64)), F.lit("<figcaption>absent</figcaption></figure>"),
+    )
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     data = payload()
     store = written(docs.select(stored(data).alias("media")), "media")
-    page = F.concat(F.lit(f'<figure><img src="{REF}'), F.sha2(data, 256), F.lit('"><figcaption>payload</figcaption></figure>'))
-    pages = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), page.alias("html"))
-    found = resolve(sequences(pages, keep=("doc_id", "n_bytes")), store_features(store), ("doc_id", "n_bytes"))
+    # both sides of the join are plain shuffles, so that the skew join deals out a payload of many documents
+    feats = written(store_features(store), "features")
+    discard(store)
+    keep = ("doc_id", "n_bytes")
+    pages = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), page_of("text", F.sha2(data, 256)).alias("html"))
+    words = F.array_join(F.transform(F.filter("segments", lambda s: s["kind"] == "text"), lambda s: s["text"]), "\n")
+    seqs = sequences(pages, keep=keep).select(*keep, "segments", F.size("segments").alias("n_segments"), F.md5(words).alias("text_md5"))
+    found = resolve(seqs, feats, (*keep, "n_segments", "text_md5")).where("caption = 'payload'")
     return found.select(
-        "doc_id", "n_bytes", "payload_bytes", F.col("digest").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption"
+        *keep, "payload_bytes", F.col("digest").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_segments", "text_md5"
     )
 
 
@@ -205,13 +226,14 @@ WITH crc AS (
            list_prepend(i::BIGINT, range(8)),
            lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
 p AS (
-  SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, encode(coalesce(text, '')) AS raw FROM documents),
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, encode(coalesce(text, '')) AS raw,
+         trim(regexp_replace(coalesce(text, ''), '[\t\n\f\r ]+', ' ', 'g'), ' ') AS words FROM documents),
 q AS (
-  SELECT doc_id, n_bytes, greatest(1, ceil(n_bytes / 576.0)::BIGINT) * 576 AS payload_bytes,
+  SELECT doc_id, n_bytes, words, greatest(1, ceil(n_bytes / 576.0)::BIGINT) * 576 AS payload_bytes,
          unhex(hex(raw) || repeat('FF', (greatest(1, ceil(n_bytes / 576.0)::BIGINT) * 576 - n_bytes)::INT)) AS data
   FROM p),
 b AS (
-  SELECT doc_id, n_bytes, payload_bytes, data, hex(data) AS h,
+  SELECT doc_id, n_bytes, words, payload_bytes, data, hex(data) AS h,
          unhex(hex(encode('P5' || chr(10) || '24 ' || (payload_bytes // 24) || chr(10) || '255' || chr(10))) || hex(data)) AS media
   FROM q),
 u AS (
@@ -224,6 +246,7 @@ SELECT b.doc_id, n_bytes::BIGINT AS n_bytes, payload_bytes, sha256(data) AS payl
          lambda c, x: xor(c >> 8, crc.t[(xor(c, x) & 255) + 1]))) AS tail_crc32,
        octet_length(media)::BIGINT AS media_bytes, sha256(media) AS media_sha256,
        '24x' || (payload_bytes // 24) || ' min=' || lo || ' max=' || hi || ' levels=' || levels || ' sum=' || s AS feature,
-       0::INT AS position, 'payload' AS caption
+       1::INT AS position, 'payload' AS caption, CASE WHEN words = '' THEN 3 ELSE 4 END::INT AS n_segments,
+       md5('document' || CASE WHEN words = '' THEN '' ELSE chr(10) || words END) AS text_md5
 FROM b JOIN f ON b.doc_id = f.doc_id, crc
 """
