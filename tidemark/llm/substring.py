@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, table, written
+from .common import discard, release, table, written
 
 LENGTH = 35
 #: Words hashed at a time; a longer text is still one array of 8 bytes a word.
@@ -206,8 +206,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``doc_id, tag, start, stop``: word spans covered by repeated windows (they may overlap)."""
     spark = docs.sparkSession
     all_runs = written(find_runs(docs, length), "runs")
-    twice = all_runs.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
+    # sides of joins are written first: then both are plain shuffles, and the skew join deals out the rows of a hot key
+    twice = written(all_runs.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"), "twice")
     alive = written(all_runs.join(twice, "gram", "left_semi"), "alive")
+    discard(all_runs, twice)
     release(spark)
     kinds = written(
         alive.groupBy("gram", "sig").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "tag", "first", "n", "lead")).alias("at")), "kinds"
@@ -216,7 +218,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         "doc_id", "tag", F.col("first").alias("start"), (F.col("first") + F.col("n") + length - 1).alias("stop")
     )
     # runs that stand alone, and one of each other kind that shares their representative
-    unsettled = kinds.where("c = 1").select("gram").distinct()
+    unsettled = written(kinds.where("c = 1").select("gram").distinct(), "unsettled")
     wanted = (
         kinds.join(unsettled, "gram", "left_semi")
         .select("at.doc_id", "at.tag", F.struct("gram", "at.first", "at.n", "at.lead", (F.col("c") == 1).alias("open")).alias("run"))
@@ -226,7 +228,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = _with(keyed(docs), wanted, "inner").select("doc_id", "tag", "text", "runs")
     single = written(texts.mapInArrow(_single_windows(length), f"doc_id {kind}, tag long, gram long, off long, full long, first long, open boolean"), "windows")
-    again = single.groupBy("gram", "off", "full").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    again = written(single.groupBy("gram", "off", "full").agg(F.count("*").alias("c")).where("c > 1").drop("c"), "again")
     opened = (
         single.where("open")
         .join(again, ["gram", "off", "full"], "left_semi")
