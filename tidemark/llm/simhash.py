@@ -84,7 +84,9 @@ def variants(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
             keep -= (1 << 64) if keep >= 1 << 63 else 0
             keys.append(F.struct(F.lit(slot).alias("slot"), F.col("fp").bitwiseAND(F.lit(keep).cast("long")).alias("value")))
             slot += 1
-    return fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.slot", "k.value", "fp")
+    # a number of parts, so that the few bytes of the fingerprints aren't gathered in few tasks before they grow
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return fps.repartition(parts, "fp").select("fp", F.explode(F.array(*keys)).alias("k")).select("k.slot", "k.value", "fp")
 
 
 def spanning(fps: np.ndarray, bits: int = MAX_BITS) -> list[tuple[int, int]]:
@@ -114,7 +116,7 @@ def _verify(bits: int):
 def links(fps: DataFrame, bits: int = MAX_BITS, dense: int = DENSE) -> DataFrame:
     """``a, b``: edges between distinct fingerprints whose components are those of all links."""
     index = variants(fps, bits)
-    held = index.groupBy("slot", "value").agg(F.count("*").alias("n")).where("n > 1")
+    held = written(index.groupBy("slot", "value").agg(F.count("*").alias("n")).where("n > 1"), "held")
     shared = written(index.join(held, ["slot", "value"]), "variants")
     few = shared.where(F.col("n") <= dense).groupBy("slot", "value").agg(F.collect_list("fp").alias("fps"))
     found = few.select("fps").mapInArrow(_verify(bits), "a long, b long").distinct()
@@ -132,7 +134,7 @@ def links(fps: DataFrame, bits: int = MAX_BITS, dense: int = DENSE) -> DataFrame
 def components(docs: DataFrame, words: int = WORDS, bits: int = MAX_BITS, dense: int = DENSE) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs``."""
     rows = written(fingerprints(docs, words), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     edges = written(links(classes.select("fp"), bits, dense), "links")
     # components over fingerprints, named afterwards by their smallest document
     comp = connected_components(edges)
