@@ -12,6 +12,9 @@ Plain text is encoded by the merge ranks of the vocabulary file; text with
 characters outside the blocks listed in PLAIN goes to the tokenizers library
 itself, which knows its own character classes best.
 
+A vocabulary file whose pre-tokens or merges are of another kind (known_shape)
+goes to the library too, whole texts at a time.
+
 Defined results: null and empty texts have no tokens; repeated rows stay
 repeated; very long texts are cut into chunks like any other; ids fit 32 bits.
 """
@@ -50,6 +53,21 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def known_shape(spec: dict) -> bool:
+    """Whether a vocabulary file cuts and merges as the fast path and the cuts of chunks take it.
+
+    That is: byte-level pre-tokens by the usual pattern without a space before
+    the text, no normalizer, nothing that drops or joins ids, and merges whose
+    order is that of the ids they make.
+    """
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    merge = (m if isinstance(m, str) else " ".join(m) for m in model.get("merges", ()))
+    made = [model["vocab"].get("".join(m.split(" ")), -1) for m in merge]
+    usual = model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+    return bool(level and not spec.get("normalizer") and usual and all(a < b for a, b in zip(made, made[1:], strict=False)) and min(made, default=0) >= 0)
+
+
 class Codec:
     """Encoder and decoder of one byte-level vocabulary file (JSON of the tokenizers library)."""
 
@@ -62,6 +80,7 @@ class Codec:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        self.plain = known_shape(spec)
         back = byte_alphabet()
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         raw = {i: bytes(back[c] for c in t) for t, i in spec["model"]["vocab"].items() if t not in special}
@@ -76,7 +95,7 @@ class Codec:
         self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
 
     def encode_piece(self, text: str) -> list[int]:
-        if PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+        if self.plain and PLAIN.fullmatch(text) and not any(s in text for s in self.special):
             return self.fast.encode_ordinary(text)
         return self.library.encode(text, add_special_tokens=False).ids
 
@@ -189,7 +208,7 @@ class Encoder:
         raw = (text or "").encode("utf-8", "replace")
         if not raw:
             return np.zeros(0, np.int32)
-        if any(x in text for x in self.codec.special):  # a special string may span a cut
+        if not self.codec.plain or any(x in text for x in self.codec.special):  # a special string may span a cut
             return np.array(self.codec.encode_piece(text), np.int32)
         cuts = [0, *cut_places(raw, self.mask, self.most), len(raw)]
         out, pieces, ids = [], [], []
