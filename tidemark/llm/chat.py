@@ -77,6 +77,6 @@ m AS (
   SELECT conv_id FROM e WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.k < p.n AND p.prefix = e.prefix))
 SELECT conv_id, count(*) AS n_turns,
        string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY k) AS chat
-FROM t WHERE conv_id IN (SELECT conv_id FROM m)
+FROM t WHERE EXISTS (SELECT 1 FROM m WHERE m.conv_id IS NOT DISTINCT FROM t.conv_id)
 GROUP BY conv_id
 """
