@@ -153,6 +153,25 @@ def test_embeddings_equal_brute_force(spark, block):
     assert embeddings.near_duplicates(df.where("false")).count() == 0
 
 
+def test_unsound_vectors_keep_a_row_each_and_link_with_nothing(spark):
+    rows = [(1, [1.0, 2.0]), (2, [None, 1.0, 2.0]), (3, []), (4, [None]), (5, [2.0, 4.0]), (None, [1.0, 2.0]), (6, [0.0, 0.0]), (None, None), (6, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((tuple(r) for r in embeddings.near_duplicates(df).collect()), key=repr)
+    want = [(1, 2, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 0, 4, True), (5, 2, 1, False), (None, 2, 1, False), (6, 0, 6, True), (6, 0, 6, True), (None, 0, None, True)]
+    assert got == sorted(want, key=repr)
+
+
+def test_recall_at_the_default_is_what_it_promises(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((150, 32))
+    rows = [(i, (centres[i % 150] + 0.16 * rng.standard_normal(32)).tolist()) for i in range(900)]
+    x = np.array([np.array(v, np.float32).astype(float) for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = int((x @ x.T >= 0.95).sum()) - len(rows)
+    found = sum(r["n_links"] for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert want > 500 and 0.9 * want <= found <= want
+
+
 def test_tables_reach_the_recall_they_promise():
     for n in (10**3, 10**6, 10**9):
         bits, tables = embeddings.plan_tables(n)

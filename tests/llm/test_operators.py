@@ -59,6 +59,42 @@ def test_mixing_reruns_agree_and_take_an_empty_table(docs):
     assert mixing.mix(d.where("false")).count() == 0
 
 
+def test_rows_of_one_id_spread_over_leaves(docs):
+    rows = [(None, "w x y", "s") for _ in range(400)] + [(1, "w x y", "s") for _ in range(400)] + [(2, "z " * 500, "t")]
+    whole = mixing._round
+
+    def counted(seed, last):  # copies tell how many rows their leaf had
+        one = whole(seed, last)
+        return lambda pdf: one(pdf).assign(base=len(pdf))
+
+    mixing._round = counted
+    try:
+        got = mixing.mix(docs(rows), leaf_rows=50, fan_in=8).collect()
+    finally:
+        mixing._round = whole
+    assert len(got) == len(rows) and max(r["copies"] for r in got) < 110
+
+
+def test_marginals_over_seeds(docs):
+    rows = [(i, "w " * (1 + i % 7), "st"[i % 2]) for i in range(40)]
+    d, total = docs(rows), Counter()
+    for seed in range(25):
+        for r in mixing.mix(d, seed=seed, leaf_rows=8, fan_in=4).collect():
+            total[r["doc_id"]] += r["copies"]
+    want = {i: min(2.0, r) for i, r in ((x["doc_id"], x["target"] / x["source_size"]) for x in mixing.mix(d).collect())}
+    assert max(abs(total[i] / 25 - w) for i, w in want.items()) < 0.45
+    assert abs(sum(total.values()) / 25 - sum(want.values())) < 1.5
+
+
+def test_targets_of_many_sources_equal_brute_force(docs):
+    rows = [(i, "w " * (1 + i * i % 37), f"h{i % 61}.example") for i in range(400)]
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want = brute_targets(dict(sizes))
+    assert {r["source"]: pytest.approx(r["target"]) for r in mixing.mix(docs(rows)).collect()} == want
+
+
 def test_pivotal_keeps_probabilities():
     p = np.array([0.3, 0.9, 0.5, 0.2, 0.6, 1.0, 0.0])
     rng = np.random.default_rng(1)
@@ -86,6 +122,9 @@ def test_media_round_trip(spark, docs, tmp_path):
         whole = b"P5\n24 %d\n255\n" % (size // 24) + data
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), size, hashlib.sha256(data).hexdigest())
         assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(data[-32:]), len(whole), hashlib.sha256(whole).hexdigest())
+        assert (r["position"], r["caption"]) == (1, "payload")
+        words = " ".join(x for x in media.BLANK.split(dict(ODD)[r["doc_id"]] or "") if x)
+        assert (r["n_segments"], r["text_md5"]) == (4 if words else 3, hashlib.md5("\n".join(["document", *filter(None, [words])]).encode()).hexdigest())
     assert len({r["feature"] for r in got if r["doc_id"] in (1, 6)}) == 1
 
 
@@ -125,6 +164,21 @@ def test_warc_rejects_magic_inside_payloads(spark, tmp_path):
     assert warc.read_archives(spark, empty).count() == 0
 
 
+def test_warc_reads_files_of_any_name(spark, tmp_path):
+    import gzip
+
+    def record(page, body):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + body
+        return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (page, len(block), block)
+
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "a.warc").write_bytes(record(1, b"x") + record(2, b""))
+    (tmp_path / "deep" / "b.warc.gz").write_bytes(gzip.compress(record(3, b"y")) + gzip.compress(record(4, b"z\r\n")))
+    (tmp_path / "notes.txt").write_bytes(b"no archive")
+    got = warc.read_archives(spark, str(tmp_path)).collect()
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in got) == [(1, 1), (2, 0), (3, 1), (4, 3)]
+
+
 # licences
 
 
@@ -168,6 +222,59 @@ def test_matching_statistics_equal_brute_force():
         assert got.get(i, 0) == (want if want > 1 else 0)
 
 
+def brute_cover(template, words, least, gap):
+    """Greatest number of words of a chain, over single words of matches."""
+    ok = set()
+    for d in range(-len(template), len(words) + 1):
+        run = []
+        for j in range(len(template) + 1):
+            i = j + d
+            if j < len(template) and 0 <= i < len(words) and words[i] == template[j]:
+                run.append((i, j))
+            else:
+                if len(run) >= least:
+                    ok |= set(run)
+                run = []
+    best = {}
+    for i, j in sorted(ok):
+        best[i, j] = 1 + max((best.get((i - 1 - x, j - 1 - y), 0) for x in range(gap + 1) for y in range(gap + 1)), default=0)
+    return max(best.values(), default=0)
+
+
+CHAINS = [
+    ({"t": ("a b c x y z a b c p q r",)}, "x y z foo a b c bar p q r", {"t": 0.75}),
+    ({"one": ("k l m n o",), "two": ("l m n q r s",)}, "k l m n foo q r s", {"one": 0.8, "two": 1.0}),
+    ({"t": ("a b c d e f",)}, "a b c c d e f", {"t": 1.0}),
+    ({"t": ("a b c " + " ".join(f"g{i}" for i in range(30)),)}, "a b c " * 20 + " ".join(f"g{i}" for i in range(30)), {"t": 1.0}),
+]
+
+
+@pytest.mark.parametrize("case", CHAINS)
+def test_chains_take_every_place_of_every_template(case):
+    templates, text, want = case
+    s = licenses.Scanner(templates, {})
+    codes = np.array([s.ids.get(x.encode(), -1) for x in text.split()])
+    assert {s.labels[t]: round(c, 6) for t, c, _, _ in s.chain(s.matches(s.statistics(codes)))} == want
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_chains_cover_as_much_as_a_brute_force_search(least):
+    rng = np.random.default_rng(least)
+    for _ in range(60):
+        texts = {str(k): (" ".join(rng.choice(list("abcdef"), int(rng.integers(4, 14)))),) for k in range(3)}
+        w = [str(x) for x in rng.choice(list("abcdefg"), 40)]
+        s = licenses.Scanner(texts, {}, min_match=least, max_gap=2)
+        codes = np.array([s.ids.get(x.encode(), -1) for x in w])
+        got = {s.labels[t]: c for t, c, _, _ in s.chain(s.matches(s.statistics(codes)))}
+        want = {k: brute_cover(t[0].split(), w, least, 2) / len(t[0].split()) for k, t in texts.items()}
+        assert {k: got.get(k, 0.0) for k in want} == pytest.approx(want)
+
+
+def test_phrases_of_one_word_count():
+    got = licenses.Scanner({"t": ("x y z mit",)}, {"mit": "m", "x y": "xy"}).scan("mit mit x y q mit")
+    assert (got["n_base"], got["first_word"], got["last_word"], got["base_labels"]) == (4, 0, 5, "m,xy")
+
+
 # toxicity
 
 
@@ -195,12 +302,61 @@ def test_pu_learning_finds_held_out_toxic_documents(spark, docs):
     assert none["weights"] == {} and toxicity.train(d, lab.where("false"))["weights"] == {}
 
 
-def test_non_negative_risk_stays_non_negative():
-    pos, unl = [np.array([0]), np.array([0, 1])], [np.array([1]), np.array([2]), np.array([0, 2]), np.array([1])]
-    w, b = toxicity.fit_nnpu(pos, unl, 3, 0.3, steps=300)
-    z = lambda rows: np.array([b + w[r].sum() for r in rows])
-    assert z(pos).min() > z(unl[:2]).max() and np.isfinite([*w, b]).all()
-    assert np.logaddexp(0, z(unl)).mean() - 0.3 * np.logaddexp(0, z(pos)).mean() > -0.2
+def test_the_sample_is_bounded_and_reads_no_held_out_row(spark, docs):
+    rows = [(i, f"word{i} common text", "s") for i in range(200)] + [(7, "other text of a repeated id"), (None, "null id")]
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(100)] + [(3, 0), (None, 1), (5, None)], "doc_id long, toxic int")
+    got, prior = toxicity.sample(docs(rows), labels, 10, 25)
+    sides = Counter(r["side"] for r in got.collect())
+    assert sides[1] == 10 and sides[0] <= 25
+    free = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert prior == pytest.approx(sum(i < 60 for i in free) / len(free))
+    named = [(i, "letters " + "abcdefghij"[i // 10] + "abcdefghij"[i % 10] * 2) for i in range(100)]
+    whole, _ = toxicity.sample(docs(named), labels, 1000, 1000)
+    seen = {f for r in whole.collect() for f in r["feats"] if len(f) == 3}
+    assert seen == {t.split()[1] for i, t in named if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert toxicity.train(docs(rows).where("false"), labels)["weights"] == {}
+
+
+def test_words_of_any_length_have_short_features():
+    assert max(map(len, toxicity.features_of_word("x" * 5000))) <= toxicity.LONG_WORD
+    assert toxicity.features_of_word("x" * 5000)[0] != toxicity.features_of_word("x" * 5001)[0]
+
+
+def entries(rows):
+    return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([x for r in rows for x in r], np.int64)
+
+
+def slow_risk(x, pos, unl, prior):
+    loss = lambda z, y: math.log1p(math.exp(-y * z))
+    z = lambda r: x[-1] + sum(x[j] for j in r)
+    plus = prior * sum(loss(z(r), 1) for r in pos) / len(pos)
+    minus = sum(loss(z(r), -1) for r in unl) / len(unl) - prior * sum(loss(z(r), -1) for r in pos) / len(pos)
+    return plus, minus
+
+
+@pytest.mark.parametrize("scale", [0.3, 3.0])
+def test_risk_and_gradient_equal_a_plain_reckoning(scale):
+    rng = np.random.default_rng(3)
+    pos = [sorted(rng.choice(6, int(rng.integers(0, 5)), replace=False).tolist()) for _ in range(9)]
+    unl = [sorted(rng.choice(6, int(rng.integers(0, 5)), replace=False).tolist()) for _ in range(14)]
+    for _ in range(10):
+        x = scale * rng.standard_normal(7)
+        plus, minus, g = toxicity.risk(x[:-1], x[-1], entries(pos), entries(unl), 9, 14, 0.4)
+        want = slow_risk(x, pos, unl, 0.4)
+        assert (plus, minus) == pytest.approx(want)
+        part = (lambda y: sum(slow_risk(y, pos, unl, 0.4))) if minus >= 0 else (lambda y: -slow_risk(y, pos, unl, 0.4)[1])
+        for k in range(7):
+            step = 1e-5 * (np.arange(7) == k)
+            assert g[k] == pytest.approx((part(x + step) - part(x - step)) / 2e-5, abs=1e-6)
+
+
+def test_fit_reaches_the_least_risk_of_a_small_case():
+    # one feature that all positives have, and a share of the unlabelled that is above the prior: the risk is convex, its least can be searched
+    pos, unl, prior = [[0]] * 4, [[0]] * 5 + [[]] * 5, 0.3
+    w, b = toxicity.fit_nnpu(entries(pos), entries(unl), 4, 10, 1, prior, steps=3000, rate=0.02, l2=0.0)
+    best = min(sum(slow_risk((x, y), pos, unl, prior)) for x in np.linspace(-1, 12, 66) for y in np.linspace(-12, 1, 66) if slow_risk((x, y), pos, unl, prior)[1] >= 0)
+    plus, minus = slow_risk((w[0], b), pos, unl, prior)
+    assert plus + minus <= best + 0.01 and minus >= -0.01
 
 
 # bpe
