@@ -17,47 +17,44 @@ ROWS = {
     "": "あいうえお", "k": "かきくけこ", "s": "さしすせそ", "t": "たちつてと", "n": "なにぬねの", "h": "はひふへほ", "m": "まみむめも", "y": "や.ゆ.よ", "r": "らりるれろ",
     "w": "わゐ.ゑを", "g": "がぎぐげご", "z": "ざじずぜぞ", "d": "だぢづでど", "b": "ばびぶべぼ", "p": "ぱぴぷぺぽ",
 }
+#: Syllables that aren't spelt by their row.
 IRREGULAR = {"し": "shi", "ち": "chi", "つ": "tsu", "ふ": "fu", "じ": "ji", "ぢ": "ji", "づ": "zu", "ん": "n", "ゔ": "vu", "ゕ": "ka", "ゖ": "ke"}
-SMALL = dict(zip("ゃゅょぁぃぅぇぉゎ", ("ya", "yu", "yo", "a", "i", "u", "e", "o", "wa"), strict=True))
-SYLLABLES = {c: row + v for row, kana in ROWS.items() for c, v in zip(kana, "aiueo", strict=True) if c != "."} | IRREGULAR
-SOFT = {"shi": "sh", "chi": "ch", "ji": "j"}
+SMALL = {"ゃ": "ya", "ゅ": "yu", "ょ": "yo", "ぁ": "a", "ぃ": "i", "ぅ": "u", "ぇ": "e", "ぉ": "o", "ゎ": "wa"}
+#: Stems that swallow the y of a small kana.
+SWALLOW = ("sh", "ch", "j")
 
 
-def _joined(before: str, small: str) -> str:
-    """A syllable with a small kana after it."""
-    if small[0] == "y" and before.endswith("i"):
-        return SOFT[before] + small[1:] if before in SOFT else before[:-1] + small
-    if before in ("fu", "vu", "u"):
-        return {"fu": "f", "vu": "v", "u": "w"}[before] + small
-    if (before in ("te", "de") and small == "i") or (before in ("to", "do") and small == "u"):
-        return before[0] + small
-    if before.endswith("i") and len(small) == 1:
-        return SOFT.get(before, before[:-1]) + small
-    return before[:-1] + small
+def syllables() -> dict[str, str]:
+    """Spelling of every kana, and of every kana with a small one after it.
+
+    A small kana takes the place of the vowel before it; a lone u turns to w.
+    Doubled syllables stand under their own kana: they keep the y that others lose.
+    """
+    one = {k: row + v for row, kana in ROWS.items() for k, v in zip(kana, "aiueo", strict=True) if k != "."} | IRREGULAR
+    two = {}
+    for k, spelt in one.items():
+        stem = "w" if spelt == "u" else spelt[:-1]
+        first = "t" if spelt.startswith("ch") else spelt[0]
+        two["っ" + k] = first + spelt
+        for small, v in SMALL.items():
+            two[k + small] = stem + (v.lstrip("y") if stem in SWALLOW else v)
+            two["っ" + k + small] = first + spelt[:-1] + v
+    return one | two
+
+
+SYLLABLES = syllables()
+#: A syllable, longest first; a long mark; a blank; a Latin letter or digit.
+_SPELT = re.compile(rf"({'|'.join(sorted(SYLLABLES, key=len, reverse=True))})|(ー)|([\s・･])|([0-9A-Za-z])")
 
 
 def to_romaji(text: str | None) -> str:
-    out: list[str] = []
-    double = False
-    for c in unicodedata.normalize("NFKC", text or ""):
-        if 0x30A1 <= ord(c) <= 0x30F6:
-            c = chr(ord(c) - 96)
-        if c == "っ":
-            double = True
-        elif c == "ー":
-            if out and out[-1][-1:] in tuple("aiueo"):
-                out[-1] += out[-1][-1]
-        elif c in SMALL and out:
-            out[-1] = _joined(out[-1], SMALL[c])
-        elif s := SYLLABLES.get(c):
-            if double:
-                s, double = ("t" if s.startswith("ch") else s[0]) + s, False
-            out.append(s)
-        elif c.isspace() or c in "・･":
-            out.append(" ")
-        elif c.isascii() and c.isalnum():
-            out.append(c.lower())
-    return re.sub(r"\s+", " ", "".join(out)).strip()
+    plain = unicodedata.normalize("NFKC", text or "").translate({k: k - 96 for k in range(0x30A1, 0x30F7)})
+    out = ""
+    for kana, long, blank, latin in _SPELT.findall(plain):
+        out += SYLLABLES.get(kana, "") + latin.lower() + (" " if blank else "")
+        if long and out.endswith(("a", "i", "u", "e", "o")):
+            out += out[-1]
+    return " ".join(out.split())
 
 
 def romaji(c: Column) -> Column:
