@@ -18,12 +18,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _spread(tol: float):
+    @F.pandas_udf("array<double>")
+    def keep(xs: pd.Series) -> pd.Series:
+        out = []
+        for x in xs:
+            kept: list[float] = []
+            for t in x:
+                if not kept or t - kept[-1] > tol:
+                    kept.append(t)
+            out.append(kept)
+        return pd.Series(out)
+
+    return keep
+
+
 def unique_starts(cues: DataFrame, keys: list[str], start: str = "t", tol: float = 0.15) -> DataFrame:
-    """Per group the starts to 3 places, each more than ``tol`` after the last one kept."""
-    zero = F.lit(None).cast("array<double>")
+    """Per group the starts to 3 places, each more than ``tol`` after the last one kept.
+
+    Each start depends on the last one kept, so the sorted array is gone through once.
+    """
     xs = F.array_sort(F.collect_set(F.bround(F.col(start).cast("double"), 3)))
-    step = lambda kept, x: F.when(kept.isNull(), F.array(x)).when(x - F.element_at(kept, -1) > tol, F.concat(kept, F.array(x))).otherwise(kept)
-    return cues.groupBy(*keys).agg(xs.alias("xs")).select(*keys, F.coalesce(F.aggregate("xs", zero, step), F.array().cast("array<double>")).alias("starts"))
+    return cues.groupBy(*keys).agg(xs.alias("xs")).select(*keys, _spread(tol)("xs").alias("starts"))
 
 
 def differences(ref: DataFrame, sub: DataFrame, keys: list[str], window: float = 120.0) -> DataFrame:
@@ -45,15 +61,18 @@ def nearest_hits(ref: DataFrame, sub: DataFrame, keys: list[str], offset: Column
     """``keys, t, hit``: whether a moment, moved by the offset, has another within ``tol``.
 
     As-of join in both directions by one union and two frames; no pair is formed.
+    ``offset`` may be a column of ``ref``; moments under several offsets are
+    several groups of ``keys``.
     """
     o = F.lit(offset) if isinstance(offset, (int, float)) else offset
     both = ref.select(*keys, "t", (F.col("t") - o).alias("at"), F.lit(1).alias("side")).unionByName(
         sub.select(*keys, F.lit(None).cast("double").alias("t"), F.col("t").alias("at"), F.lit(0).alias("side"))
     )
-    w = Window.partitionBy(*keys).orderBy("at", "side")
+    # the one after is the last one seen in the opposite order: a frame that grows is carried along, one that shrinks would be gone through again for each row
+    so_far = (Window.unboundedPreceding, Window.currentRow)
     theirs = F.when(F.col("side") == 0, F.col("at"))
-    before = F.last(theirs, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first(theirs, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    before = F.last(theirs, ignorenulls=True).over(Window.partitionBy(*keys).orderBy("at", "side").rowsBetween(*so_far))
+    after = F.last(theirs, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.col("at").desc(), "side").rowsBetween(*so_far))
     near = both.withColumn("b", before).withColumn("n", after).where("side = 1")
     hit = (F.coalesce(F.col("at") - F.col("b"), F.lit(1e300)) <= tol) | (F.coalesce(F.col("n") - F.col("at"), F.lit(1e300)) <= tol)
     return near.select(*keys, "t", hit.alias("hit"))
@@ -120,6 +139,25 @@ def snap(offset: Column, within: float = 0.015) -> Column:
     return F.when(F.abs(offset) <= within, 0.0).otherwise(offset)
 
 
+def undetermined(seconds: Column, gaps: Column) -> Column:
+    """Whether a moment of the reference lies where a break may be, ends included."""
+    return F.exists(gaps, lambda g: seconds.between(g["lo"], g["hi"]))
+
+
+def checked(fits: DataFrame, runs: DataFrame, keys: list[str], most: float = 120.0) -> DataFrame:
+    """Verdicts (keys, outcome, word) of subtitles aligned to a file, after what the reference leaves unchecked.
+
+    ``runs``: keys, lo, hi, lines of unchecked lines.  A stretch of ``most`` seconds
+    refuses a pair, shorter ones cap its word at fair.
+    """
+    r = runs.groupBy(*keys).agg(F.max(F.col("hi") - F.col("lo")).alias("longest"), F.sum("lines").alias("unchecked"))
+    f = fits.join(r, keys, "left")
+    good = (F.col("outcome") == "CONFIDENT") & F.col("longest").isNotNull()
+    refuse = good & (F.col("longest") >= most)
+    word = F.when(refuse, F.lit(None).cast("string")).when(good & F.col("word").isin("locked", "strong"), "fair").otherwise(F.col("word"))
+    return f.withColumn("word", word).withColumn("outcome", F.when(refuse, "REFUSED").otherwise(F.col("outcome"))).withColumn("unchecked", F.coalesce("unchecked", F.lit(0))).drop("longest")
+
+
 def overlap_join(ref: DataFrame, sub: DataFrame, keys: list[str], cell_s: float = 60.0) -> DataFrame:
     """``keys, r0, r1, p0, p1, share``: overlapping lines with overlap by union; both have start, end."""
     cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell_s).cast("long"), F.floor(F.greatest(a, b) / cell_s).cast("long")))
@@ -259,9 +297,15 @@ class Fitter:
         return sum(r * (b - a) for r, (a, b) in zip(rate, parts, strict=True)) / len(self.R)
 
     def refine(self, offset: float, a: int, b: int) -> float:
+        """The middle of the best offsets near one, all tried at once."""
         s = self.s
         grid = np.arange(offset - s.refine_window, offset + s.refine_window + s.refine_step, s.refine_step)
-        rate = np.array([self.hits(o, slice(a, b)).mean() for o in grid])
+        edge = np.r_[-np.inf, self.A, np.inf]
+        rate = np.zeros(len(grid))
+        for part in np.array_split(np.arange(len(grid)), 1 + len(grid) * (b - a) // 1_000_000):
+            x = self.R[a:b] - grid[part][:, None]
+            k = np.searchsorted(self.A, x)
+            rate[part] = (np.minimum(x - edge[k], edge[k + 1] - x) <= s.tol).mean(1)
         top = np.flatnonzero(rate >= rate.max() - 1e-12)
         return float(grid[top[0]] + grid[top[-1]]) / 2 if rate.max() > 0 else offset
 
@@ -353,7 +397,10 @@ def fit_pairs(pairs: DataFrame, settings: Settings = Settings(), max_segments: i
 
     kind = pairs.schema["pair_id"].dataType.simpleString()
     cols = pairs.select("pair_id", "ref", "sub", F.col("duration").cast("double").alias("duration"))
-    return cols.mapInPandas(run, f"pair_id {kind}, {FIT}")
+    # a number of parts: pairs are few rows and much work, and would else be gathered in few tasks
+    spark = pairs.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return cols.repartition(parts).mapInPandas(run, f"pair_id {kind}, {FIT}")
 
 
 def _place(ref: np.ndarray, sub: np.ndarray, lo: float, hi: float, o1: float, o2: float, floor, ceil, context: float, slack: float):
