@@ -131,3 +131,53 @@ def settled(expected: DataFrame, present: DataFrame, keys: list[str], item: str)
         F.sum(F.greatest(F.coalesce("p", F.lit(0)) - F.coalesce("e", F.lit(0)), F.lit(0))).alias("added"),
         F.sum(F.greatest(F.coalesce("e", F.lit(0)) - F.coalesce("p", F.lit(0)), F.lit(0))).alias("gone"),
     ).withColumn("settled", (F.col("added") == 0) & (F.col("gone") == 0))
+
+
+def scheme_episodes(names: DataFrame, schemes: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
+    """``names`` (keys, shape, numbers) with ``scheme_episode``, the number at the slot of their shape's scheme.
+
+    Null for shapes without a scheme, with one of less confidence, and for names with too few numbers.
+    """
+    s = schemes.where(F.col("confidence") >= least).select(*keys, "shape", "slot")
+    return names.join(s, [*keys, "shape"], "left").withColumn("scheme_episode", F.get("numbers", F.col("slot").cast("int"))).drop("slot")
+
+
+def dominant_scheme(schemes: DataFrame, keys: list[str]) -> DataFrame:
+    """Per folder the scheme of most files, of the greater confidence among those; the first shape of equals."""
+    w = Window.partitionBy(*keys).orderBy(F.col("files").desc(), F.col("confidence").desc(), "shape")
+    return schemes.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+
+def renumbering(videos: DataFrame, subtitles: DataFrame, keys: list[str], episode: str = "episode", least: int = 3, of_smaller: float = 0.6, of_larger: float = 0.4) -> DataFrame:
+    """Per group one of four shifts that lay the ends of two numberings on each other: ``shift, overlap, smaller``.
+
+    It must meet more numbers than no shift does, and enough of either side; the
+    first of equals stands: first on first, last on last, last on first, first on last.
+    """
+    distinct = lambda d, name: d.where(F.col(episode).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_set(episode)).alias(name))
+    both = distinct(videos, "v").join(distinct(subtitles, "s"), keys).where((F.size("v") >= least) & (F.size("s") >= least))
+    end = lambda c, i: F.element_at(c, i)
+    ends = ((1, 1), (-1, -1), (1, -1), (-1, 1))
+    shifts = F.array(*[end("s", b) - end("v", a) for b, a in ends])
+    met = lambda k: F.size(F.array_intersect(F.transform("v", lambda x: x + k), F.col("s")))
+    rows = both.withColumn("direct", met(F.lit(0))).withColumn("tried", F.transform(shifts, lambda k, i: F.struct(met(k).alias("overlap"), (-i).alias("order"), k.alias("shift"))))
+    best = F.array_max(F.filter("tried", lambda t: (t["shift"] != 0) & (t["overlap"] > F.col("direct"))))
+    small, large = F.least(F.size("v"), F.size("s")), F.greatest(F.size("v"), F.size("s"))
+    found = rows.withColumn("b", best).select(*keys, F.col("b.shift").alias("shift"), F.col("b.overlap").alias("overlap"), small.alias("smaller"), large.alias("larger"))
+    enough = (F.col("overlap") >= F.greatest(F.lit(float(least)), of_smaller * F.col("smaller"))) & (F.col("overlap") >= of_larger * F.col("larger"))
+    return found.where(F.col("shift").isNotNull() & enough).drop("larger")
+
+
+def entity_names(records: DataFrame, most: int = 256) -> DataFrame:
+    """``key, entity``: alias table from (entity, name, seq); the last record of an entity counts, both scripts must be there.
+
+    A key of more than ``most`` entities keeps the smallest, which is the table's own limit.
+    """
+    from ..functions.text import script_of, title_key
+
+    last = records.groupBy("entity").agg(F.max("seq").alias("seq"))
+    named = records.join(last, ["entity", "seq"]).select("entity", "name").distinct()
+    kinds = named.withColumn("script", script_of(F.col("name"))).groupBy("entity").agg(F.bool_or(F.col("script").isin("cjk", "mixed")).alias("cjk"), F.bool_or(F.col("script").isin("latin", "mixed")).alias("latin"))
+    keys = named.join(kinds.where("cjk and latin").select("entity"), "entity", "left_semi").select(title_key(F.col("name")).alias("key"), "entity").where("key <> ''").distinct()
+    w = Window.partitionBy("key").orderBy("entity")
+    return keys.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most).drop("__r")

@@ -64,15 +64,26 @@ def bridge(pairs: DataFrame, alias: DataFrame, max_entities: int = 64) -> DataFr
 def gram_top_k(queries: DataFrame, titles: DataFrame, k: int = 300) -> DataFrame:
     """``query, title, jaccard, rank``: the k titles of greatest bigram Jaccard per query.
 
-    Both have id and grams (distinct).  Grams are exploded and counted in an
-    equality join; the rank keeps k, which is the operator's own limit.
+    Both have id and grams (distinct).  Equal gram sets are one class, named by its
+    smallest id: classes are compared, by exploded grams, an equality join and a
+    count, and of a class only the k smallest ids can be among the first k of any
+    query, as only the k best classes can.  The rank keeps k, which is the
+    operator's own limit.
     """
-    q = queries.select(F.col("id").alias("query"), F.size("grams").alias("nq"), F.explode("grams").alias("g"))
-    t = titles.select(F.col("id").alias("title"), F.size("grams").alias("nt"), F.explode("grams").alias("g"))
-    n = q.join(t, "g").groupBy("query", "title").agg(F.count("*").alias("n"), F.first("nq").alias("nq"), F.first("nt").alias("nt"))
-    s = n.select("query", "title", (F.col("n") / (F.col("nq") + F.col("nt") - F.col("n"))).alias("jaccard"))
+    sets = lambda d: d.select("id", F.array_sort("grams").alias("g"))
+    place = F.row_number().over(Window.partitionBy("g").orderBy("id"))
+    members = sets(titles).withColumn("place", place).where(F.col("place") <= k)
+    asked = sets(queries)
+    ends = [d.groupBy("g").agg(F.min("id").alias("c")) for d in (asked, members)]
+    q, t = (d.select(F.col("c").alias(c), F.size("g").alias(f"n_{c}"), F.explode("g").alias("x")) for d, c in zip(ends, "qt", strict=True))
+    n = q.join(t, "x").groupBy("q", "t").agg(F.count("*").alias("n"), F.first("n_q").alias("nq"), F.first("n_t").alias("nt"))
+    s = n.select("q", "t", (F.col("n") / (F.col("nq") + F.col("nt") - F.col("n"))).alias("jaccard"))
+    near = s.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.col("jaccard").desc(), "t"))).where(F.col("r") <= k)
+    of_query = asked.join(ends[0].withColumnRenamed("c", "q"), "g").select(F.col("id").alias("query"), "q")
+    of_title = members.join(ends[1].withColumnRenamed("c", "t"), "g").select(F.col("id").alias("title"), "t")
+    both = near.join(of_title, "t").join(of_query, "q")
     w = Window.partitionBy("query").orderBy(F.col("jaccard").desc(), "title")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return both.select("query", "title", "jaccard", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
 
 
 def accept_best(scored: DataFrame, accept: float = 0.85, margin: float = 0.10) -> DataFrame:
@@ -111,7 +122,11 @@ def pair_films(videos: DataFrame, subtitles: DataFrame) -> DataFrame:
 
 
 def claim(paths: DataFrame, roots: DataFrame) -> DataFrame:
-    """The side whose root is the longest prefix of a path; ``roots``: root, side."""
-    r = F.broadcast(roots)  # a handful that the caller names
-    hit = paths.join(r, F.startswith(F.col("path"), F.concat(F.col("root"), F.lit("/"))))
+    """The side whose root is the longest prefix of a path; ``roots``: root, side.
+
+    Each path meets roots by equality with the folders above it, so roots may be many.
+    """
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    hit = paths.select("path", F.explode(above).alias("root")).join(roots, "root")
     return hit.groupBy("path").agg(F.max_by("side", F.length("root")).alias("side"))

@@ -71,6 +71,60 @@ def ownership(plan: DataFrame) -> DataFrame:
     return p.withColumn("action", F.when((F.col("action") == "supersede") & F.col("owned"), "keep").otherwise(F.col("action"))).drop("owned")
 
 
+def settle_ownership(plan: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """``plan`` (video, lang, path, action, target) after two rules on files that several videos need.
+
+    A write in place, over a source that another video's slot also answers with,
+    is refused; a file that any slot still writes from, or that answers a video
+    this run skipped as settled (``answers``: path, video), is superseded by none.
+    """
+    claims = plan.where("action = 'write'").select("path", "video")
+    if answers is not None:
+        claims = claims.union(answers.select("path", "video"))
+    shared = claims.distinct().groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path", F.lit(True).alias("shared"))
+    p = plan.join(shared, "path", "left")
+    over = (F.col("action") == "write") & (F.col("target") == F.col("path")) & F.coalesce("shared", F.lit(False))
+    p = p.withColumn("action", F.when(over, "refuse").otherwise(F.col("action"))).drop("shared")
+    owned = p.where("action = 'write'").select("path")
+    if answers is not None:
+        owned = owned.union(answers.select("path"))
+    p = p.join(owned.distinct().withColumn("owned", F.lit(True)), "path", "left")
+    return p.withColumn("action", F.when((F.col("action") == "supersede") & F.col("owned"), "keep").otherwise(F.col("action"))).drop("owned")
+
+
+def distinguishing_tags(candidates: DataFrame, most: int = 24) -> DataFrame:
+    """``candidates`` (video, lang, path, stem, video_stem, seq) with ``tag``, which tells those of a slot apart.
+
+    What a stem has besides the video's; none for the first that is the video's
+    own; the head of a digest of the path where nothing is left or another has it.
+    """
+    stem, own = F.lower("stem"), F.lower("video_stem")
+    plain = (own != "") & (stem == own)
+    at = F.instr(stem, own)
+    left = F.when((own != "") & (at > 0), F.concat(F.substr(stem, F.lit(1), at - 1), F.substr(stem, at + F.length(own)))).otherwise(F.col("stem"))
+    left = F.substring(F.regexp_replace(left, r"[^\p{L}\p{N}_-]", ""), 1, most)
+    digest = F.substring(F.sha1(F.col("path").cast("binary")), 1, 8)
+    c = candidates.withColumn("__left", F.when(plain, "").otherwise(F.when(left == "", digest).otherwise(left)))
+    first = F.row_number().over(Window.partitionBy("video", "lang", F.lower("__left")).orderBy("seq", "path")) == 1
+    return c.withColumn("tag", F.when(~first, digest).when(F.col("__left") != "", F.col("__left"))).drop("__left")
+
+
+def mirror_root(folders: DataFrame) -> DataFrame:
+    """``root``: the deepest folder above all of ``folders`` (folder), in one row; null without any.
+
+    Partial minima and maxima suffice: what the first and the last folder in order share, all share.
+    """
+    ends = folders.agg(F.min("folder").alias("a"), F.max("folder").alias("b"))
+    a, b = F.split("a", "/"), F.split("b", "/")
+    same = F.transform(F.sequence(F.lit(1), F.least(F.size(a), F.size(b))), lambda i: F.slice(a, F.lit(1), i) == F.slice(b, F.lit(1), i))
+    return ends.select(F.when(F.col("a").isNotNull(), F.array_join(F.slice(a, F.lit(1), F.size(F.filter(same, lambda x: x))), "/")).alias("root"))
+
+
+def output_folder(folder: Column, root: Column, out: str) -> Column:
+    """The folder below ``out`` that stands for one below ``root``."""
+    return F.concat(F.lit(out.rstrip("/")), F.when(F.startswith(folder, root), F.substr(folder, F.length(root) + 1)).otherwise(""))
+
+
 def resolve_claims(pairs: DataFrame) -> DataFrame:
     """Asserted pairs: exact repeats collapse to the first; a subtitle of several videos is refused everywhere."""
     first = pairs.groupBy("video", "subtitle").agg(F.min("seq").alias("seq"))

@@ -69,12 +69,18 @@ def render(text: str, kind: str, cues: list[dict], segments: list[dict]) -> str:
     return apply_edits(text, edits)
 
 
+def _whole_spans(c: dict) -> dict:
+    """A cue from a batch in which some cue has no span: Arrow hands all spans over as floats then."""
+    spans = ("start_at", "start_to", "end_at", "end_to", "block_at", "block_to")
+    return dict(c) | {k: None if c[k] is None or c[k] != c[k] else int(c[k]) for k in spans}
+
+
 def render_files(files: DataFrame) -> DataFrame:
     """Rows of read files with ``segments`` to (path, status, reason, content)."""
 
     def one(r) -> dict:
         try:
-            new = render(r.text, r.format, list(r.cues), list(r.segments))
+            new = render(r.text, r.format, [_whole_spans(c) for c in r.cues], list(r.segments))
             return dict(path=r.path, status="OK", reason="", content=encode_back(new, r.encoding, bytes(r.bom or b"")))
         except (ValueError, LookupError) as bad:
             return dict(path=r.path, status="ERROR", reason=str(bad), content=None)
