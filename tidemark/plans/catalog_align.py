@@ -25,13 +25,12 @@ def query(sql: str | None = None):
 
 
 @query(f"""WITH {MOMENTS},
-g AS (SELECT pair_id, list_sort(list_distinct(list(round_even(t, 3)))) AS xs FROM moments WHERE side = 0 GROUP BY pair_id),
-k AS (SELECT pair_id, list_reduce(list_transform(xs, lambda x: [x]), lambda kept, x: CASE WHEN x[1] - kept[-1] > 15e-2 THEN list_concat(kept, x) ELSE kept END) AS s FROM g)
-SELECT pair_id, len(s) AS n, s[1] AS first, s[-1] AS last FROM k""")
+g AS (SELECT pair_id, side, list_sort(list_distinct(list(round_even(t, 3)))) AS xs FROM moments GROUP BY pair_id, side),
+k AS (SELECT pair_id, side, list_reduce(list_transform(xs, lambda x: [x]), lambda kept, x: CASE WHEN x[1] - kept[-1] > 15e-2 THEN list_concat(kept, x) ELSE kept END) AS s FROM g)
+SELECT pair_id, side, len(s) AS n, s[1] AS first, s[-1] AS last FROM k""")
 def unique_starts(spark, d):
-    r, _ = inputs.sides(spark, d)
-    s = align.unique_starts(r, K)
-    return s.select("pair_id", F.size("starts").cast("long").alias("n"), F.element_at("starts", 1).alias("first"), F.element_at("starts", -1).alias("last"))
+    s = align.unique_starts(inputs.moments(spark, d), ["pair_id", "side"])
+    return s.select("pair_id", "side", F.size("starts").cast("long").alias("n"), F.element_at("starts", 1).alias("first"), F.element_at("starts", -1).alias("last"))
 
 
 @query(f"""WITH {MOMENTS},
@@ -90,13 +89,10 @@ o AS (SELECT *, head + tail AS total, row_number() OVER (PARTITION BY pair_id OR
 SELECT pair_id, k, total::BIGINT AS total, first, second FROM o WHERE rk = 1""")
 def best_single_cut(spark, d):
     r, a = inputs.sides(spark, d)
-    r = r.distinct()
-    hit = None
-    for c in range(3):
-        h = align.nearest_hits(r, a, K, c * 7.0, 5.0).select(
-            "pair_id", (F.row_number().over(Window.partitionBy("pair_id").orderBy("t")) - 1).alias("i"), F.lit(c).alias("cand"), "hit"
-        )
-        hit = h if hit is None else hit.union(h)
+    cands = F.explode(F.array(*[F.lit(c) for c in range(3)])).alias("cand")
+    both = [*K, "cand"]
+    hit = align.nearest_hits(r.distinct().select("*", cands), a.select("*", cands), both, F.col("cand") * 7.0, 5.0)
+    hit = hit.withColumn("i", F.row_number().over(Window.partitionBy(*both).orderBy("t")) - 1)
     return align.best_cut(hit, K).withColumn("k", F.col("k").cast("long"))
 
 
@@ -104,15 +100,14 @@ SEGMENTS = "array(struct(double(1800) as split, 1.5D as offset), struct(double(3
 
 
 @query(f"""WITH {MOMENTS}
-SELECT pair_id, t, t + CASE WHEN t >= 3600e0 + 825e-2 THEN 4e0 WHEN t >= 1800e0 - 15e-1 THEN -825e-2 ELSE 15e-1 END AS mapped,
+SELECT pair_id, side, t, t + CASE WHEN t >= 3600e0 + 825e-2 THEN 4e0 WHEN t >= 1800e0 - 15e-1 THEN -825e-2 ELSE 15e-1 END AS mapped,
        t >= 17985e-1 AND t < 17985e-1 + 975e-2 AS removed,
        CASE WHEN t < 1800 THEN 15e-1 WHEN t < 3600 THEN -825e-2 ELSE 4e0 END AS offset_there
-FROM moments WHERE side = 1""")
+FROM moments""")
 def piecewise_mapping(spark, d):
-    _, a = inputs.sides(spark, d)
-    a = a.withColumn("g", F.expr(SEGMENTS))
+    a = inputs.moments(spark, d).withColumn("g", F.expr(SEGMENTS))
     return a.select(
-        "pair_id", "t", align.map_time(F.col("t"), F.col("g")).alias("mapped"), align.is_removed(F.col("t"), F.col("g")).alias("removed"),
+        "pair_id", "side", "t", align.map_time(F.col("t"), F.col("g")).alias("mapped"), align.is_removed(F.col("t"), F.col("g")).alias("removed"),
         align.offset_at(F.col("t"), F.col("g")).alias("offset_there"),
     )
 
@@ -137,12 +132,11 @@ def unchecked_runs(spark, d):
 
 
 @query(f"""WITH {MOMENTS},
-g AS (SELECT pair_id, t, t - lag(t) OVER (PARTITION BY pair_id ORDER BY t) AS gap FROM moments WHERE side = 1),
-e AS (SELECT pair_id, coalesce(max(t) FILTER (gap <= 20e0), min(t)) AS e FROM g GROUP BY pair_id)
-SELECT pair_id, CASE WHEN e > 0 THEN e END AS content_end FROM e""")
+g AS (SELECT pair_id, side, t, t - lag(t) OVER (PARTITION BY pair_id, side ORDER BY t) AS gap FROM moments),
+e AS (SELECT pair_id, side, coalesce(max(t) FILTER (gap <= 20e0), min(t)) AS e FROM g GROUP BY 1, 2)
+SELECT pair_id, side, CASE WHEN e > 0 THEN e END AS content_end FROM e""")
 def content_end(spark, d):
-    _, a = inputs.sides(spark, d)
-    return runtime.content_end(a, K, "t", 20.0)
+    return runtime.content_end(inputs.moments(spark, d), ["pair_id", "side"], "t", 20.0)
 
 
 @query(f"""WITH {VIDEOS}, {SUBTITLES}
@@ -157,7 +151,7 @@ def runtime_gate(spark, d):
 
 
 OFFSETS = """
-o AS (SELECT l_suppkey % 50 AS g, ((l_partkey * 37) % 4000)::DOUBLE AS offset_ms FROM lineitem WHERE l_linenumber = 1)"""
+o AS (SELECT l_suppkey % 50 AS g, ((l_partkey * 37) % 4000)::DOUBLE AS offset_ms FROM lineitem)"""
 
 
 @query(f"""WITH {OFFSETS},
@@ -169,24 +163,6 @@ f AS (SELECT t.g, t.n, t.size, min(r.i) AS lo FROM t JOIN r ON t.g = r.g AND r.o
 SELECT f.g, f.size, f.n::DOUBLE / f.size AS coherence, r.offset_ms AS centre, f.size >= 3 AND f.n::DOUBLE / f.size >= 6e-1 AS coheres
 FROM f JOIN r ON f.g = r.g AND r.i = f.lo + f.n // 2""")
 def cluster_coherence(spark, d):
-    o = table(spark, d, "lineitem").where("l_linenumber = 1").select((F.col("l_suppkey") % 50).alias("g"), ((F.col("l_partkey") * 37) % 4000).cast("double").alias("offset_ms"))
-    return agreement.coherence(o, ["g"])
-
-
-ALL_OFFSETS = """
-o AS (SELECT l_suppkey % 50 AS g, ((l_partkey * 37) % 4000)::DOUBLE AS offset_ms FROM lineitem)"""
-
-
-@query(f"""WITH {ALL_OFFSETS},
-n AS (SELECT g, offset_ms AS o, count(*) OVER w AS n, min(offset_ms) OVER w AS below FROM o WINDOW w AS (PARTITION BY g ORDER BY offset_ms RANGE BETWEEN 500 PRECEDING AND 500 FOLLOWING)),
-b AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, o) AS rk, count(*) OVER (PARTITION BY g) AS size FROM n),
-t AS (SELECT g, n, below, size FROM b WHERE rk = 1),
-r AS (SELECT g, offset_ms, row_number() OVER (PARTITION BY g ORDER BY offset_ms) AS i FROM o),
-f AS (SELECT t.g, t.n, t.size, min(r.i) AS lo FROM t JOIN r ON t.g = r.g AND r.offset_ms >= t.below GROUP BY 1, 2, 3)
-SELECT f.g, f.size, f.n::DOUBLE / f.size AS coherence, r.offset_ms AS centre, f.size >= 3 AND f.n::DOUBLE / f.size >= 6e-1 AS coheres
-FROM f JOIN r ON f.g = r.g AND r.i = f.lo + f.n // 2""")
-def cluster_coherence_whole(spark, d):
-    """cluster_coherence over all lineitem rows."""
     o = table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("g"), ((F.col("l_partkey") * 37) % 4000).cast("double").alias("offset_ms"))
     return agreement.coherence(o, ["g"])
 
@@ -218,12 +194,13 @@ def judge_fits(spark, d):
 
 
 FAILING = """
-x AS (SELECT DISTINCT l_orderkey AS g, l_linenumber * 120e0 AS t0 FROM lineitem WHERE (l_orderkey + l_linenumber) % 4 <> 0),
+x AS (SELECT DISTINCT l_orderkey AS g, (l_linenumber + CASE WHEN (l_orderkey + l_linenumber) % 4 = 0 THEN 10 ELSE 0 END) * 120e0 AS t0 FROM lineitem),
 f AS (SELECT g, t0, t0 / 40e0 - (g % 3) * (t0 * 7e0 % 11e0) AS jump FROM x)"""
 
 
 def failing(spark, d):
-    x = table(spark, d, "lineitem").where("(l_orderkey + l_linenumber) % 4 <> 0").select(F.col("l_orderkey").alias("g"), (F.col("l_linenumber") * F.lit(120.0)).alias("t0")).distinct()
+    far = F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 4 == 0, 10).otherwise(0)
+    x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("g"), ((F.col("l_linenumber") + far) * F.lit(120.0)).alias("t0")).distinct()
     return x.select("g", "t0", (F.col("t0") / 40.0 - (F.col("g") % 3) * (F.col("t0") * 7.0 % 11.0)).alias("jump"))
 
 

@@ -62,8 +62,8 @@ def title_similarity(spark, d):
     return p.select("a", "b", "jaccard", identity.alias("identity"))
 
 
-@query("""WITH t AS (SELECT doc_id, substr(text, 1, 400) AS s FROM documents)
-SELECT doc_id, CASE WHEN regexp_matches(s, '[A-Za-z]') THEN 'latin' ELSE 'other' END AS script FROM t""")
+@query("""WITH t AS (SELECT doc_id, regexp_matches(text, '[A-Za-z]') AS latin, regexp_matches(text, '[\u3040-\u309F\u30A0-\u30FF\uFF66-\uFF9F\u4E00-\u9FFF\u3400-\u4DBF]') AS cjk FROM documents)
+SELECT doc_id, CASE WHEN cjk AND latin THEN 'mixed' WHEN cjk THEN 'cjk' WHEN latin THEN 'latin' ELSE 'other' END AS script FROM t""")
 def script_class(spark, d):
     return table(spark, d, "documents").select("doc_id", text.script_of(F.col("text")).alias("script"))
 
@@ -164,24 +164,12 @@ def film_name_parts(spark, d):
     )
 
 
-@query("""WITH v AS (SELECT l_orderkey AS id, unnest([l_partkey % 3, l_suppkey % 3, l_linenumber % 3])::DOUBLE AS episode, l_linenumber FROM lineitem WHERE l_linenumber = 1),
-n AS (SELECT id, episode, count(*) AS n FROM v GROUP BY 1, 2),
-g AS (SELECT id, sum(n) AS all_n, count(*) AS kinds, arg_max(episode, n * 10 - episode) AS top, max(n) AS tn FROM n GROUP BY id),
-s AS (SELECT *, CASE WHEN all_n = 1 THEN 'sole' WHEN kinds = 1 THEN 'agree' WHEN tn >= 2 AND tn > all_n - tn THEN 'majority' ELSE 'disagree' END AS state FROM g)
-SELECT id, state, CASE WHEN state <> 'disagree' THEN top END AS episode FROM s""")
-def parser_vote(spark, d):
-    x = table(spark, d, "lineitem").where("l_linenumber = 1")
-    v = x.select(F.col("l_orderkey").alias("id"), F.explode(F.array(F.col("l_partkey") % 3, F.col("l_suppkey") % 3, (F.col("l_linenumber") % 3).cast("long"))).alias("e"))
-    return names.vote(v.select("id", F.col("e").cast("double").alias("episode")), ["id"])
-
-
 @query("""WITH v AS (SELECT l_orderkey * 10 + l_linenumber AS id, unnest([l_partkey % 3, l_suppkey % 3, l_linenumber % 3])::DOUBLE AS episode FROM lineitem),
 n AS (SELECT id, episode, count(*) AS n FROM v GROUP BY 1, 2),
 g AS (SELECT id, sum(n) AS all_n, count(*) AS kinds, arg_max(episode, n * 10 - episode) AS top, max(n) AS tn FROM n GROUP BY id),
 s AS (SELECT *, CASE WHEN all_n = 1 THEN 'sole' WHEN kinds = 1 THEN 'agree' WHEN tn >= 2 AND tn > all_n - tn THEN 'majority' ELSE 'disagree' END AS state FROM g)
 SELECT id, state, CASE WHEN state <> 'disagree' THEN top END AS episode FROM s""")
-def parser_vote_whole(spark, d):
-    """parser_vote on each line of an order, not on its first only."""
+def parser_vote(spark, d):
     x = table(spark, d, "lineitem")
     v = x.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.explode(F.array(F.col("l_partkey") % 3, F.col("l_suppkey") % 3, (F.col("l_linenumber") % 3).cast("long"))).alias("e"))
     return names.vote(v.select("id", F.col("e").cast("double").alias("episode")), ["id"])

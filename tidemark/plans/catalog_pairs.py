@@ -59,8 +59,10 @@ def unpaired_videos(spark, d):
     return pairing.unpaired(inputs.videos(spark, d), edges(spark, d))
 
 
+#: Numberings that meet in shows of even number and don't in the others.
 SPLIT = """
-low AS (SELECT * FROM videos WHERE episode < 8), high AS (SELECT * FROM subtitles WHERE episode >= 6)"""
+low AS (SELECT * REPLACE (episode % 8 AS episode) FROM videos),
+high AS (SELECT * REPLACE (6 + episode % 25 + 30 * (substr(title, 6)::INT % 2) AS episode) FROM subtitles)"""
 
 
 @query(f"""WITH {VIDEOS}, {SUBTITLES}, {SPLIT},
@@ -70,41 +72,31 @@ pool AS (SELECT title, season, path, row_number() OVER (PARTITION BY title, seas
 SELECT v.path AS video, p.path AS subtitle, true AS speculative FROM low v JOIN pool p ON v.title = p.title AND v.season = p.season
 WHERE p.r <= 64 AND v.path NOT IN (SELECT video FROM e) AND NOT EXISTS (SELECT 1 FROM shared x WHERE x.title = v.title AND x.season = v.season)""")
 def absolute_fallback(spark, d):
-    v, s = inputs.videos(spark, d).where("episode < 8"), inputs.subtitles(spark, d).where("episode >= 6")
+    v = inputs.videos(spark, d).withColumn("episode", F.col("episode") % 8)
+    s = inputs.subtitles(spark, d).withColumn("episode", 6 + F.col("episode") % 25 + 30 * (F.expr("substr(title, 6)").cast("int") % 2))
     return pairing.absolute_fallback(v, s, pairing.block(v, s, ["title"]), ["title"])
 
 
 @query(f"""WITH {VIDEOS}, {SUBTITLES},
-v AS (SELECT DISTINCT title, season, episode FROM videos WHERE season IS NOT NULL AND episode < 5),
-s AS (SELECT DISTINCT title, season, episode FROM subtitles WHERE season IS NOT NULL AND episode BETWEEN 7 AND 11),
+v AS (SELECT DISTINCT title, season, episode % 9 AS episode FROM videos WHERE season IS NOT NULL),
+s AS (SELECT DISTINCT title, season, episode % 9 + season * 7 AS episode FROM subtitles WHERE season IS NOT NULL),
 c AS (SELECT v.title, v.season, s.episode - v.episode AS k, count(*) AS n FROM v JOIN s ON v.title = s.title AND v.season = s.season GROUP BY 1, 2, 3),
 m AS (SELECT title, season, max(n) AS cover FROM c GROUP BY 1, 2),
 t AS (SELECT m.title, m.season, m.cover, count(*) AS ties, min(k) AS k FROM m JOIN c ON c.title = m.title AND c.season = m.season AND c.n = m.cover GROUP BY 1, 2, 3)
 SELECT title, season, CASE WHEN ties = 1 AND k <> 0 AND cover >= 2 THEN k END AS shift, cover FROM t""")
 def numbering_shift(spark, d):
-    v = inputs.videos(spark, d).where("season is not null and episode < 5")
-    s = inputs.subtitles(spark, d).where("season is not null and episode between 7 and 11")
+    v = inputs.videos(spark, d).withColumn("episode", F.col("episode") % 9)
+    s = inputs.subtitles(spark, d).withColumn("episode", F.col("episode") % 9 + F.col("season") * 7)
+    v, s = v.where("season is not null"), s.where("season is not null")  # numberings are those of seasons
     return agreement.numbering_shift(v, s, ["title", "season"])
 
 
-@query("""WITH a AS (SELECT DISTINCT l_partkey % 300 AS key, l_suppkey % 40 AS entity FROM lineitem WHERE l_linenumber = 2),
-n AS (SELECT key FROM a GROUP BY key HAVING count(*) <= 8),
-k AS (SELECT * FROM a WHERE key IN (SELECT key FROM n)),
-p AS (SELECT DISTINCT o_orderkey % 300 AS a, o_custkey % 300 AS b FROM orders)
-SELECT p.a, p.b, (SELECT min(x.entity) FROM k x JOIN k y ON x.entity = y.entity WHERE x.key = p.a AND y.key = p.b) AS entity FROM p""")
-def alias_bridge(spark, d):
-    alias = table(spark, d, "lineitem").where("l_linenumber = 2").select((F.col("l_partkey") % 300).alias("key"), (F.col("l_suppkey") % 40).alias("entity"))
-    pairs = table(spark, d, "orders").select((F.col("o_orderkey") % 300).alias("a"), (F.col("o_custkey") % 300).alias("b")).distinct()
-    return pairing.bridge(pairs, alias, 8)
-
-
 @query("""WITH a AS (SELECT DISTINCT l_partkey % 300 AS key, l_suppkey % 40 AS entity FROM lineitem),
 k AS (SELECT * FROM a WHERE key IN (SELECT key FROM a GROUP BY key HAVING count(*) <= 64)),
 p AS (SELECT DISTINCT o_orderkey % 300 AS a, o_custkey % 300 AS b FROM orders),
 f AS (SELECT p.a, p.b, min(x.entity) AS entity FROM p JOIN k x ON x.key = p.a JOIN k y ON y.key = p.b AND y.entity = x.entity GROUP BY 1, 2)
 SELECT p.a, p.b, f.entity FROM p LEFT JOIN f ON f.a = p.a AND f.b = p.b""")
-def alias_bridge_whole(spark, d):
-    """alias_bridge over all lineitem rows, with the operator's own limit of entities."""
+def alias_bridge(spark, d):
     alias = table(spark, d, "lineitem").select((F.col("l_partkey") % 300).alias("key"), (F.col("l_suppkey") % 40).alias("entity"))
     pairs = table(spark, d, "orders").select((F.col("o_orderkey") % 300).alias("a"), (F.col("o_custkey") % 300).alias("b")).distinct()
     return pairing.bridge(pairs, alias)
@@ -135,45 +127,8 @@ def accept_clear_best(spark, d):
     return pairing.accept_best(s)
 
 
+#: Folders and keys that grow with the tables.
 FILMS = """
-fv AS (SELECT '/films/' || (o_orderkey % 700) || '/f' || o_orderkey || '.mkv' AS path, 'k' || (o_orderkey % 400) AS key,
-         CASE WHEN o_orderkey % 3 <> 0 THEN 1990 + o_orderkey % 7 END AS year, CASE WHEN o_orderkey % 5 = 0 THEN 'extended' WHEN o_orderkey % 7 = 0 THEN 'theatrical' END AS edition,
-         5000e0 + o_orderkey % 900 AS seconds FROM orders WHERE o_orderkey < 900),
-fs AS (SELECT '/films/' || (p_partkey % 700) || CASE WHEN p_partkey % 4 = 0 THEN '/subs' ELSE '' END || '/s' || p_partkey || '.srt' AS path, 'k' || (p_partkey * 3 % 500) AS key,
-         CASE WHEN p_partkey % 4 <> 0 THEN 1990 + p_partkey % 7 END AS year, CASE WHEN p_partkey % 6 = 0 THEN 'extended' END AS edition,
-         4800e0 + p_partkey * 11 % 2500 AS seconds FROM part)"""
-
-
-@query(f"""WITH {FILMS},
-v AS (SELECT path AS video, key AS vk, year AS vy, edition AS ve, seconds AS vs, regexp_extract(path, '^(.*)/[^/]*$', 1) AS vd FROM fv),
-s AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM fs),
-o AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY vd) AS n FROM v) WHERE n = 1),
-c AS (SELECT s.*, v.*, 1 AS rung FROM s JOIN v ON s.key = v.vk AND s.year IS NOT DISTINCT FROM v.vy
- UNION ALL SELECT s.*, v.*, 2 FROM s JOIN v ON s.key = v.vk AND (s.year IS NULL) <> (v.vy IS NULL)
- UNION ALL SELECT s.*, o.* EXCLUDE (n), 3 FROM s JOIN o ON s.dir = o.vd
- UNION ALL SELECT s.*, o.* EXCLUDE (n), 3 FROM s JOIN o ON regexp_extract(s.dir, '^(.*)/[^/]*$', 1) = o.vd WHERE s.dir NOT IN (SELECT vd FROM v)),
-k AS (SELECT * FROM c WHERE NOT coalesce(edition <> ve, false) AND NOT (seconds > vs * 125e-2 AND seconds - vs > 120e0)),
-b AS (SELECT *, min(rung) OVER (PARTITION BY path) AS top FROM k)
-SELECT path AS subtitle, video, rung,
-  CASE WHEN dir = vd THEN 1e0 WHEN starts_with(dir, vd || '/') OR starts_with(vd, dir || '/') THEN 7e-1
-       WHEN regexp_extract(dir, '^(.*)/[^/]*$', 1) = regexp_extract(vd, '^(.*)/[^/]*$', 1) THEN 5e-1 ELSE 2e-1 END AS proximity,
-  abs(vs - seconds) AS gap FROM b WHERE rung = top""")
-def film_pairing(spark, d):
-    k, p = F.col("o_orderkey"), F.col("p_partkey")
-    v = table(spark, d, "orders").where("o_orderkey < 900").select(
-        F.concat(F.lit("/films/"), (k % 700).cast("string"), F.lit("/f"), k.cast("string"), F.lit(".mkv")).alias("path"), F.concat(F.lit("k"), (k % 400).cast("string")).alias("key"),
-        F.when(k % 3 != 0, 1990 + k % 7).alias("year"), F.when(k % 5 == 0, "extended").when(k % 7 == 0, "theatrical").alias("edition"), (5000.0 + k % 900).alias("seconds"),
-    )
-    s = table(spark, d, "part").select(
-        F.concat(F.lit("/films/"), (p % 700).cast("string"), F.when(p % 4 == 0, "/subs").otherwise(""), F.lit("/s"), p.cast("string"), F.lit(".srt")).alias("path"),
-        F.concat(F.lit("k"), (p * 3 % 500).cast("string")).alias("key"), F.when(p % 4 != 0, 1990 + p % 7).alias("year"), F.when(p % 6 == 0, "extended").alias("edition"),
-        (4800.0 + p * 11 % 2500).alias("seconds"),
-    )
-    return pairing.pair_films(v, s)
-
-
-#: As FILMS, with folders and keys that grow with the tables.
-ALL_FILMS = """
 fv AS (SELECT '/films/' || (o_orderkey * 7 // 10) || '/f' || o_orderkey || '.mkv' AS path, 'k' || (o_orderkey // 3) AS key,
          CASE WHEN o_orderkey % 3 <> 0 THEN 1990 + o_orderkey % 7 END AS year, CASE WHEN o_orderkey % 5 = 0 THEN 'extended' WHEN o_orderkey % 7 = 0 THEN 'theatrical' END AS edition,
          5000e0 + o_orderkey % 900 AS seconds FROM orders),
@@ -182,7 +137,7 @@ fs AS (SELECT '/films/' || (p_partkey * 5) || CASE WHEN p_partkey % 4 = 0 THEN '
          4800e0 + p_partkey * 11 % 2500 AS seconds FROM part)"""
 
 
-@query(f"""WITH {ALL_FILMS},
+@query(f"""WITH {FILMS},
 v AS (SELECT path AS video, key AS vk, year AS vy, edition AS ve, seconds AS vs, regexp_extract(path, '^(.*)/[^/]*$', 1) AS vd FROM fv),
 s AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM fs),
 o AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY vd) AS n FROM v) WHERE n = 1),
@@ -196,8 +151,7 @@ SELECT path AS subtitle, video, rung,
   CASE WHEN dir = vd THEN 1e0 WHEN starts_with(dir, vd || '/') OR starts_with(vd, dir || '/') THEN 7e-1
        WHEN regexp_extract(dir, '^(.*)/[^/]*$', 1) = regexp_extract(vd, '^(.*)/[^/]*$', 1) THEN 5e-1 ELSE 2e-1 END AS proximity,
   abs(vs - seconds) AS gap FROM b WHERE rung = top""")
-def film_pairing_whole(spark, d):
-    """film_pairing over all orders."""
+def film_pairing(spark, d):
     k, p, text = F.col("o_orderkey"), F.col("p_partkey"), lambda c: c.cast("long").cast("string")
     v = table(spark, d, "orders").select(
         F.concat(F.lit("/films/"), text(F.floor(k * 7 / 10)), F.lit("/f"), text(k), F.lit(".mkv")).alias("path"), F.concat(F.lit("k"), text(F.floor(k / 3))).alias("key"),
@@ -303,36 +257,29 @@ def separation_test(spark, d):
     return ranking.separated(s)
 
 
-@query("""WITH p AS (SELECT l_orderkey % 500 AS video, l_partkey AS subtitle, min(l_orderkey * 10 + l_linenumber) AS seq FROM lineitem WHERE l_linenumber < 3 GROUP BY 1, 2)
-SELECT seq, video, subtitle, count(*) OVER (PARTITION BY subtitle) > 1 AS refused FROM p""")
-def claim_collisions(spark, d):
-    p = table(spark, d, "lineitem").where("l_linenumber < 3").select((F.col("l_orderkey") % 500).alias("video"), F.col("l_partkey").alias("subtitle"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
-    return ranking.resolve_claims(p)
-
-
 @query("""WITH p AS (SELECT l_orderkey % 500 AS video, l_partkey AS subtitle, min(l_orderkey * 10 + l_linenumber) AS seq FROM lineitem GROUP BY 1, 2)
 SELECT seq, video, subtitle, count(*) OVER (PARTITION BY subtitle) > 1 AS refused FROM p""")
-def claim_collisions_whole(spark, d):
-    """claim_collisions over all lineitem rows."""
+def claim_collisions(spark, d):
     p = table(spark, d, "lineitem").select((F.col("l_orderkey") % 500).alias("video"), F.col("l_partkey").alias("subtitle"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
     return ranking.resolve_claims(p)
 
 
-@query("""WITH e AS (SELECT l_orderkey % 800 AS g, l_suppkey % 10 AS item, count(*) AS e FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2),
-p AS (SELECT l_orderkey % 800 AS g, l_suppkey % 10 AS item, count(*) AS p FROM lineitem WHERE l_linenumber = 2 GROUP BY 1, 2),
+#: Odd lines of an order are one side, even ones the other.
+@query("""WITH e AS (SELECT l_orderkey % 800 AS g, l_suppkey % 10 AS item, count(*) AS e FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY 1, 2),
+p AS (SELECT l_orderkey % 800 AS g, l_suppkey % 10 AS item, count(*) AS p FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1, 2),
 b AS (SELECT coalesce(e.g, p.g) AS g, coalesce(e, 0) AS e, coalesce(p, 0) AS p FROM e FULL JOIN p ON e.g = p.g AND e.item = p.item)
 SELECT g, sum(greatest(p - e, 0))::BIGINT AS added, sum(greatest(e - p, 0))::BIGINT AS gone, sum(abs(p - e)) = 0 AS settled FROM b GROUP BY g""")
 def settled_multisets(spark, d):
     x = table(spark, d, "lineitem").select((F.col("l_orderkey") % 800).alias("g"), (F.col("l_suppkey") % 10).alias("item"), "l_linenumber")
-    return agreement.settled(x.where("l_linenumber = 1").drop("l_linenumber"), x.where("l_linenumber = 2").drop("l_linenumber"), ["g"], "item")
+    return agreement.settled(x.where("l_linenumber % 2 = 1").drop("l_linenumber"), x.where("l_linenumber % 2 = 0").drop("l_linenumber"), ["g"], "item")
 
 
-@query("""WITH s AS (SELECT l_orderkey % 800 AS g, l_suppkey % 4 AS item, count(*) AS a FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2),
-b AS (SELECT l_orderkey % 800 AS g, l_suppkey % 4 AS item, count(*) AS b FROM lineitem WHERE l_linenumber <= 3 AND l_linenumber > 1 GROUP BY 1, 2)
+@query("""WITH s AS (SELECT l_orderkey % 800 AS g, l_suppkey % 4 AS item, count(*) AS a FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1, 2),
+b AS (SELECT l_orderkey % 800 AS g, l_suppkey % 4 AS item, count(*) AS b FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY 1, 2)
 SELECT s.g, bool_and(coalesce(b, 0) >= a) AS within FROM s LEFT JOIN b ON s.g = b.g AND s.item = b.item GROUP BY s.g""")
 def multiset_inclusion(spark, d):
     x = table(spark, d, "lineitem").select((F.col("l_orderkey") % 800).alias("g"), (F.col("l_suppkey") % 4).alias("item"), "l_linenumber")
-    return agreement.multiset_within(x.where("l_linenumber = 1"), x.where("l_linenumber in (2, 3)"), ["g"], "item")
+    return agreement.multiset_within(x.where("l_linenumber % 2 = 0"), x.where("l_linenumber % 2 = 1"), ["g"], "item")
 
 
 @query("""WITH a AS (SELECT c_custkey AS path, md5((c_custkey % 400)::VARCHAR) AS digest FROM customer WHERE c_custkey % 3 <> 0),
