@@ -90,11 +90,14 @@ def sample(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
                 )
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("side", "text").mapInArrow(run, "side int, sketch long, feats array<string>")
-    # rows that share a doc_id may be more than the ids that were chosen
-    once = rows.groupBy("side", "sketch").agg(F.min("feats").alias("feats"))
-    most = ((1, max_positive), (0, max_unlabelled))
-    kept = [once.where(F.col("side") == side).orderBy("sketch").limit(rows) for side, rows in most]
-    return written(kept[0].union(kept[1]), "sample"), (k / n if n else 0.0)
+    once = written(rows.groupBy("side", "sketch").agg(F.min("feats").alias("feats")), "sample")
+    most = {1: max_positive, 0: max_unlabelled}
+    over = [r["side"] for r in once.groupBy("side").agg(F.count("*").alias("n")).collect() if r["n"] > most[r["side"]]]
+    if over:  # rows that share a doc_id are more than the ids that were chosen
+        kept = [once.where(F.col("side") == side).select("side", "sketch").orderBy("sketch").limit(rows) for side, rows in most.items()]
+        whole, once = once, written(once.join(F.broadcast(kept[0].union(kept[1])), ["side", "sketch"], "left_semi"), "sample")
+        discard(whole)
+    return once, (k / n if n else 0.0)
 
 
 def choose_features(
