@@ -117,7 +117,8 @@ def links(fps: DataFrame, bits: int = MAX_BITS, dense: int = DENSE) -> DataFrame
     """``a, b``: edges between distinct fingerprints whose components are those of all links."""
     index = variants(fps, bits)
     held = written(index.groupBy("slot", "value").agg(F.count("*").alias("n")).where("n > 1"), "held")
-    shared = written(index.join(held, ["slot", "value"]), "variants")
+    # a merge join at every size, so that small inputs tell how large ones grow
+    shared = written(index.join(held.hint("merge"), ["slot", "value"]), "variants")
     few = shared.where(F.col("n") <= dense).groupBy("slot", "value").agg(F.collect_list("fp").alias("fps"))
     found = few.select("fps").mapInArrow(_verify(bits), "a long, b long").distinct()
     crowd = shared.where(F.col("n") > dense).select("fp").distinct()
