@@ -50,3 +50,74 @@ def test_apply_writes_once_and_trashes(spark, tmp_path):
     assert formats.read_bytes(target.read_bytes(), "a.srt")["cues"][0]["start"] == 5.0 and not old.exists() and len(list((tmp_path / "trash").iterdir())) == 1
     with pytest.raises(FileExistsError):
         run.apply(out.where("action = 'write'"), rendered, trash, dry_run=False)
+
+
+def made(spark, rows):
+    """Items (path, kind) as a scan gives them."""
+    return spark.createDataFrame(rows, "path string, kind string").withColumn("name", F.regexp_extract("path", "([^/]+)$", 1))
+
+
+TAGS = {"en": "en", "ja": "ja"}
+
+
+def edges_of(spark, rows, **more):
+    return {(r["video"], r["subtitle"]): (r["identity"], r["speculative"]) for r in run.edges(run.stored(run.parsed(made(spark, rows), TAGS)), **more).collect()}
+
+
+def test_films_shifts_and_fallbacks_become_candidates(spark):
+    films = [("/v/Harbor (2009) [1080p].mkv", "video"), ("/s/The.Harbor.2009.BluRay.en.srt", "subtitle"), ("/v/Other Film (2010).mkv", "video")]
+    shifted = [(f"/v/Blue Tale S01E0{k}.mkv", "video") for k in (1, 2, 3)] + [(f"/s/Blue Tale S01E{k}.srt", "subtitle") for k in (13, 14, 15)]
+    apart = [("/v/Red Road S01E07.mkv", "video"), ("/s/Red Road S01E31.srt", "subtitle"), ("/s/Red Road S01E45.srt", "subtitle")]
+    named = [("/v/Green Hill - 88.mkv", "video"), ("/s/Midori no Oka - 88.srt", "subtitle")]
+    want = {(shifted[k][0], shifted[k + 3][0]): ("same", True) for k in range(3)} | {(apart[0][0], apart[k][0]): ("same", True) for k in (1, 2)}
+    got = edges_of(spark, films + shifted + apart + named)
+    assert got.pop((films[0][0], films[1][0]))[1] is False and got == want
+    alias = spark.createDataFrame([("grenhill", 7), ("midorinooka", 7)], "key string, entity int")
+    assert edges_of(spark, named, alias=alias) == {(named[0][0], named[1][0]): ("same", False)}
+
+
+def cue_rows(spark, streams):
+    rows = [(p, "OK", [(float(t), float(t) + 1.5, f"said at {t}") for t in ts]) for p, ts in streams.items()]
+    return spark.createDataFrame(rows, "path string, status string, cues array<struct<start:double,end:double,text:string>>")
+
+
+def test_asserted_pairs_have_a_row_each(spark):
+    rng = np.random.default_rng(3)
+    true = np.sort(rng.uniform(0, 1400, 300)).round(2)
+    wrong = np.sort(rng.uniform(0, 1400, 40)).round(2)
+    files = cue_rows(spark, {"/s/a.en.srt": true, "/s/b.en.srt": wrong, "/s/c.en.srt": true})
+    refs = spark.createDataFrame([("/v/x.mkv", (true + 4).tolist(), 1410.0), ("/v/y.mkv", (true + 4).tolist(), 1410.0)], "video string, starts array<double>, duration double")
+    entries = [(0, "/v/x.mkv", "/s/a.en.srt", None), (1, "/v/y.mkv", "/s/b.en.srt", None), (2, "/v/x.mkv", "/s/c.en.srt", None), (3, "/v/y.mkv", "/s/c.en.srt", None), (4, "/v/z.mkv", "/s/d.srt", None), (5, None, "/s/e.srt", "video or subtitle missing")]
+    e = spark.createDataFrame(entries, "seq int, video string, subtitle string, fault string")
+    for force in (False, True):
+        got = {r["seq"]: r for r in run.sync_pairs(e, refs, files, TAGS, force).collect()}
+        assert sorted(got) == list(range(6))
+        assert got[0]["outcome"] == "CONFIDENT" and got[0]["action"] == "write" and got[0]["target"] == "/v/x.en.srt"
+        assert got[1]["outcome"] == "REFUSED" and bool(got[1]["forced"]) == force
+        assert got[2]["reason"] == got[3]["reason"] == "asserted for several videos" and got[4]["reason"] == "not measured" and got[5]["outcome"] == "ERROR"
+
+
+def test_files_align_to_files(spark):
+    rng = np.random.default_rng(4)
+    true = np.sort(rng.uniform(0, 1400, 300)).round(2)
+    files = cue_rows(spark, {"ref": true, "whole": true - 3, "late": np.r_[true - 3, 1500 + 5 * np.arange(60)], "ends": np.r_[true - 3, 1550 + 5 * np.arange(5)]})
+    pairs = spark.createDataFrame([(s, "ref") for s in ("whole", "late", "ends", "ref", "absent")], "subtitle string, reference string")
+    got = {r["subtitle"]: r for r in run.align_to_files(pairs, files).collect()}
+    assert got["whole"]["outcome"] == "CONFIDENT" and abs(got["whole"]["segments"][0]["offset"] - 3) < 0.1 and got["whole"]["unchecked"] == 0
+    assert got["late"]["outcome"] == "REFUSED" and got["late"]["unchecked"] > 0
+    assert got["ends"]["outcome"] == "CONFIDENT" and got["ends"]["word"] == "fair" and got["ends"]["unchecked"] == 5
+    assert got["ref"]["outcome"] == got["absent"]["outcome"] == "ERROR"
+
+
+def test_run_skips_what_is_settled_and_hears(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    true = np.sort(rng.uniform(0, 1400, 300)).round(2)
+    rows = [(f"/v/Blue Tale - 0{k}.mkv", "video") for k in (1, 2)] + [(f"/s/Blue Tale - 0{k}.en.srt", "subtitle") for k in (1, 2)]
+    refs = spark.createDataFrame([(p, (true + 4).tolist(), 1410.0) for p, k in rows if k == "video"], "video string, starts array<double>, duration double")
+    files = cue_rows(spark, {p: true for p, k in rows if k == "subtitle"})
+    skip = spark.createDataFrame([(rows[0][0],)], "video string")
+    heard = spark.createDataFrame([(rows[1][0], float(t), "nothing like this at all") for t in range(0, 1400, 140)], "video string, start double, said string")
+    out = run.sync(made(spark, rows), refs, files, TAGS, settled=skip, scratch=str(tmp_path / "a")).collect()
+    assert [(r["video"], r["outcome"], r["action"]) for r in out] == [(rows[1][0], "CONFIDENT", "write")]
+    out = run.sync(made(spark, rows), refs, files, TAGS, settled=skip, heard=heard, scratch=str(tmp_path / "b")).collect()
+    assert [(r["outcome"], r["action"]) for r in out] == [("REFUSED", "keep")]

@@ -470,3 +470,23 @@ def place_breaks(segments: list[dict], gaps: list[dict], ref, sub, context: floa
             if in_order(trial) or not in_order(segments):
                 segments, gaps[i] = trial, {"lo": found[1], "hi": found[2]}
     return segments, gaps
+
+
+def place_all(fits: DataFrame) -> DataFrame:
+    """``fits`` (pair_id, segments, gaps, ref_lines, sub_lines) with each break where the lines want it.
+
+    Lines are array<struct<start,end>>; a pair without them, or of one segment, stays as it is.
+    """
+    of = lambda lines: [(x["start"], x["end"]) for x in lines] if lines is not None else []
+
+    def run(batches):
+        for pdf in batches:
+            done = [place_breaks([dict(x) for x in s], [dict(x) for x in g], of(r), of(a)) for s, g, r, a in zip(pdf["segments"], pdf["gaps"], pdf["ref_lines"], pdf["sub_lines"], strict=True)]
+            yield pd.DataFrame({"pair_id": pdf["pair_id"], "segments": [x for x, _ in done], "gaps": [x for _, x in done]})
+
+    kind = fits.schema["pair_id"].dataType.simpleString()
+    cut = fits.where(F.size("segments") > 1).select("pair_id", "segments", "gaps", "ref_lines", "sub_lines")
+    moved = cut.mapInPandas(run, f"pair_id {kind}, segments array<struct<split:double,offset:double>>, gaps array<struct<lo:double,hi:double>>")
+    moved = moved.select("pair_id", F.col("segments").alias("__s"), F.col("gaps").alias("__g"))
+    out = fits.join(moved, "pair_id", "left")
+    return out.withColumn("segments", F.coalesce("__s", "segments")).withColumn("gaps", F.coalesce("__g", "gaps")).drop("__s", "__g")

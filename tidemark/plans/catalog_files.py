@@ -439,3 +439,21 @@ def alias_table(spark, d):
     rec = table(spark, d, "customer").select(c.alias("entity"), F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.array(F.lit("Old name"), F.lit("古")).alias("names")), F.struct(F.lit(2).alias("seq"), last.alias("names")))).alias("r"))
     rows = rec.select("entity", "r.seq", F.explode("r.names").alias("name")).where("name is not null")
     return agreement.entity_names(rows)
+
+
+@query("""WITH s AS (SELECT s_suppkey AS id, s_suppkey // 20 AS g, s_suppkey % 20 // 2 + 1 AS e FROM supplier)
+SELECT '/v/Harbor' || id || ' (2009).mkv' AS video, '/s/Harbor' || id || '.2009.en.srt' AS subtitle, false AS speculative FROM s WHERE id % 2 = 0
+UNION ALL SELECT '/v/Tale' || g || ' S01E' || e || '.mkv', '/s/Tale' || g || ' S01E' || (e + 12) || '.srt', true FROM s WHERE id % 2 = 1""")
+def run_candidates(spark, d):
+    """Candidates of a whole run over films and over series whose cue files count on from another season."""
+    from . import run
+
+    k = F.col("s_suppkey")
+    g, e = F.floor(k / 20).cast("string"), F.floor(k % 20 / 2) + 1
+    film = k % 2 == 0
+    video = F.when(film, F.concat(F.lit("/v/Harbor"), k.cast("string"), F.lit(" (2009).mkv"))).otherwise(F.concat(F.lit("/v/Tale"), g, F.lit(" S01E"), e.cast("string"), F.lit(".mkv")))
+    cue = F.when(film, F.concat(F.lit("/s/Harbor"), k.cast("string"), F.lit(".2009.en.srt"))).otherwise(F.concat(F.lit("/s/Tale"), g, F.lit(" S01E"), (e + 12).cast("string"), F.lit(".srt")))
+    s = table(spark, d, "supplier")
+    items = s.select(video.alias("path"), F.lit("video").alias("kind")).union(s.select(cue.alias("path"), F.lit("subtitle").alias("kind")))
+    items = items.withColumn("name", F.regexp_extract("path", "([^/]+)$", 1))
+    return run.edges(run.stored(run.parsed(items, {"en": "en", "ja": "ja"}))).select("video", "subtitle", "speculative")

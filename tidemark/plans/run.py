@@ -3,12 +3,17 @@
     items = scan(spark, "/videos", "/subs")
     results = sync(items, references, files)
 
-``references``: video path, starts array<double>, duration.  ``files``: read cue
-files (sources.formats).  Two steps look at all pairs at once, and are the only
+``references``: video path, starts array<double>, duration, and lines
+array<struct<start,end>> where known.  ``files``: read cue files
+(sources.formats).  Two steps look at all pairs at once, and are the only
 shuffles that can't be merged: clusters before verdicts, ownership after plans.
 
-Left out, though the operators are there: films (pair_films), the absolute fallback,
-numbering shifts, the alias bridge, kana ranking (best_titles) and witness.check.
+Candidates are pairs of equal episode; of a series whose numberings differ by a
+shift also those the shift brings together, and where its numberings never meet
+a bounded pool of the season, both marked speculative; and films by key, year and
+folder.  A series is an equal title key, or one that an alias table bridges.
+Titles that are surely different are left out before anything is measured.
+Kana ranking (functions.kana.best_titles) is no part of a run.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, text
-from ..operators import agreement, align, pairing, ranking, runtime, verdict
+from ..operators import agreement, align, pairing, ranking, runtime, verdict, witness
 
 GROUP = ["cluster_title", "cluster_season", "cluster_group", "cluster_dir"]
 
@@ -30,12 +35,19 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes")).distinct()
 
 
+def require_folder(spark: SparkSession, root: str) -> None:
+    """An absent root is never an empty result, in any file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not root.strip() or not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
+        raise FileNotFoundError(f"{root!r} is no folder; an absent root is never an empty result")
+
+
 def scan(spark: SparkSession, videos: str, subtitles: str | None = None) -> DataFrame:
     """``path, name, kind, p (parsed name), key, side`` of what isn't junk or creditless."""
     roots = [videos] + ([subtitles] if subtitles and subtitles != videos else [])
     for r in roots:
-        if "://" not in r and not os.path.isdir(r):
-            raise FileNotFoundError(f"{r} is no folder; an absent root is never an empty result")
+        require_folder(spark, r)
     files = listing(spark, roots[0])
     for r in roots[1:]:
         files = files.unionByName(listing(spark, r)).distinct()
@@ -52,37 +64,94 @@ def parsed(items: DataFrame, tags: dict[str, str]) -> DataFrame:
     known = base.select("stem").distinct().withColumn("p", names.parse_names(F.col("stem")))
     p = base.join(known, "stem").select(
         "path", "name", "kind", "stem", F.col("side.lang").alias("lang"), F.col("side.flags").alias("flags"), F.col("side.ext").alias("ext"), F.col("p.title").alias("title"),
-        F.col("p.season").alias("season"), F.col("p.episode").alias("episode"), F.lower("p.group").alias("group"),
+        F.col("p.season").alias("season"), F.col("p.episode").alias("episode"), F.lower("p.group").alias("group"), F.col("p.kind").alias("name_kind"),
     )
-    return p.withColumn("key", text.title_key(F.col("title"))).withColumn("tokens", text.title_tokens(F.col("title"))).withColumn("signature", text.signature_of(F.col("title"))).withColumn("script", text.script_of(F.col("title")))
-
-
-def edges(items: DataFrame) -> DataFrame:
-    """``video, subtitle, identity, score, proximity``: equal episode, and not a different series.
+    p = p.withColumn("key", text.title_key(F.col("title"))).withColumn("tokens", text.title_tokens(F.col("title"))).withColumn("signature", text.signature_of(F.col("title"))).withColumn("script", text.script_of(F.col("title")))
+    # films are what has no number at all
+    two = frozenset(k for k in tags if len(k) == 2)
+    films = p.where(F.col("episode").isNull() & F.col("season").isNull()).select("name").distinct().withColumn("f", names.read_films(F.col("name"), tags=two)).where(F.col("f.refusal").isNull())
+    films = films.select("name", F.lit(True).alias("film"), text.title_key(F.col("f.title")).alias("film_key"), F.col("f.year").alias("year"), F.col("f.edition").alias("edition"))
+    return p.join(films, "name", "left").withColumn("film", F.coalesce("film", F.lit(False)))
+
+
+def series_pairs(items: DataFrame, alias: DataFrame | None = None) -> DataFrame:
+    """``key, s_key``: title keys of videos and of cue files that are one series, by equality or by a shared entity."""
+    keys = lambda kind, name: items.where((F.col("kind") == kind) & (F.col("key") != "")).select(F.col("key").alias(name)).distinct()
+    v, s = keys("video", "key"), keys("subtitle", "s_key")
+    same = v.join(s, v["key"] == s["s_key"])
+    if alias is None:
+        return same
+    of = lambda d, name: d.join(alias.select(F.col("key").alias(name), "entity"), name)
+    return same.union(of(v, "key").join(of(s, "s_key"), "entity").select("key", "s_key")).distinct()
+
+
+def numbered(items: DataFrame, series: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(videos with ``shift``, cue files once per series of a video), of those that have an episode."""
+    ep = items.where(F.col("episode").isNotNull() & (F.col("key") != ""))
+    v = ep.where("kind = 'video'").select("path", "key", "season", "episode")
+    s = ep.where("kind = 'subtitle'").select("path", F.col("key").alias("s_key"), "season", "episode").join(series, "s_key").drop("s_key")
+    known = F.col("season").isNotNull()
+    shift = agreement.numbering_shift(v.where(known), s.where(known), ["key", "season"]).where(F.col("shift").isNotNull()).select("key", "season", "shift")
+    return v.join(shift, ["key", "season"], "left"), s
+
+
+def film_edges(items: DataFrame, references: DataFrame | None) -> DataFrame:
+    """``video, subtitle`` of films: one video per cue file, none where the two best can't be told apart."""
+    films = items.where("film").select("path", "kind", F.col("film_key").alias("key"), "year", F.nullif("edition", F.lit("")).alias("edition")).where("key <> ''")
+    none = F.lit(None).cast("double")
+    v = films.where("kind = 'video'")
+    v = v.withColumn("seconds", none) if references is None else v.join(references.select(F.col("video").alias("path"), F.col("duration").alias("seconds")), "path", "left")
+    found = pairing.pair_films(v, films.where("kind = 'subtitle'").withColumn("seconds", none))
+    return ranking.separated(found).where("separated").select("video", "subtitle")
+
+
+def edges(items: DataFrame, references: DataFrame | None = None, alias: DataFrame | None = None) -> DataFrame:
+    """``video, subtitle, identity, score, speculative, proximity``: candidates that aren't surely of different series.
 
     Titles aren't blocked on: other scripts, joined words and misspelt names share no token.
+    ``items`` is read many times and should be stored or cached.
     """
     pairs = pairing.block(items.where("kind = 'video'"), items.where("kind = 'subtitle'"))
+    v, s = numbered(items, series_pairs(items, alias))
+    shifted = pairing.block(v, s, ["key"]).where("speculative")
+    met = pairs.select("video", "subtitle").union(shifted.select("video", "subtitle"))
+    rest = v.where(F.col("shift").isNull())
+    pool = pairing.absolute_fallback(rest, s, met, ["key"])
+    guesses = shifted.union(pool).distinct()
+    whole = pairs.union(guesses)
+    if "film" in items.columns:
+        whole = whole.union(film_edges(items, references).select("video", "subtitle", F.lit(False)))
+    # all edges of a video whose numbering is shifted are speculative
+    moved = v.where(F.col("shift").isNotNull()).select(F.col("path").alias("video"), F.lit(True).alias("moved"))
+    whole = whole.groupBy("video", "subtitle").agg(F.bool_and("speculative").alias("speculative")).join(moved, "video", "left")
+    whole = whole.withColumn("speculative", F.col("speculative") | F.coalesce("moved", F.lit(False))).drop("moved")
     left = items.select(F.col("path").alias("video"), *[F.col(c).alias(f"v_{c}") for c in ("key", "tokens", "signature", "script")])
     right = items.select(F.col("path").alias("subtitle"), *[F.col(c).alias(f"s_{c}") for c in ("key", "tokens", "signature", "script")])
-    e = pairs.join(left, "video").join(right, "subtitle")
+    e = whole.join(left, "video").join(right, "subtitle")
+    bridged = F.lit(False)
+    if alias is not None:
+        known = pairing.bridge(e.select(F.col("v_key").alias("a"), F.col("s_key").alias("b")).distinct(), alias).where(F.col("entity").isNotNull())
+        e = e.join(known.select(F.col("a").alias("v_key"), F.col("b").alias("s_key"), F.lit(True).alias("bridged")), ["v_key", "s_key"], "left")
+        bridged = F.coalesce("bridged", F.lit(False))
     e = e.withColumn("score", text.title_similarity(F.col("v_key"), F.col("s_key"), F.col("v_tokens"), F.col("s_tokens")))
-    same = text.series_identity(F.col("score"), F.col("v_key"), F.col("s_key"), F.col("v_signature"), F.col("s_signature"), F.col("v_script"), F.col("s_script"), F.lit(False))
-    e = e.withColumn("identity", same).where("identity <> 'different'")
+    same = text.series_identity(F.col("score"), F.col("v_key"), F.col("s_key"), F.col("v_signature"), F.col("s_signature"), F.col("v_script"), F.col("s_script"), bridged)
+    same = F.when((F.col("v_key") == "") | (F.col("s_key") == ""), "unsure").otherwise(same)  # nothing to compare: timing decides
+    e = e.withColumn("identity", same).where("identity <> 'different' and (not speculative or identity = 'same')")
     return e.select("video", "subtitle", "identity", "score", "speculative", runtime.proximity(F.col("video"), F.col("subtitle")).alias("proximity"))
 
 
 def measure(pairs: DataFrame, references: DataFrame, files: DataFrame) -> DataFrame:
-    """Fits of pairs whose running time allows it, with what a verdict needs."""
-    cues = files.where("status = 'OK'").select(F.col("path").alias("subtitle"), F.transform("cues", lambda c: c["start"]).alias("at"))
-    moments = cues.select("subtitle", F.posexplode("at").alias("i", "t"))
+    """Fits of pairs whose running time allows it, with what a verdict needs; breaks are placed by the references' lines."""
+    read = files.where("status = 'OK'").select(F.col("path").alias("subtitle"), F.transform("cues", lambda c: c["start"]).alias("at"), F.transform("cues", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))).alias("sub_lines"))
+    moments = read.select("subtitle", F.posexplode("at").alias("i", "t"))
     starts = align.unique_starts(moments, ["subtitle"]).withColumnRenamed("starts", "sub")
     end = runtime.content_end(moments, ["subtitle"], "t")
-    m = pairs.join(references.select(F.col("video"), F.col("starts").alias("ref"), "duration"), "video").join(starts, "subtitle").join(end, "subtitle", "left")
-    m = m.join(cues.select("subtitle", F.size("at").alias("cues")), "subtitle")
+    lines = F.col("lines") if "lines" in references.columns else F.lit(None).cast("array<struct<start:double,end:double>>")
+    m = pairs.join(references.select(F.col("video"), F.col("starts").alias("ref"), "duration", lines.alias("ref_lines")), "video").join(starts, "subtitle").join(end, "subtitle", "left")
+    m = m.join(read.select("subtitle", "sub_lines", F.size("at").alias("cues")), "subtitle")
     m = m.where(runtime.runtime_verdict(F.col("duration"), F.col("content_end"), F.col("cues")) != "impossible").withColumn("pair_id", F.concat_ws("\n", "video", "subtitle"))
     fit = align.fit_pairs(m.select("pair_id", "ref", "sub", "duration"))
-    f = m.drop("ref", "sub").join(fit, "pair_id")
+    f = align.place_all(m.drop("ref", "sub").join(fit, "pair_id")).drop("ref_lines", "sub_lines")
     whole = F.transform("segments", lambda s: F.struct(s["split"].alias("split"), F.when(F.size("segments") == 1, align.snap(s["offset"])).otherwise(s["offset"]).alias("offset")))
     fails = F.size(F.filter("buckets", lambda b: b["fails"])).alias("failing")
     return f.withColumn("segments", whole).select("*", fails, F.size(F.filter("buckets", lambda b: b["applied"].isNotNull())).alias("usable"))
@@ -104,32 +173,123 @@ def verdict_agrees():
     return agreement.agrees(F.col("single_offset"), F.col("centre"))
 
 
-def sync(items: DataFrame, references: DataFrame, files: DataFrame, tags: dict[str, str] | None = None, keep_all: bool = False) -> DataFrame:
-    """One row per measured pair: segments, verdict, action and the name to write."""
-    tags = tags or names.languages(items.sparkSession)
-    p = parsed(items, tags).persist()
+def heard_there(judged: DataFrame, files: DataFrame, heard: DataFrame) -> DataFrame:
+    """Confident pairs whose lines don't say what is heard in the video (video, start, said) are refused."""
+    ok = judged.where("outcome = 'CONFIDENT'").select("pair_id", "video", "subtitle", "segments")
+    lines = files.select(F.col("path").alias("subtitle"), F.explode("cues").alias("c")).select("subtitle", F.col("c.start").alias("t"), witness.normalise(F.col("c.text")).alias("text"))
+    placed = ok.join(lines, "subtitle").where(~align.is_removed(F.col("t"), F.col("segments"))).select(F.col("pair_id").alias("video"), align.map_time(F.col("t"), F.col("segments")).alias("at"), "text")
+    said = ok.join(heard.select("video", "start", "said"), "video").select(F.col("pair_id").alias("video"), "start", "said")
+    bad = witness.check(said, placed).where("not passed").select(F.col("video").alias("pair_id"), F.col("reason").alias("witness_reason"))
+    j = judged.join(bad, "pair_id", "left")
+    fails = F.col("witness_reason").isNotNull()
+    return j.withColumn("outcome", F.when(fails, "REFUSED").otherwise(F.col("outcome"))).withColumn("word", F.when(~fails, F.col("word")))
+
+
+def sync(
+    items: DataFrame, references: DataFrame, files: DataFrame, tags: dict[str, str] | None = None, keep_all: bool = False, alias: DataFrame | None = None, heard: DataFrame | None = None,
+    settled: DataFrame | None = None, answers: DataFrame | None = None, scratch: str | None = None,
+) -> DataFrame:
+    """One row per measured pair: segments, verdict, action and the name to write.
+
+    ``alias``: (key, entity); ``heard``: transcript windows; ``settled``: videos
+    (video) that operators.state found to have nothing to do, and ``answers`` the
+    files (path, video) that answer them.  Names, fits and verdicts are read
+    several times: they are written below ``scratch``, a shared folder, or else
+    checkpointed or cached.
+    """
+    spark = items.sparkSession
+    keep = lambda df, name: stored(df, f"{scratch.rstrip('/')}/{name}" if scratch else None)
+    tags = tags or names.languages(spark)
+    p = keep(parsed(items, tags), "names")
+    e = keep(edges(p, references, alias), "candidates")
+    if settled is not None:
+        e = e.join(settled.select("video").distinct(), "video", "left_anti")
     # fits are used by clusters and by verdicts
-    fits = measure(edges(p).withColumnRenamed("score", "title_score"), references, files).persist()
-    judged = judge_all(fits, p)
-    vid = p.where("kind = 'video'").select(F.col("path").alias("video"), F.col("stem").alias("video_stem"))
-    sub = p.where("kind = 'subtitle'").select(F.col("path").alias("subtitle"), "lang", "flags", "ext", "stem")
+    fits = keep(measure(e.withColumnRenamed("score", "title_score"), references, files), "fits")
+    judged = keep(judge_all(fits, p), "verdicts")
+    if heard is not None:
+        judged = heard_there(judged, files, heard)
+    return decide(judged, p, keep_all, answers)
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Rows that several plans read, with their own plan cut off: written to ``path``, checkpointed if a folder is set, else cached."""
+    if path:
+        df.write.mode("errorifexists").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def decide(judged: DataFrame, items: DataFrame, keep_all: bool = False, answers: DataFrame | None = None, force: bool = False) -> DataFrame:
+    """Judged pairs to one winner per slot, targets, and what slots claim from each other."""
+    vid = items.where("kind = 'video'").select(F.col("path").alias("video"), F.col("stem").alias("video_stem"))
+    sub = items.where("kind = 'subtitle'").select(F.col("path").alias("subtitle"), "lang", "flags", "ext", "stem")
+    good = verdict.decide(F.col("outcome"), force).startswith("write")
     c = judged.join(vid, "video").join(sub, "subtitle").select(
-        "*", F.col("subtitle").alias("path"), (F.col("outcome") == "CONFIDENT").alias("confident"), F.arrays_overlap("flags", F.array(F.lit("sdh"), F.lit("cc"), F.lit("hi"))).alias("hearing_impaired"),
+        "*", F.col("subtitle").alias("path"), good.alias("confident"), F.arrays_overlap("flags", F.array(F.lit("sdh"), F.lit("cc"), F.lit("hi"))).alias("hearing_impaired"),
         (F.lower("stem") == F.lower("video_stem")).alias("name_matches"), F.size("segments").alias("n_segments"),
     )
     ranked = c.withColumn("all_segments", F.col("segments")).withColumn("segments", F.col("n_segments"))
-    planned = ranking.ownership(ranking.plan_slots(ranked, keep_all))
-    target = F.concat(F.regexp_extract("video", "^(.*/)", 1), names.output_name(F.col("video_stem"), F.col("lang"), F.col("flags"), F.col("ext")))
-    planned = planned.withColumn("target", target)
+    planned = ranking.plan_slots(ranked, keep_all)
+    tag = F.lit(None).cast("string")
+    if keep_all:
+        planned = ranking.distinguishing_tags(planned.withColumn("seq", F.col("rank")))
+        tag = F.col("tag")
+    target = F.concat(F.regexp_extract("video", "^(.*/)", 1), names.safe_name(F.col("video_stem"), F.col("lang"), F.col("flags"), F.col("ext"), tag)["name"])
+    planned = planned.withColumn("target", target).withColumn("action", F.when((F.col("action") == "write") & F.col("target").isNull(), "refuse").otherwise(F.col("action")))
     write = planned.where("action = 'write'")
     clash = ranking.target_collisions(write).select("video", "lang", "path", "collides")
     out = planned.join(clash, ["video", "lang", "path"], "left").withColumn("action", F.when(F.coalesce("collides", F.lit(False)), "refuse").otherwise(F.col("action")))
+    out = ranking.settle_ownership(out, answers)
     return out.select(
-        "video", "subtitle", "lang", "identity", "outcome", "word", "band", "runtime_check", "excess", "score", F.col("all_segments").alias("segments"), "coherence", "rank", "action",
+        "video", "subtitle", "lang", "identity", "outcome", "word", "band", "runtime_check", "excess", "score", F.col("all_segments").alias("segments"), "coherence", "rank", "speculative", "action",
         F.when(F.col("action") == "write", F.col("target")).alias("target"),
     )
 
 
+def sync_pairs(entries: DataFrame, references: DataFrame, files: DataFrame, tags: dict[str, str] | None = None, force: bool = False) -> DataFrame:
+    """Asserted pairs (seq, video, subtitle, fault) measured and decided: a row per entry.
+
+    A faulty entry and a subtitle asserted for several videos are refused unopened;
+    ``force`` writes what a verdict refuses, never what can't be measured.
+    """
+    spark = entries.sparkSession
+    faulty = entries.where(F.col("fault").isNotNull()).select("seq", "video", "subtitle", F.col("fault").alias("reason"))
+    claims = ranking.resolve_claims(entries.where(F.col("fault").isNull()).select("seq", "video", "subtitle"))
+    taken = claims.where("refused").select("seq", "video", "subtitle", F.lit("asserted for several videos").alias("reason"))
+    sound = claims.where("not refused").select("seq", "video", "subtitle")
+    both = sound.select(F.explode(F.array(F.struct(F.col("video").alias("path"), F.lit("video").alias("kind")), F.struct(F.col("subtitle").alias("path"), F.lit("subtitle").alias("kind")))).alias("x"))
+    items = parsed(both.select("x.path", "x.kind").distinct().withColumn("name", F.regexp_extract("path", "([^/]+)$", 1)), tags or names.languages(spark))
+    items = stored(items)
+    pairs = sound.select("video", "subtitle", F.lit("same").alias("identity"), F.lit(1.0).alias("title_score"), F.lit(False).alias("speculative"), runtime.proximity(F.col("video"), F.col("subtitle")).alias("proximity"))
+    done = decide(stored(judge_all(stored(measure(pairs, references, files)), items)), items, force=force)
+    rows = sound.join(done, ["video", "subtitle"], "left")
+    rows = rows.withColumn("reason", F.when(F.col("outcome").isNull(), "not measured")).withColumn("outcome", F.coalesce("outcome", F.lit("ERROR"))).withColumn("forced", (F.col("action") == "write") & (F.col("outcome") == "REFUSED"))
+    return rows.unionByName(faulty.union(taken).withColumn("outcome", F.lit("ERROR")), allowMissingColumns=True)
+
+
+def align_to_files(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """Cue files (subtitle) aligned to other cue files (reference): outcome, word, segments, unchecked lines.
+
+    It makes the one agree with the other, and can't tell whether that agrees with
+    a video.  The same file twice is an error, unopened.
+    """
+    ok = pairs.where("subtitle <> reference").select(F.col("reference").alias("video"), "subtitle").distinct()
+    read = files.where("status = 'OK'").select(F.col("path").alias("video"), F.explode("cues").alias("c")).select("video", F.col("c.start").alias("t"), F.col("c.end").alias("end"))
+    starts = align.unique_starts(read, ["video"])
+    spans = read.groupBy("video").agg(F.array_sort(F.collect_list(F.struct(F.col("t").alias("start"), "end"))).alias("lines"))
+    refs = starts.join(spans, "video").withColumn("duration", F.lit(None).cast("double"))
+    fits = measure(ok, refs, files).withColumn("coheres", F.lit(False)).withColumn("agrees", F.lit(False))
+    judged = stored(verdict.judge(fits))
+    moved = judged.select("pair_id", "subtitle", "segments").join(read.select(F.col("video").alias("subtitle"), "t"), "subtitle").where(~align.is_removed(F.col("t"), F.col("segments")))
+    placed = moved.select("pair_id", align.map_time(F.col("t"), F.col("segments")).alias("t"))
+    base = judged.select("pair_id", "video").join(read.select("video", "t"), "video").select("pair_id", "t")
+    out = align.checked(judged, align.unchecked_runs(base, placed, ["pair_id"]), ["pair_id"])
+    out = out.select("subtitle", F.col("video").alias("reference"), "outcome", "word", "segments", "score", "excess", "unchecked")
+    lost = pairs.select("subtitle", "reference").distinct().join(out.select("subtitle", "reference"), ["subtitle", "reference"], "left_anti")
+    return out.unionByName(lost.withColumn("outcome", F.lit("ERROR")), allowMissingColumns=True)
+
+
 def summary(results: DataFrame) -> DataFrame:
     """Counts of a report: clean, cut, refused and failed pairs."""
     one = F.size("segments") == 1
