@@ -1,3 +1,5 @@
+import pytest
+
 import corpus_pipeline
 from tidemark.llm import toxicity
 
@@ -28,3 +30,31 @@ def test_filters_keep_repeated_clean_rows_apart(spark, docs, tmp_path):
     mixed = corpus_pipeline.mix_sources(spark, d, str(tmp_path))
     assert mixed.columns == COLUMNS and 0 < mixed.count() <= 2 * len(rows)
     assert toxicity.THRESHOLD == 0.7
+
+
+ODD = [(1, None), (2, ""), (3, " \t"), (None, "null id"), (4, "same text of four words"), (5, "same text of four words"), (5, "same text of four words"), (6, "w " * 60000 + "end"), (7, "été 日本 <b>")]
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_odd_rows_and_empty_tables(spark, docs, tmp_path, k):
+    spark.createDataFrame([(4, 0), (7, 1), (7, 0), (None, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    name, stage = corpus_pipeline.STAGES[k]
+    rows = docs(ODD)
+    got = stage(spark, rows, str(tmp_path)).collect()
+    if name == "bpe":
+        assert len(got) == len(ODD) and {r["n_tokens"] for r in got if r["doc_id"] in (1, 2)} == {0}
+    elif name == "near-dedup":
+        assert sorted((r["doc_id"] or 0) for r in got) == [0, 1, 4, 6, 7]
+    elif name == "mixing":
+        assert 0 < len(got) <= 2 * len(ODD)
+    else:
+        assert len(got) == len(ODD)
+    assert stage(spark, rows.where("false"), str(tmp_path)).count() == 0
+
+
+def test_run_is_its_stages(spark, docs, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([(4, 0)], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+    docs(ODD).select(*COLUMNS).write.parquet(f"{d}/documents.parquet")
+    got = corpus_pipeline.run(spark, d).collect()
+    assert got and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(got[0].asDict())
