@@ -139,6 +139,12 @@ def snap(offset: Column, within: float = 0.015) -> Column:
     return F.when(F.abs(offset) <= within, 0.0).otherwise(offset)
 
 
+def speech_reference(onsets: DataFrame, keys: list[str], lag: float = 0.29, least: int = 100) -> DataFrame:
+    """Per video the starts of speech moved earlier by the lag of captions, where there are enough: keys, starts."""
+    g = onsets.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("t") - lag)).alias("starts"))
+    return g.where(F.size("starts") >= least)
+
+
 def undetermined(seconds: Column, gaps: Column) -> Column:
     """Whether a moment of the reference lies where a break may be, ends included."""
     return F.exists(gaps, lambda g: seconds.between(g["lo"], g["hi"]))

@@ -69,3 +69,17 @@ def work_left(records: DataFrame, present: DataFrame, shape: dict[str, str]) ->
     known = used.select("video").distinct().withColumn("known", F.lit(True))
     out = g.join(known, "video", "left")
     return out.select("video", (F.coalesce("known", F.lit(False)) & (F.col("added") == 0) & (F.col("gone") == 0)).alias("settled"), "added", "gone")
+
+
+def undecided(pairs: DataFrame, decisions: DataFrame, key: str = "seq") -> DataFrame:
+    """Accepted pairs without a decision; nothing may be written while there are any."""
+    return pairs.join(decisions.select(key).distinct(), key, "left_anti")
+
+
+def hit_statistics(wanted: DataFrame, records: DataFrame, key: str = "output_digest", version: int = VERSION) -> DataFrame:
+    """One row: hits, stale (another version), misses, hit_rate of looking up ``wanted`` in all ``records``."""
+    r = records.groupBy(key).agg(F.bool_or(F.col("version") == version).alias("fresh"))
+    w = wanted.join(r, key, "left")
+    hit, stale = F.coalesce("fresh", F.lit(False)), F.coalesce(~F.col("fresh"), F.lit(False))
+    n = w.agg(F.count_if(hit).alias("hits"), F.count_if(stale).alias("stale"), F.count_if(F.col("fresh").isNull()).alias("misses"), F.count("*").alias("all"))
+    return n.select("hits", "stale", "misses", F.when(F.col("all") > 0, F.col("hits") / F.col("all")).otherwise(0.0).alias("hit_rate"))

@@ -457,3 +457,27 @@ def run_candidates(spark, d):
     items = s.select(video.alias("path"), F.lit("video").alias("kind")).union(s.select(cue.alias("path"), F.lit("subtitle").alias("kind")))
     items = items.withColumn("name", F.regexp_extract("path", "([^/]+)$", 1))
     return run.edges(run.stored(run.parsed(items, {"en": "en", "ja": "ja"}))).select("video", "subtitle", "speculative")
+
+
+@query(f"""WITH {MOMENTS}, o AS (SELECT pair_id, list_sort(list(round(t - 29e-2, 6))) AS starts FROM moments WHERE side = 0 GROUP BY pair_id)
+SELECT pair_id, len(starts) AS n, starts[1] AS first, starts[-1] AS last FROM o WHERE len(starts) >= 10""")
+def speech_references(spark, d):
+    r, _ = inputs.sides(spark, d)
+    s = align.speech_reference(r, ["pair_id"], least=10)
+    return s.select("pair_id", F.size("starts").cast("long").alias("n"), F.round(F.element_at("starts", 1), 6).alias("first"), F.round(F.element_at("starts", -1), 6).alias("last"))
+
+
+@query("""WITH w AS (SELECT o_orderkey AS k FROM orders), r AS (SELECT l_orderkey AS k, bool_or(l_linenumber % 2 = 0) AS fresh FROM lineitem WHERE l_orderkey % 3 > 0 GROUP BY 1)
+SELECT count(*) FILTER (fresh) AS hits, count(*) FILTER (NOT fresh) AS stale, count(*) FILTER (fresh IS NULL) AS misses, count(*) FILTER (fresh)::DOUBLE / count(*) AS hit_rate FROM w LEFT JOIN r ON w.k = r.k""")
+def record_hits(spark, d):
+    """Lookups of all orders among the records of lines; a third of the orders has none, odd lines are of an older version."""
+    w = table(spark, d, "orders").select(F.col("o_orderkey").alias("output_digest"))
+    rec = table(spark, d, "lineitem").where("l_orderkey % 3 > 0")  # the rest was never recorded
+    rec = rec.select(F.col("l_orderkey").alias("output_digest"), F.when(F.col("l_linenumber") % 2 == 0, state.VERSION).otherwise(1).alias("version"))
+    return state.hit_statistics(w, rec)
+
+
+@query("""SELECT o_orderkey AS seq FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')""")
+def undecided_pairs(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"))
+    return state.undecided(o, table(spark, d, "lineitem").where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("seq")))
