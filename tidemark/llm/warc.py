@@ -7,6 +7,10 @@ looks like a record, with the places its Content-Length leads to, and pointer
 jumping from the start of each file keeps those that can be reached.  A magic
 inside a payload stands on no chain from the start and is rejected.
 
+Gzip files stream through a task: Spark's text reader cuts them at CRLFCRLF, and
+candidates keep a digest of the payload that passes by, not the payload, so an
+archive may be of any size.  Other files are taken whole, up to 2 GB each.
+
 Defined results: null html is an empty payload; of repeated page ids with the
 largest id each is a response; null page ids count as smaller than any, and
 where all ids of a payload are null each is a response.  An empty table gives
@@ -111,36 +115,77 @@ _FIELD = {
 }
 
 
-def candidates(data: bytes) -> list[tuple[int, int, int]]:
-    """(offset, start of the block, offset of the successor) of all that looks like a record."""
-    out, at = [], data.find(MAGIC)
-    while at >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end >= 0 and (m := _LENGTH.search(data, at, end + 2)):
-            stop = end + 4 + int(m[1])
-            if data[stop : stop + 4] == b"\r\n\r\n":
-                out.append((at, end + 4, stop + 4))
-        at = data.find(MAGIC, at + 1)
-    return out
-
-
-def describe(data: bytes, at: int, block: int, stop: int) -> dict:
-    """Fields of one record; the digest of a payload that is there is computed anew."""
-    head = data[at : block - 2]
-    f = {k: (m[1].decode("utf-8", "replace") if (m := r.search(head)) else None) for k, r in _FIELD.items()}
-    page = re.fullmatch(r"<urn:page:(-?\d+)>", f[b"WARC-Record-ID"] or "")
-    ref = re.fullmatch(r"<urn:page:(-?\d+)>", f[b"WARC-Refers-To"] or "")
-    http = data.find(b"\r\n\r\n", block, stop)
-    payload = data[http + 4 : stop - 4]
-    length = _LENGTH.search(data, block, http + 2)
-    full = f[b"WARC-Type"] != "revisit"
-    return {
-        "page_id": int(page[1]) if page else None,
-        "payload_bytes": len(payload) if full else int(length[1]) if length else None,
-        "payload_digest": hashlib.sha1(payload).hexdigest() if full else (f[b"WARC-Payload-Digest"] or "").rpartition(":")[2],
-        "record_type": f[b"WARC-Type"],
-        "refers_to": int(ref[1]) if ref else None,
-    }
+class _Candidate:
+    """What looks like a record: where its block starts and ends, and what has passed by of it."""
+
+    def __init__(self, at: int, head: bytes, block: int, size: int):
+        self.at, self.head, self.block, self.stop = at, head, block, block + size
+        self.start, self.http, self.after, self.bytes, self.sha = None, b"", b"", 0, hashlib.sha1()
+
+    def see(self, data: bytes, at: int, whole: bool) -> None:
+        """Bytes of the file from ``at`` on; ``whole``: they are all up to a blank line."""
+        if whole and at == self.block:
+            end = at + len(data) + len(NEXT)
+            found = end <= self.stop  # else the block has no head of its own
+            self.http, self.start = (data, end) if found else (b"", self.block)
+        if self.start is not None and (part := data[max(self.start - at, 0) : max(self.stop - at, 0)]):
+            self.sha.update(part)
+            self.bytes += len(part)
+        if at + len(data) > self.stop and len(self.after) < len(NEXT):
+            self.after += data[max(self.stop - at, 0) :][: len(NEXT) - len(self.after)]
+
+    def row(self) -> dict:
+        """Fields of the record; the digest of a payload that is there is computed anew."""
+        f = {k: (m[1].decode("utf-8", "replace") if (m := r.search(self.head)) else None) for k, r in _FIELD.items()}
+        page, ref = (re.fullmatch(r"<urn:page:(-?\d+)>", f[k] or "") for k in (b"WARC-Record-ID", b"WARC-Refers-To"))
+        length = _LENGTH.search(b"\r\n" + self.http + b"\r\n")
+        full = f[b"WARC-Type"] != "revisit"
+        return {
+            "at": self.at,
+            "page_id": int(page[1]) if page else None,
+            "payload_bytes": self.bytes if full else int(length[1]) if length else None,
+            "payload_digest": self.sha.hexdigest() if full else (f[b"WARC-Payload-Digest"] or "").rpartition(":")[2],
+            "record_type": f[b"WARC-Type"],
+            "refers_to": int(ref[1]) if ref else None,
+        }
+
+
+class _File:
+    """The candidates of one file, whose bytes come in pieces between blank lines."""
+
+    def __init__(self, name: str):
+        self.name, self.at = name, 0
+        self.open: list[_Candidate] = []
+        self.rows: list[tuple[dict, int]] = []
+
+    def piece(self, data: bytes) -> None:
+        blank, end = NEXT.encode(), self.at + len(data)
+        for c in self.open:
+            c.see(data, self.at, True)
+            c.see(blank, end, False)
+        place = data.find(MAGIC)
+        while place >= 0:
+            head = data[place:] + b"\r\n"
+            if m := _LENGTH.search(head):
+                self.open.append(_Candidate(self.at + place, head, end + len(blank), int(m[1])))
+            place = data.find(MAGIC, place + 1)
+        self.at = end + len(blank)
+        done = [c for c in self.open if len(c.after) == len(blank)]
+        self.rows += [(c.row(), c.stop + len(blank)) for c in done if c.after == blank]
+        self.open = [c for c in self.open if len(c.after) < len(blank)]
+
+    def found(self, stride: int):
+        """Rows in order, each with its next ``stride`` places and where these lead."""
+        after = {r["at"]: stop for r, stop in self.rows}
+        out = []
+        for r, stop in sorted(self.rows, key=lambda x: x[0]["at"]):
+            path, jump = [r["at"]], stop
+            while jump in after and len(path) < stride:
+                path.append(jump)
+                jump = after[jump]
+            out.append({"file": self.name, "path": path, "jump": jump if jump in after else None} | r)
+        for k in range(0, len(out), 2000):
+            yield pa.RecordBatch.from_pylist(out[k : k + 2000], schema=_RAW_ARROW)
 
 
 _RAW = "file string, at long, path array<long>, jump long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -149,22 +194,31 @@ _RAW_ARROW = pa.schema(
 )
 
 
-def _scan(stride: int):
+def _scan_pieces(stride: int):
+    def run(batches):
+        file = None
+        for b in batches:
+            for i in range(b.num_rows):
+                name = b.column(0)[i].as_py()
+                if file is None or file.name != name:
+                    if file:
+                        yield from file.found(stride)
+                    file = _File(name)
+                file.piece(b.column(1)[i].as_py())
+        if file:
+            yield from file.found(stride)
+
+    return run
+
+
+def _scan_whole(stride: int):
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                name, data = batch.column(0)[i].as_py(), _inflate(batch.column(1)[i].as_py())
-                found = candidates(data)
-                after = {at: stop for at, _, stop in found}
-                rows = []
-                for at, block, stop in found:
-                    path, jump = [at], stop
-                    while jump in after and len(path) < stride:
-                        path.append(jump)
-                        jump = after[jump]
-                    rows.append({"file": name, "at": at, "path": path, "jump": jump if jump in after else None} | describe(data, at, block, stop))
-                for k in range(0, len(rows), 2000):
-                    yield pa.RecordBatch.from_pylist(rows[k : k + 2000], schema=_RAW_ARROW)
+        for b in batches:
+            for i in range(b.num_rows):
+                file = _File(b.column(0)[i].as_py())
+                for piece in _inflate(b.column(1)[i].as_py()).split(NEXT.encode()):
+                    file.piece(piece)
+                yield from file.found(stride)
 
     return run
 
@@ -175,8 +229,11 @@ def read_archives(spark: SparkSession, path: str, stride: int = STRIDE) -> DataF
     Each candidate carries its next ``stride`` places and where these lead;
     jumps are then doubled until no place is new.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    found = written(files.mapInArrow(_scan(stride), _RAW), "candidates")
+    deep = spark.read.option("recursiveFileLookup", "true")
+    # a gzip file is never split, so its pieces come to one task in their order
+    pieces = deep.option("pathGlobFilter", "*.gz").option("lineSep", NEXT).text(path).select("_metadata.file_path", F.col("value").cast("binary").alias("value"))
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{*[^z],*[^g]z,*[^.]gz}").load(path).select("path", "content")
+    found = written(pieces.mapInArrow(_scan_pieces(stride), _RAW).union(whole.mapInArrow(_scan_whole(stride), _RAW)), "candidates")
     jump = found.where("jump is not null").select("file", F.col("at").alias("from"), F.col("jump").alias("to"))
     reach, count = written(found.where("at = 0").select("file", "at"), "reach"), -1
     doubled = None
