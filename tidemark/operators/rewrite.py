@@ -10,20 +10,32 @@ from pyspark.sql import DataFrame
 from ..sources.encoding import encode_back
 
 WRITABLE = ("srt", "ass", "vtt")
-_LIKE = re.compile(r"(\s*)(?:(\d+):)?(\d{1,3}):(\d{1,2})([,.])(\d+)(\s*)")
 _PLAIN = {"srt": "00:00:00,000", "ass": "0:00:00.00", "vtt": "00:00:00.000"}
 
 
+def _shape(like: str) -> tuple[list[int], str] | None:
+    """(digits of hours, if any, minutes, seconds and fraction, sign before the fraction) of a timestamp; None if it is none."""
+    body = like.strip()
+    sign = "," if "," in body else "."
+    *clock, last = body.split(":")
+    parts = [*clock, *last.split(sign)]
+    sizes = [len(x) for x in parts]
+    whole = len(clock) in (1, 2) and len(parts) == len(clock) + 2 and all(x.isdecimal() for x in parts)
+    return (sizes, sign) if whole and sizes[-3] <= 3 and sizes[-2] <= 2 else None
+
+
 def format_like(t: float, kind: str, like: str | None = None) -> str:
     """A moment in the shape of another timestamp of the file."""
-    lead, h, m, s, sep, frac, trail = (_LIKE.fullmatch(like or "") or _LIKE.fullmatch(_PLAIN[kind])).groups()
-    ticks = round(max(0.0, t) * 10 ** len(frac))
-    whole, rest = divmod(ticks, 10 ** len(frac))
-    hours = whole // 3600
-    clock = f"{whole // 60 % 60:0{len(m)}d}:{whole % 60:0{len(s)}d}{sep}{rest:0{len(frac)}d}"
-    if h is not None or hours:
-        clock = f"{hours:0{len(h) if h else 2}d}:{clock}"
-    return f"{lead}{clock}{trail}"
+    like = like if like and _shape(like) else _PLAIN[kind]
+    sizes, sign = _shape(like)
+    ticks = round(max(0.0, t) * 10 ** sizes[-1])
+    whole, rest = divmod(ticks, 10 ** sizes[-1])
+    parts = [f"{whole // 60 % 60:0{sizes[-3]}d}", f"{whole % 60:0{sizes[-2]}d}{sign}{rest:0{sizes[-1]}d}"]
+    if len(sizes) == 4 or whole >= 3600:
+        parts.insert(0, f"{whole // 3600:0{sizes[0] if len(sizes) == 4 else 2}d}")
+    body = like.strip()
+    at = like.index(body)
+    return f"{like[:at]}{':'.join(parts)}{like[at + len(body) :]}"
 
 
 def apply_edits(text: str, edits: list[tuple[int, int, str]]) -> str:
