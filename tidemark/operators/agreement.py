@@ -9,28 +9,25 @@ from pyspark.sql import functions as F
 def coherence(offsets: DataFrame, keys: list[str], offset: str = "offset_ms", tol_ms: float = 500.0, min_size: int = 3, accept: float = 0.60) -> DataFrame:
     """``size, coherence, centre, coheres`` of each cluster.
 
-    For every observed offset a value-range frame counts those within the
-    tolerance; the largest group's upper middle member is the consensus, the
-    smallest centre winning ties.
+    For every observed offset those within the tolerance are counted, as the
+    difference of two running counts; the largest group's upper middle member is
+    the consensus, the smallest centre winning ties.
     """
     o = offsets.where(F.col(offset).isNotNull()).select(*keys, F.col(offset).cast("double").alias("o"))
-    by = ", ".join(f"`{k}`" for k in keys)
-    near = f"over (partition by {by} order by o range between {float(tol_ms)}D preceding and {float(tol_ms)}D following)"
-    at = o.withColumn("n", F.expr(f"count(*) {near}")).withColumn("below", F.expr(f"min(o) {near}"))
-    best = at.groupBy(*keys).agg(
-        F.count("*").alias("size"), F.max_by(F.struct("n", "o", "below"), F.struct("n", -F.col("o"))).alias("top")
-    )
+    each = o.groupBy(*keys, "o").agg(F.count("*").alias("n"))
+    # running counts up to the lower end of each offset's range (its equals not yet), the offset, and the upper end (its equals too)
+    marks = F.array(*[F.struct((F.col("o") + d).alias("x"), F.lit(k).alias("kind"), (F.col("n") if k == 1 else F.lit(0).cast("long")).alias("add")) for k, d in ((0, -tol_ms), (1, 0.0), (2, tol_ms))])
+    so_far = Window.partitionBy(*keys).orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    m = each.select(*keys, "o", F.explode(marks).alias("m")).select(*keys, "o", "m.*").withColumn("c", F.sum("add").over(so_far))
+    per = m.groupBy(*keys, "o").agg(F.max(F.when(F.col("kind") == 0, F.col("c"))).alias("before"), F.max(F.when(F.col("kind") == 2, F.col("c"))).alias("upto"), F.max(F.when(F.col("kind") == 1, F.col("c"))).alias("rank"), F.max("add").alias("n"))
+    per = per.withColumn("near", F.col("upto") - F.col("before"))
+    best = per.groupBy(*keys).agg(F.sum("n").alias("size"), F.max_by(F.struct("near", "before"), F.struct("near", -F.col("o"))).alias("top"))
     # the member in the upper middle, by rank among the cluster's offsets
-    ranked = o.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("o")))
-    first = [ranked[k].eqNullSafe(best[k]) for k in keys]
-    low = ranked.join(best, first).where("o >= top.below").groupBy(*[ranked[k] for k in keys]).agg(
-        F.min("r").alias("from"), F.first("top").alias("top"), F.first("size").alias("size")
-    )
-    want = low.withColumn("at", F.col("from") + F.floor(F.col("top.n") / 2))
-    r2 = ranked.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("o").alias("centre"), F.col("r").alias("r2"))
-    out = want.join(r2, [*(want[k].eqNullSafe(r2[f"__{k}"]) for k in keys), want["at"] == r2["r2"]])
-    share = F.col("top.n") / F.col("size")
-    return out.select(*keys, "size", share.alias("coherence"), "centre", ((F.col("size") >= min_size) & (share >= accept)).alias("coheres"))
+    want = best.select(*keys, "size", "top", (F.col("top.before") + 1 + F.floor(F.col("top.near") / 2)).alias("at"))
+    has = per.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("o").alias("centre"), "rank", "n")
+    out = want.join(has, [*(want[k].eqNullSafe(has[f"__{k}"]) for k in keys), want["at"] <= has["rank"], want["at"] > has["rank"] - has["n"]])
+    share = F.col("top.near") / F.col("size")
+    return out.select(*[want[k] for k in keys], "size", share.alias("coherence"), "centre", ((F.col("size") >= min_size) & (share >= accept)).alias("coheres"))
 
 
 def agrees(offset_seconds: Column, centre_ms: Column, tol_ms: float = 500.0) -> Column:

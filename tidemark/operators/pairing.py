@@ -12,7 +12,8 @@ def block(videos: DataFrame, subtitles: DataFrame, keys: list[str] | None = None
     The join is an equality on episode (and ``keys``); leniency towards unknown
     seasons is a residual, so that it stays a hash or merge join.  A shift column
     on the videos adds edges at episode + shift, and makes all of that video's
-    edges speculative.
+    edges speculative.  Paths are unique on either side, and so are edges: a cue
+    file has one episode.
     """
     keys = keys or []
     v = videos.where(F.col("episode").isNotNull()).select(*keys, F.col("path").alias("video"), F.col("season").alias("v_season"), F.col("episode").alias("at"), *([F.col("shift")] if "shift" in videos.columns else [F.lit(None).cast("long").alias("shift")]))
@@ -20,7 +21,7 @@ def block(videos: DataFrame, subtitles: DataFrame, keys: list[str] | None = None
     s = subtitles.where(F.col("episode").isNotNull()).select(*keys, F.col("path").alias("subtitle"), F.col("season").alias("s_season"), F.col("episode").alias("at"))
     both = v.union(moved).join(s, [*keys, "at"])
     both = both.where(F.col("v_season").isNull() | F.col("s_season").isNull() | (F.col("v_season") == F.col("s_season")))
-    return both.select("video", "subtitle", (F.coalesce("shift", F.lit(0)) != 0).alias("speculative")).distinct()
+    return both.select("video", "subtitle", (F.coalesce("shift", F.lit(0)) != 0).alias("speculative"))
 
 
 def fan_out(videos: DataFrame, edges: DataFrame) -> DataFrame:
