@@ -6,5 +6,5 @@ from tidemark.plans import run
 def test_titles_without_a_common_token_are_candidates(spark):
     rows = [("/v/BlueHarbor - 01.mkv", "video"), ("/v/とけい - 02.mkv", "video"), ("/s/Blue Harbor - 01.srt", "subtitle"), ("/s/Tokei - 02.srt", "subtitle")]
     items = spark.createDataFrame(rows, "path string, kind string").withColumn("name", F.regexp_extract("path", "([^/]+)$", 1))
-    got = {(r["video"], r["subtitle"]): r["identity"] for r in run.edges(run.parsed(items, {"en": "en"})).collect()}
+    got = {(r["video"], r["subtitle"]): r["identity"] for r in run.edges(run.stored(run.parsed(items, {"en": "en"}))).collect()}
     assert got == {(rows[0][0], rows[2][0]): "same", (rows[1][0], rows[3][0]): "unsure"}

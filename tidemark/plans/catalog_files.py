@@ -138,14 +138,14 @@ def kana_romaji(spark, d):
 
 @query("""WITH t AS (SELECT p_partkey AS id, p_name AS name, lower(p_name) AS s FROM part),
 a AS (SELECT *, replace(regexp_replace(regexp_replace(s, '[^a-z ]+', ' ', 'g'), 'ch', 'C', 'g'), 'zz', 'z') AS x FROM t)
-SELECT id, list_sort(list_distinct(list_transform(range(1, length(s)), lambda i: substr(s, i, 2)))) AS grams, string_split(s, ' ') AS tokens,
+SELECT id, array_to_string(list_sort(list_distinct(list_transform(range(1, length(s)), lambda i: substr(s, i, 2)))), ',') AS grams,
        len(list_intersect(list_distinct(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))), list_distinct(list_transform(range(1, length(s || 'x')), lambda i: substr(s || 'x', i, 2)))))::DOUBLE
          / len(list_distinct(list_transform(range(1, length(s)), lambda i: substr(s, i, 2)))) AS contained, replace(name, ' ', '') <> '' AS inside, 'latin' AS script FROM a""")
 def text_grams(spark, d):
     n = F.lower("p_name")
     key = F.regexp_replace(n, " ", "")
     return table(spark, d, "part").select(
-        F.col("p_partkey").alias("id"), F.array_sort(text.bigrams(n)).alias("grams"), F.split(n, " ").alias("tokens"), text.containment(n, F.concat(n, F.lit("x"))).alias("contained"),
+        F.col("p_partkey").alias("id"), F.array_join(F.array_sort(text.bigrams(n)), ",").alias("grams"), text.containment(n, F.concat(n, F.lit("x"))).alias("contained"),
         text.contains_other(F.concat(key, F.lit("s")), key).alias("inside"), text.majority_script(F.col("p_name")).alias("script"),
     )
 
@@ -423,11 +423,11 @@ def film_names(spark, d):
 
 
 @query("""WITH e AS (SELECT event_type, epoch_ms(epoch_ms(ts) // 120000 * 120000) AS t0 FROM events WHERE ts IS NOT NULL)
-SELECT event_type, t0, count(*) AS n FROM e GROUP BY 1, 2""")
+SELECT event_type, strftime(t0, '%Y-%m-%d %H:%M:%S') AS t0, count(*) AS n FROM e GROUP BY 1, 2""")
 def stream_buckets(spark, d):
     """The streaming operator's buckets, over the table as it stands."""
     e = table(spark, d, "events").where("ts is not null").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
-    return windows.bucket_counts(e, ["event_type"]).select("event_type", F.col("t0").cast("timestamp_ntz").alias("t0"), "n")
+    return windows.bucket_counts(e, ["event_type"]).select("event_type", F.date_format("t0", "yyyy-MM-dd HH:mm:ss").alias("t0"), "n")
 
 
 @query("""WITH r AS (SELECT c_custkey AS entity, c_custkey % 3 AS k FROM customer)
