@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import agreement, align, runtime, verdict
+from ..operators import agreement, align, runtime, splits, verdict
 from . import inputs
 from .inputs import LINES, MOMENTS, SUBTITLES, VIDEOS, table
 
@@ -236,3 +236,66 @@ def fit_and_judge(spark, d):
 
 
 QUERIES["fit_and_judge"] = fit_and_judge
+
+
+def _density(name: str, source: str, keys: str) -> str:
+    """SQL of a smoothed histogram of ``d`` in every bin that has any height."""
+    return f"""
+{name}_b AS (SELECT {keys}, floor((d + 120e0) / 1e-2)::BIGINT AS b, count(*) AS n FROM {source} GROUP BY ALL),
+{name}_0 AS (SELECT {keys}, bin, sum(n) AS dense FROM (SELECT {keys}, n, unnest(range(b - 35, b + 36)) AS bin FROM {name}_b WHERE b BETWEEN 0 AND 24000) WHERE bin BETWEEN 0 AND 24000 GROUP BY ALL)"""
+
+
+def _rounds(name: str, keys: list[str], most: int) -> str:
+    """SQL of the rounds: the first bin of greatest height, the end of its plateau, all around it set aside."""
+    k, out = ", ".join(keys), []
+    on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in keys)
+    for i in range(most):
+        out.append(f"""
+{name}_t{i} AS (SELECT {k}, max(dense) AS top, arg_min(bin, (-dense, bin)) AS first FROM {name}_{i} GROUP BY ALL),
+{name}_e{i} AS (SELECT {k}, bin, bin - row_number() OVER (PARTITION BY {k} ORDER BY bin) AS island FROM (SELECT h.* FROM {name}_{i} h JOIN {name}_t{i} t ON {on("h", "t")} AND h.dense = t.top)),
+{name}_p{i} AS (SELECT {", ".join("t." + c for c in keys)}, {i} AS rank, t.top::BIGINT AS dense, t.first, max(y.bin) AS last FROM {name}_t{i} t JOIN {name}_e{i} x ON {on("x", "t")} AND x.bin = t.first JOIN {name}_e{i} y ON {on("y", "x")} AND y.island = x.island GROUP BY ALL),
+{name}_{i + 1} AS (SELECT h.* FROM {name}_{i} h LEFT JOIN {name}_p{i} p ON {on("h", "p")} AND h.bin BETWEEN p.first - 50 AND p.last + 50 WHERE p.rank IS NULL)""")
+    every = " UNION ALL ".join(f"SELECT * FROM {name}_p{i}" for i in range(most))
+    return ",".join(out) + f""",
+{name}_p AS (SELECT *, ((first + last) // 2) * 1e-2 - 120e0 AS o0, (last - first) * 1e-2 < 35e-2 AS narrow FROM ({every}))"""
+
+
+def _medians(name: str, source: str, keys: list[str]) -> str:
+    """SQL of three passes of medians around narrow plateaus."""
+    out, k = [], ", ".join("p." + c for c in keys)
+    on = " AND ".join(f"d.{c} = p.{c}" for c in keys)
+    for i in range(3):
+        at = f"{name}_p" if i == 0 else f"{name}_m{i}"
+        out.append(f"""
+{name}_m{i + 1} AS (SELECT {k}, p.rank, p.dense, p.narrow, coalesce(median(d.d), p.o{i}) AS o{i + 1} FROM {at} p LEFT JOIN {source} d ON {on} AND p.narrow AND abs(d.d - p.o{i}) <= 35e-2 GROUP BY {k}, p.rank, p.dense, p.narrow, p.o{i})""")
+    return ",".join(out)
+
+
+DIFFS = """
+d AS (SELECT r.pair_id, r.t AS r, r.t - a.t AS d, floor(r.t / 120e0)::INT AS bucket FROM moments r JOIN moments a ON r.pair_id = a.pair_id AND r.side = 0 AND a.side = 1 AND abs(r.t - a.t) <= 120e0)"""
+
+
+@query(f"""WITH {MOMENTS}, {DIFFS}, {_density("w", "d", "pair_id")}, {_rounds("w", ["pair_id"], 6)}, {_medians("w", "d", ["pair_id"])}
+SELECT pair_id, rank, dense, round(o3, 6) AS "offset" FROM w_m3""")
+def offset_peaks(spark, d):
+    """The densest offsets of every pair over the whole running time."""
+    x = splits.peaks(align.differences(*inputs.sides(spark, d), K), K, 6)
+    return x.select("pair_id", "rank", "dense", F.round("offset", 6).alias("offset"))
+
+
+@query(f"""WITH RECURSIVE {MOMENTS}, {DIFFS},
+l AS (SELECT * FROM d WHERE (pair_id, bucket) IN (SELECT (pair_id, bucket) FROM d GROUP BY pair_id, bucket HAVING count(*) >= 12)),
+{_density("w", "d", "pair_id")}, {_rounds("w", ["pair_id"], 6)}, {_medians("w", "d", ["pair_id"])},
+{_density("b", "l", "pair_id, bucket")}, {_rounds("b", ["pair_id", "bucket"], 2)}, {_medians("b", "l", ["pair_id", "bucket"])},
+o AS (SELECT pair_id, bucket, o3 AS o, row_number() OVER (PARTITION BY pair_id ORDER BY bucket, rank) AS i
+      FROM (SELECT pair_id, -1 AS bucket, rank, o3 FROM w_m3 UNION ALL SELECT pair_id, bucket, rank, o3 FROM b_m3)),
+f AS (SELECT pair_id, 0::BIGINT AS i, []::DOUBLE[] AS found FROM (SELECT DISTINCT pair_id FROM o)
+      UNION ALL
+      SELECT f.pair_id, o.i, CASE WHEN o.bucket < 0 OR len(list_filter(f.found, lambda c: abs(o.o - c) <= 5e-1)) = 0 THEN list_append(f.found, o.o) ELSE f.found END
+      FROM f JOIN o ON o.pair_id = f.pair_id AND o.i = f.i + 1),
+e AS (SELECT pair_id, arg_max(found, i) AS found FROM f GROUP BY pair_id)
+SELECT pair_id, cand::INT AS cand, round(found[cand + 1], 6) AS "offset" FROM (SELECT pair_id, found, unnest(range(len(found))) AS cand FROM e)""")
+def offset_candidates(spark, d):
+    """What a fit tries: peaks of the whole running time and of each stretch of it."""
+    x = splits.offset_candidates(*inputs.sides(spark, d), K)
+    return x.select("pair_id", "cand", F.round("offset", 6).alias("offset"))
