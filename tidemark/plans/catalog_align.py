@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import agreement, align, runtime, splits, verdict
 from . import inputs
-from .inputs import LINES, MOMENTS, SUBTITLES, VIDEOS, table
+from .inputs import LINES, MOMENTS, SPLICED, SUBTITLES, VIDEOS, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -299,3 +299,51 @@ def offset_candidates(spark, d):
     """What a fit tries: peaks of the whole running time and of each stretch of it."""
     x = splits.offset_candidates(*inputs.sides(spark, d), K)
     return x.select("pair_id", "cand", F.round("offset", 6).alias("offset"))
+
+
+@query(f"""WITH {SPLICED},
+c AS (SELECT pair_id, cand, cand * 4e0 AS o FROM (SELECT DISTINCT pair_id FROM ref), (SELECT unnest([0, 1, 2]) AS cand)),
+r AS (SELECT pair_id, t, row_number() OVER (PARTITION BY pair_id ORDER BY t) AS i FROM ref),
+h AS (SELECT r.pair_id, c.cand, r.i, EXISTS (SELECT 1 FROM sub a WHERE a.pair_id = r.pair_id AND abs((r.t - c.o) - a.t) <= 35e-2)::INT AS hit FROM r JOIN c ON r.pair_id = c.pair_id),
+s AS (SELECT pair_id, cand, i, sum(hit) OVER (PARTITION BY pair_id, cand ORDER BY i) AS s FROM h)
+SELECT pair_id, cand, max(i) AS n, '0,' || string_agg(s::BIGINT::VARCHAR, ',' ORDER BY i) AS sums FROM s GROUP BY ALL""")
+def hit_prefixes(spark, d):
+    """Prefix sums of the hits of every moment under three offsets."""
+    r, a = inputs.spliced(spark, d)
+    cands = r.select("pair_id").distinct().select("pair_id", F.inline(F.array(*[F.struct(F.lit(c).alias("cand"), F.lit(c * 4.0).alias("offset")) for c in range(3)])))
+    p = splits.hit_prefixes(r, a, cands, K)
+    return p.select("pair_id", "cand", F.col("n").cast("long").alias("n"), F.array_join("prefix", ",").alias("sums"))
+
+
+@query(f"""WITH {SPLICED},
+r AS (SELECT pair_id, t, row_number() OVER (PARTITION BY pair_id ORDER BY t) AS i, count(*) OVER (PARTITION BY pair_id) AS n FROM ref),
+c AS (SELECT unnest([0, 1, 2, 3, 4, 5]) AS cand),
+h AS (SELECT r.pair_id, cand, i, n, EXISTS (SELECT 1 FROM sub a WHERE a.pair_id = r.pair_id AND abs((r.t - (r.pair_id % 5 * 15e-1 + cand * 425e-2)) - a.t) <= 35e-2)::INT AS hit FROM r, c),
+s AS (SELECT pair_id, cand, i AS k, n, sum(hit) OVER (PARTITION BY pair_id, cand ORDER BY i) AS head, sum(hit) OVER (PARTITION BY pair_id, cand) AS whole FROM h),
+q AS (SELECT * FROM s WHERE k BETWEEN 12 AND n - 12),
+b AS (SELECT pair_id, k, max(head) AS head, max(whole - head) AS tail, arg_max(cand, head * 10 - cand) AS p, arg_max(cand, (whole - head) * 10 - cand) AS q FROM q GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY head + tail DESC, k) AS rk FROM b WHERE p <> q)
+SELECT pair_id, k, p, q, (head + tail)::BIGINT AS hits FROM o WHERE rk = 1""")
+def frontier_cuts(spark, d):
+    """The first cut of every pair between six offsets: one step of the frontier."""
+    r, a = inputs.spliced(spark, d)
+    base = F.col("pair_id") % 5 * 1.5
+    cands = r.select("pair_id").distinct().select("pair_id", F.inline(F.array(*[F.struct(F.lit(c).alias("cand"), (base + c * 4.25).alias("offset")) for c in range(6)])))
+    p = splits.hit_prefixes(r, a, cands, K)
+    whole = p.select("pair_id", F.lit(0).alias("a"), F.col("n").alias("b")).distinct()
+    cut = splits.best_cuts(p, whole, K)
+    at = lambda c: F.max(F.when(F.col("cand") == F.col(c), F.get("prefix", F.col("k"))))
+    end = F.max(F.when(F.col("cand") == F.col("q"), F.get("prefix", F.col("b"))))
+    hits = cut.join(p.select("pair_id", "cand", "prefix"), "pair_id").groupBy("pair_id", "k", "p", "q").agg((at("p") + end - at("q")).cast("long").alias("hits"))
+    return hits.select("pair_id", F.col("k").cast("long").alias("k"), "p", "q", "hits")
+
+
+def split_fits(spark, d):
+    """Whole fits of spliced streams as frames; greedy cuts are no SQL, tests hold them to a plain search."""
+    r, a = inputs.spliced(spark, d)
+    x = splits.fit(r, a, r.select("pair_id").distinct().withColumn("duration", F.lit(7200.0)), K)
+    offsets = F.array_join(F.transform("segments", lambda s: F.round(s["offset"], 2).cast("string")), " ")
+    return x.select("pair_id", F.size("segments").alias("parts"), F.round("score", 6).alias("score"), F.round("chance", 6).alias("chance"), offsets.alias("offsets"), F.round(F.get("gaps", F.lit(0))["lo"], 3).alias("cut"))
+
+
+QUERIES["split_fits"] = split_fits

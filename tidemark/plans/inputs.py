@@ -80,3 +80,20 @@ subtitles AS (
          CASE WHEN p_partkey % 13 <> 0 THEN 1100e0 + p_partkey % 900 END AS last, p_partkey % 40 AS cues, p_partkey AS id,
          (['en', 'de', 'fr', 'und'])[p_partkey % 4 + 1] AS lang
   FROM part)"""
+
+
+def spliced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(ref, sub) of pair_id, t: all events of a user, and nine tenths of them moved by one offset in the first hour and another in the second."""
+    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
+    u, t = F.col("user_id"), F.pmod(ms, F.lit(7200000)) / 1000.0
+    e = table(spark, sf_dir, "events").where("ts is not null").select(u.alias("pair_id"), t.alias("t"), "event_id")
+    first = F.col("pair_id") % 5 * 1.5
+    moved = F.col("t") - F.when(F.col("t") < 3600, first).otherwise(first + F.col("pair_id") % 3 * 4.25)
+    return e.select("pair_id", "t"), e.where("event_id % 10 > 0").select("pair_id", moved.alias("t"))
+
+
+SPLICED = """
+ref AS (
+  SELECT user_id AS pair_id, ((date_diff('millisecond', TIMESTAMP '2024-01-01', ts) % 7200000)::DOUBLE / 1000e0) AS t, event_id FROM events WHERE ts IS NOT NULL),
+sub AS (
+  SELECT pair_id, t - CASE WHEN t < 3600 THEN pair_id % 5 * 15e-1 ELSE pair_id % 5 * 15e-1 + pair_id % 3 * 425e-2 END AS t FROM ref WHERE event_id % 10 > 0)"""
