@@ -7,20 +7,24 @@ looks like a record, with the places its Content-Length leads to, and pointer
 jumping from the start of each file keeps those that can be reached.  A magic
 inside a payload stands on no chain from the start and is rejected.
 
-Gzip files stream through a task: Spark's text reader cuts them at CRLFCRLF, and
-candidates keep a digest of the payload that passes by, not the payload, so an
-archive may be of any size.  Other files are taken whole, up to 2 GB each.
+Gzip files (names that end in .gz) stream through a task: Spark's text reader cuts
+them at CRLFCRLF, payloads are digested as they pass by, and rows leave in
+stretches, so an archive may be of any size.  Other files are taken whole, up to
+2 GB each.  Only the record that a chain from the start has come to is digested;
+other candidates, such as heads quoted in a payload, are two numbers each.
 
 Defined results: null html is an empty payload; of repeated page ids with the
 largest id each is a response; null page ids count as smaller than any, and
 where all ids of a payload are null each is a response.  An empty table gives
-an empty result.  Every file below a folder is read, whatever its name, plain or
-gzip, of one member or many; one that does not start with a record gives none.
+an empty result.  Every file below a folder is read but those Spark hides (a dot or
+a low line in front), plain or gzip, of one member or many; one that does not start
+with a record gives none.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
 
@@ -35,6 +39,8 @@ NEXT = "\r\n\r\n"
 MIN_REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 8 << 20
 STRIDE = 32
+#: Rows of a file that are held before those that are known leave.
+STRETCH = 4096
 
 
 def _line(name: str, value) -> list:
@@ -115,12 +121,12 @@ _FIELD = {
 }
 
 
-class _Candidate:
-    """What looks like a record: where its block starts and ends, and what has passed by of it."""
+class _Live:
+    """The record that a chain from the file's start has come to: what has passed by of its payload."""
 
     def __init__(self, at: int, head: bytes, block: int, size: int):
         self.at, self.head, self.block, self.stop = at, head, block, block + size
-        self.start, self.http, self.after, self.bytes, self.sha = None, b"", b"", 0, hashlib.sha1()
+        self.start, self.http, self.bytes, self.sha = None, b"", 0, hashlib.sha1()
 
     def see(self, data: bytes, at: int, whole: bool) -> None:
         """Bytes of the file from ``at`` on; ``whole``: they are all up to a blank line."""
@@ -131,8 +137,6 @@ class _Candidate:
         if self.start is not None and (part := data[max(self.start - at, 0) : max(self.stop - at, 0)]):
             self.sha.update(part)
             self.bytes += len(part)
-        if at + len(data) > self.stop and len(self.after) < len(NEXT):
-            self.after += data[max(self.stop - at, 0) :][: len(NEXT) - len(self.after)]
 
     def row(self) -> dict:
         """Fields of the record; the digest of a payload that is there is computed anew."""
@@ -141,7 +145,6 @@ class _Candidate:
         length = _LENGTH.search(b"\r\n" + self.http + b"\r\n")
         full = f[b"WARC-Type"] != "revisit"
         return {
-            "at": self.at,
             "page_id": int(page[1]) if page else None,
             "payload_bytes": self.bytes if full else int(length[1]) if length else None,
             "payload_digest": self.sha.hexdigest() if full else (f[b"WARC-Payload-Digest"] or "").rpartition(":")[2],
@@ -151,39 +154,78 @@ class _Candidate:
 
 
 class _File:
-    """The candidates of one file, whose bytes come in pieces between blank lines."""
+    """The candidates of one file, whose bytes come in pieces between blank lines.
 
-    def __init__(self, name: str):
-        self.name, self.at = name, 0
-        self.open: list[_Candidate] = []
-        self.rows: list[tuple[dict, int]] = []
+    A candidate is a place and where its record ends, and is looked at once more
+    when the end passes by; the payload is digested of the one record at a time
+    that a chain from the start leads to.  Rows leave in stretches, each as soon as
+    its next places are known or can't come any more.
+    """
+
+    def __init__(self, name: str, stride: int, stretch: int = STRETCH):
+        self.name, self.stride, self.stretch = name, stride, stretch
+        self.at, self.tail, self.due = 0, b"", 0
+        self.live: _Live | None = None
+        self.ends: list[tuple[int, int]] = []
+        self.open: set[int] = set()
+        self.rows: dict[int, tuple[dict, int]] = {}
 
-    def piece(self, data: bytes) -> None:
+    def piece(self, data: bytes):
+        """Take the bytes up to the next blank line, and yield rows that are known now."""
         blank, end = NEXT.encode(), self.at + len(data)
-        for c in self.open:
-            c.see(data, self.at, True)
-            c.see(blank, end, False)
-        place = data.find(MAGIC)
+        block = end + len(blank)
+        if self.live:
+            self.live.see(data, self.at, True)
+            self.live.see(blank, end, False)
+        seen, base = self.tail + data + blank, self.at - len(self.tail)
+        place, head, length = data.find(MAGIC), data + b"\r\n", None
         while place >= 0:
-            head = data[place:] + b"\r\n"
-            if m := _LENGTH.search(head):
-                self.open.append(_Candidate(self.at + place, head, end + len(blank), int(m[1])))
+            if length is None or length.start() < place:
+                length = _LENGTH.search(head, place)
+                if length is None:
+                    break
+            at, size = self.at + place, int(length[1])
+            self.close(at - len(blank), seen, base)  # a blank line may end in this piece
+            heapq.heappush(self.ends, (block + size, at))
+            self.open.add(at)
+            if at == self.due:
+                self.live = _Live(at, head[place:], block, size)
             place = data.find(MAGIC, place + 1)
-        self.at = end + len(blank)
-        done = [c for c in self.open if len(c.after) == len(blank)]
-        self.rows += [(c.row(), c.stop + len(blank)) for c in done if c.after == blank]
-        self.open = [c for c in self.open if len(c.after) < len(blank)]
-
-    def found(self, stride: int):
-        """Rows in order, each with its next ``stride`` places and where these lead."""
-        after = {r["at"]: stop for r, stop in self.rows}
-        out = []
-        for r, stop in sorted(self.rows, key=lambda x: x[0]["at"]):
-            path, jump = [r["at"]], stop
-            while jump in after and len(path) < stride:
+        self.close(end, seen, base)
+        self.tail, self.at = seen[-len(blank) + 1 :], block
+        if len(self.rows) >= 2 * self.stretch:
+            yield from self.known(False)
+
+    def close(self, last: int, seen: bytes, base: int) -> None:
+        """Settle candidates that end at ``last`` or before; ``seen`` are the file's bytes from ``base`` on."""
+        while self.ends and self.ends[0][0] <= last:
+            stop, at = heapq.heappop(self.ends)
+            self.open.discard(at)
+            chained = self.live is not None and self.live.at == at
+            if seen[stop - base : stop - base + len(NEXT)] == NEXT.encode():
+                self.rows[at] = (self.live.row() if chained else {}, stop + len(NEXT))
+                if chained:
+                    self.due = stop + len(NEXT)
+            elif chained:
+                self.due = -1
+            if chained:
+                self.live = None
+
+    def known(self, ended: bool):
+        """Rows whose next ``stride`` places are known, each with these and where they lead; all at the end of a file."""
+        out, kept = [], {}
+        for at, (fields, stop) in self.rows.items():
+            path, jump = [at], stop
+            while jump in self.rows and len(path) < self.stride:
                 path.append(jump)
-                jump = after[jump]
-            out.append({"file": self.name, "path": path, "jump": jump if jump in after else None} | r)
+                jump = self.rows[jump][1]
+            here = jump in self.rows
+            if ended or here or (jump < self.at and jump not in self.open):
+                out.append({"file": self.name, "at": at, "path": path, "jump": jump if here else None} | fields)
+            else:
+                kept[at] = (fields, stop)
+        # a place that a kept row leads through is kept with it, as what it leads to is not known either
+        self.rows = kept
         for k in range(0, len(out), 2000):
             yield pa.RecordBatch.from_pylist(out[k : k + 2000], schema=_RAW_ARROW)
 
@@ -202,11 +244,11 @@ def _scan_pieces(stride: int):
                 name = b.column(0)[i].as_py()
                 if file is None or file.name != name:
                     if file:
-                        yield from file.found(stride)
-                    file = _File(name)
-                file.piece(b.column(1)[i].as_py())
+                        yield from file.known(True)
+                    file = _File(name, stride)
+                yield from file.piece(b.column(1)[i].as_py())
         if file:
-            yield from file.found(stride)
+            yield from file.known(True)
 
     return run
 
@@ -215,10 +257,10 @@ def _scan_whole(stride: int):
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                file = _File(b.column(0)[i].as_py())
+                file = _File(b.column(0)[i].as_py(), stride)
                 for piece in _inflate(b.column(1)[i].as_py()).split(NEXT.encode()):
-                    file.piece(piece)
-                yield from file.found(stride)
+                    yield from file.piece(piece)
+                yield from file.known(True)
 
     return run
 
@@ -232,7 +274,7 @@ def read_archives(spark: SparkSession, path: str, stride: int = STRIDE) -> DataF
     deep = spark.read.option("recursiveFileLookup", "true")
     # a gzip file is never split, so its pieces come to one task in their order
     pieces = deep.option("pathGlobFilter", "*.gz").option("lineSep", NEXT).text(path).select("_metadata.file_path", F.col("value").cast("binary").alias("value"))
-    whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{*[^z],*[^g]z,*[^.]gz}").load(path).select("path", "content")
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{*[^z],*[^g]z,*[^.]gz,z,gz}").load(path).select("path", "content")
     found = written(pieces.mapInArrow(_scan_pieces(stride), _RAW).union(whole.mapInArrow(_scan_whole(stride), _RAW)), "candidates")
     jump = found.where("jump is not null").select("file", F.col("at").alias("from"), F.col("jump").alias("to"))
     reach, count = written(found.where("at = 0").select("file", "at"), "reach"), -1
