@@ -58,3 +58,19 @@ def test_run_is_its_stages(spark, docs, tmp_path):
     docs(ODD).select(*COLUMNS).write.parquet(f"{d}/documents.parquet")
     got = corpus_pipeline.run(spark, d).collect()
     assert got and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(got[0].asDict())
+
+
+#: Names of helper columns inside the stages and of columns that operators make.
+HELPERS = "rows own copies kept_id m_id m_source take copy share kept fp component_id component size source_size target base p node class number score n n_id n_fp r ids h u v m words labels mask".split()
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_pass_over_columns_of_clashing_names(spark, docs, tmp_path, k):
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame([(4, 0), (7, 1), (7, 0), (None, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stage = corpus_pipeline.STAGES[k][1]
+    plain = docs(ODD).select(*COLUMNS)
+    clash = plain.select("*", *[F.lit("x").alias(c) for c in HELPERS])
+    rows = lambda df: sorted(map(repr, stage(spark, df, str(tmp_path)).collect()))
+    assert rows(clash) == rows(plain)

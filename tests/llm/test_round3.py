@@ -268,3 +268,69 @@ def test_queries_take_odd_tables(spark, tmp_path):
     assert got["op11_centroids"].count() == 2 and got["op12_token_files"].count() == len(rows)
     assert got["op13_filter_audit"].count() == 600 * len({lang or "" for _, _, lang in rows})
     assert got["op12_token_files"].columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+# warc
+
+
+def warc_record(i, payload):
+    from tidemark.llm.warc import MAGIC
+
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    head = MAGIC + b"WARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: %d\r\n\r\n" % (i, len(http) + len(payload))
+    return head + http + payload + b"\r\n\r\n"
+
+
+def test_warc_names_without_a_stem(spark, tmp_path):
+    import gzip
+
+    from tidemark.llm import warc
+
+    for k, (name, zipped) in enumerate([("z", False), ("gz", True), ("A.GZ", True), ("b.gz", True), ("xz", False), ("agz", True)]):
+        data = warc_record(k, b"p" * k)
+        (tmp_path / name).write_bytes(gzip.compress(data) if zipped else data)
+    got = warc.read_archives(spark, str(tmp_path)).collect()
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in got) == [(k, k) for k in range(6)]
+
+
+def test_quoted_heads_cost_what_they_are_long(tmp_path):
+    import time
+
+    from tidemark.llm import warc
+
+    def took(n, far=10**9):
+        quoted = b"".join(warc.MAGIC + b"Content-Length: %d\r\n\r\n" % (far + i) for i in range(n))
+        data = warc_record(1, quoted) + warc_record(2, b"after")
+        began = time.perf_counter()
+        file = warc._File("f", 32)
+        out = [b for piece in data.split(warc.NEXT.encode()) for b in file.piece(piece)] + list(file.known(True))
+        rows = [r for b in out for r in b.to_pylist()]
+        assert [(r["page_id"], r["payload_bytes"]) for r in rows] == [(1, len(quoted)), (2, 5)]
+        assert rows[0]["payload_digest"] == hashlib.sha1(quoted).hexdigest()
+        return time.perf_counter() - began
+
+    took(500)
+    few, many = min(took(1000) for _ in range(3)), min(took(16000) for _ in range(2))
+    assert many < 40 * few + 0.5
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 4096])
+def test_rows_of_an_archive_leave_in_stretches(stretch):
+    from tidemark.llm import warc
+
+    rng = random.Random(stretch)
+    payloads = [rng.choice([b"", b"x" * 50, b"a\r\n\r\nb", b"\r\n", warc_record(9, b"inner"), warc.MAGIC + b"Content-Length: 3\r\n\r\nabc\r\n\r\n"]) for _ in range(200)]
+    data = b"".join(warc_record(i, p) for i, p in enumerate(payloads))
+    file, out, most = warc._File("f", 4, stretch), [], 0
+    for piece in data.split(warc.NEXT.encode()):
+        out += [r for b in file.piece(piece) for r in b.to_pylist()]
+        most = max(most, len(file.rows))
+    out += [r for b in file.known(True) for r in b.to_pylist()]
+    by = {r["at"]: r for r in out}
+    assert len(by) == len(out) and (stretch > 200 or most < 2 * stretch + 20)
+    at, seen = 0, []
+    while at is not None:  # every chain is whole, whatever the stretch
+        for x in by[at]["path"]:
+            seen.append((by[x]["page_id"], by[x]["payload_bytes"], by[x]["payload_digest"]))
+        at = by[at]["jump"]
+    assert seen == [(i, len(p), hashlib.sha1(p).hexdigest()) for i, p in enumerate(payloads)]

@@ -82,12 +82,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     seen = None
     while True:
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # minima are written, so that a hub's rows can be dealt out where they meet them
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = written(both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         # small star: link a node's smaller neighbours and itself to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = (
-            large.join(least, "u")
+            large.join(least.hint("merge"), "u")
             .select(F.col("v").alias("x"), "m")
             .union(least.select(F.col("u").alias("x"), "m"))
             .where("x <> m")
@@ -95,7 +96,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .distinct()
         )
         last, cur = cur, written(small, "edges")
-        discard(last)
+        discard(last, low, large, least)
         mark = cur.agg(
             F.count("*").alias("n"),
             F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h"),
