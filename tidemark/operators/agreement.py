@@ -165,16 +165,40 @@ def renumbering(videos: DataFrame, subtitles: DataFrame, keys: list[str], episod
     return found.where(F.col("shift").isNotNull() & enough).drop("larger")
 
 
+#: A run of one script in a label: kana and kanji, or Latin letters and digits with what stands between words.
+SCRIPT_RUNS = r"([\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uFF66-\uFF9F]+|[0-9A-Za-z][0-9A-Za-z '&!.:-]*)"
+
+
+def name_keys(names: DataFrame, name: str = "name") -> DataFrame:
+    """``names`` with ``key``: one row for the key of each whole name, and one for either half of a name that is one title in two scripts.
+
+    That is: just two runs of script whose phonetic skeletons are equal and not
+    empty.  What can't be sounded, kanji above all, is left whole.  Null names and
+    those without a key have no row.
+    """
+    from ..functions.kana import skeleton
+    from ..functions.text import title_key
+
+    n = names.select(F.col(name).alias("__n")).where("__n is not null").distinct()
+    runs = F.filter(F.transform(F.regexp_extract_all("__n", F.lit(SCRIPT_RUNS), F.lit(1)), F.trim), lambda r: r != "")
+    n = n.withColumn("runs", runs)
+    two = n.where((F.size("runs") == 2) & F.col("__n").rlike("[\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uFF66-\uFF9F]") & F.col("__n").rlike("[A-Za-z]"))
+    halves = two.withColumn("x", skeleton(F.get("runs", F.lit(0)))).withColumn("y", skeleton(F.get("runs", F.lit(1)))).where("x <> '' and x = y").select("__n", F.explode("runs").alias("part"))
+    parts = n.select("__n", F.col("__n").alias("part")).union(halves)
+    keys = parts.select("__n", title_key(F.col("part")).alias("key")).where("key <> ''").distinct()
+    return names.join(keys, names[name] == keys["__n"]).drop("__n")
+
+
 def entity_names(records: DataFrame, most: int = 256) -> DataFrame:
     """``key, entity``: alias table from (entity, name, seq); the last record of an entity counts, both scripts must be there.
 
     A key of more than ``most`` entities keeps the smallest, which is the table's own limit.
     """
-    from ..functions.text import script_of, title_key
+    from ..functions.text import script_of
 
     last = records.groupBy("entity").agg(F.max("seq").alias("seq"))
     named = records.join(last, ["entity", "seq"]).select("entity", "name").distinct()
     kinds = named.withColumn("script", script_of(F.col("name"))).groupBy("entity").agg(F.bool_or(F.col("script").isin("cjk", "mixed")).alias("cjk"), F.bool_or(F.col("script").isin("latin", "mixed")).alias("latin"))
-    keys = named.join(kinds.where("cjk and latin").select("entity"), "entity", "left_semi").select(title_key(F.col("name")).alias("key"), "entity").where("key <> ''").distinct()
+    keys = name_keys(named.join(kinds.where("cjk and latin").select("entity"), "entity", "left_semi")).select("key", "entity").distinct()
     w = Window.partitionBy("key").orderBy("entity")
     return keys.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most).drop("__r")

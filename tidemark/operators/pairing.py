@@ -87,6 +87,38 @@ def gram_top_k(queries: DataFrame, titles: DataFrame, k: int = 300) -> DataFrame
     return both.select("query", "title", "jaccard", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
 
 
+def similar(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """``a, b, jaccard``: all pairs of ids whose sets (id, grams; distinct) have a Jaccard similarity of ``least`` or more, above zero.
+
+    Grams are ordered from rare to frequent.  Two sets that are as similar share one
+    of the first ``n - least * n + 1`` grams of either, so only these are joined, with
+    the sizes and what can still follow as residuals; a frequent gram is in no prefix
+    but that of sets made of frequent ones.  What meets is verified on the whole sets.
+    Empty sets are similar to nothing; ids that repeat are one.
+    """
+    sets = lambda d: d.where(F.size("grams") > 0).dropDuplicates(["id"]).select("id", "grams")
+    l, r = sets(left), sets(right)
+    seen = r.select(F.explode("grams").alias("x")).groupBy("x").agg(F.count("*").alias("df"))
+
+    def prefix(d: DataFrame, name: str) -> DataFrame:
+        each = d.select("id", F.explode("grams").alias("x")).join(seen, "x", "left")
+        ordered = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "x"))).alias("g")).withColumn("n", F.size("g"))
+        first = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int")
+        rows = ordered.select("id", "n", F.posexplode(F.slice("g", F.lit(1), F.least(F.greatest(first, F.lit(1)), F.col("n")))).alias("i", "e"))
+        return rows.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("i").alias(f"i_{name}"), F.col("e.x").alias("x"))
+
+    both = prefix(l, "a").join(prefix(r, "b"), "x")
+    short, long = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    # what stands before the shared gram on either side, this gram, and what is left
+    shared = F.least("i_a", "i_b") + F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
+    need = (F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - 1e-9
+    met = both.where((short >= long * least - 1e-9) & (shared >= need)).select("a", "b").distinct()
+    whole = met.join(l.select(F.col("id").alias("a"), F.col("grams").alias("g_a")), "a").join(r.select(F.col("id").alias("b"), F.col("grams").alias("g_b")), "b")
+    n = F.size(F.array_intersect("g_a", "g_b"))
+    scored = whole.select("a", "b", (n / (F.size("g_a") + F.size("g_b") - n)).alias("jaccard"))
+    return scored.where((F.col("jaccard") >= least) & (F.col("jaccard") > 0))
+
+
 def accept_best(scored: DataFrame, accept: float = 0.85, margin: float = 0.10) -> DataFrame:
     """Per query the best title if it is good and clear of the next."""
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("title").desc())

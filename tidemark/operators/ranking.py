@@ -121,8 +121,9 @@ def mirror_root(folders: DataFrame) -> DataFrame:
 
 
 def output_folder(folder: Column, root: Column, out: str) -> Column:
-    """The folder below ``out`` that stands for one below ``root``."""
-    return F.concat(F.lit(out.rstrip("/")), F.when(F.startswith(folder, root), F.substr(folder, F.length(root) + 1)).otherwise(""))
+    """The folder below ``out`` that stands for one below ``root``; ``out`` itself for the root and for any other."""
+    below = F.startswith(folder, F.concat(F.rtrim(root, F.lit("/")), F.lit("/")))
+    return F.concat(F.lit(out.rstrip("/")), F.when(below, F.substr(folder, F.length(F.rtrim(root, F.lit("/"))) + 1)).otherwise(""))
 
 
 def resolve_claims(pairs: DataFrame) -> DataFrame:

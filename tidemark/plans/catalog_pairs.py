@@ -119,6 +119,20 @@ def gram_top_k(spark, d):
     return pairing.gram_top_k(t.where("id % 50 = 0"), t, 5)
 
 
+@query("""WITH a AS (SELECT DISTINCT p_name || ' ' || p_size AS id FROM part), b AS (SELECT DISTINCT p_name || ' ' || p_brand AS id FROM part),
+f AS (SELECT id, list_distinct(list_transform(range(1, length(id)), lambda i: substr(id, i, 2))) AS grams FROM a), g AS (SELECT id, list_distinct(list_transform(range(1, length(id)), lambda i: substr(id, i, 2))) AS grams FROM b),
+x AS (SELECT id, len(grams) AS n, unnest(grams) AS x FROM f), y AS (SELECT id, len(grams) AS n, unnest(grams) AS x FROM g),
+j AS (SELECT x.id AS a, y.id AS b, count(*)::DOUBLE / (any_value(x.n) + any_value(y.n) - count(*)) AS jaccard FROM x JOIN y ON x.x = y.x GROUP BY 1, 2)
+SELECT * FROM j WHERE jaccard >= 5e-1""")
+def similar_titles(spark, d):
+    """All pairs of two lists of titles of all parts whose bigrams are alike to 0.5."""
+    from ..functions.text import bigrams
+
+    p = table(spark, d, "part")
+    of = lambda *c: p.select(F.concat_ws(" ", *c).alias("id")).distinct().withColumn("grams", bigrams(F.col("id")))
+    return pairing.similar(of("p_name", F.col("p_size").cast("string")), of("p_name", "p_brand"), 0.5)
+
+
 @query("""WITH s AS (SELECT l_orderkey AS query, l_partkey AS title, max(l_discount * 10e0) AS score FROM lineitem GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS next FROM s WINDOW w AS (PARTITION BY query ORDER BY score DESC, title DESC))
 SELECT query, title, score FROM r WHERE r = 1 AND score >= 85e-2 AND score - coalesce(next, 0e0) >= 1e-1""")

@@ -105,13 +105,43 @@ def film_edges(items: DataFrame, references: DataFrame | None) -> DataFrame:
     return ranking.separated(found).where("separated").select("video", "subtitle")
 
 
+def likely_titles(items: DataFrame, alias: DataFrame | None = None, different_below: float = 0.40) -> DataFrame:
+    """``key, s_key``: title keys of videos and cue files that their letters, words or an alias table don't surely tell apart.
+
+    Only titles that share enough bigrams, or all their words, can be as similar as
+    that; they meet by a join on rare bigrams and by an equality of words.
+    """
+    of = lambda kind: items.where((F.col("kind") == kind) & (F.col("key") != "")).groupBy("key").agg(F.max("tokens").alias("tokens"))
+    v, s = of("video"), of("subtitle")
+    grams = lambda d: d.select(F.col("key").alias("id"), text.bigrams(F.col("key")).alias("grams"))
+    near = pairing.similar(grams(v), grams(s), different_below).select(F.col("a").alias("key"), F.col("b").alias("s_key"))
+    words = lambda kind, name: items.where((F.col("kind") == kind) & (F.col("key") != "") & (F.size("tokens") > 1)).select(F.col("key").alias(name), F.array_sort("tokens").alias("words")).distinct()
+    same = words("video", "key").join(words("subtitle", "s_key"), "words").select("key", "s_key")
+    return near.union(same).union(series_pairs(items, alias)).distinct()
+
+
+def likely(items: DataFrame, alias: DataFrame | None = None) -> DataFrame:
+    """``video, subtitle, speculative`` of equal episode, but for titles of one script that are surely different.
+
+    Titles of other scripts and empty ones can't be told apart by their letters: they
+    meet by episode alone, each kind in a join of its own.
+    """
+    v, s = (items.where(F.col("kind") == kind) for kind in ("video", "subtitle"))
+    by_title = v.join(likely_titles(items, alias), "key")
+    met = pairing.block(by_title.select("path", "s_key", "season", "episode"), s.withColumnRenamed("key", "s_key").select("path", "s_key", "season", "episode"), ["s_key"])
+    han, empty = F.col("script").isin("cjk", "mixed"), F.col("key") == ""
+    for a, b in ((han, ~han), (~han, han), (empty, F.lit(True)), (F.lit(True), empty)):
+        met = met.union(pairing.block(v.where(a), s.where(b)))
+    return met.groupBy("video", "subtitle").agg(F.bool_and("speculative").alias("speculative"))
+
+
 def edges(items: DataFrame, references: DataFrame | None = None, alias: DataFrame | None = None) -> DataFrame:
     """``video, subtitle, identity, score, speculative, proximity``: candidates that aren't surely of different series.
 
-    Titles aren't blocked on: other scripts, joined words and misspelt names share no token.
+    Pairs grow with titles that are alike, not with the files of an episode (``likely``).
     ``items`` is read many times and should be stored or cached.
     """
-    pairs = pairing.block(items.where("kind = 'video'"), items.where("kind = 'subtitle'"))
+    pairs = likely(items, alias)
     v, s = numbered(items, series_pairs(items, alias))
     shifted = pairing.block(v, s, ["key"]).where("speculative")
     met = pairs.select("video", "subtitle").union(shifted.select("video", "subtitle"))
