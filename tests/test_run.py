@@ -38,18 +38,33 @@ def test_run(spark, tmp_path):
     assert run.summary(out).first()["clean"] == sum(r["outcome"] == "CONFIDENT" for r in rows)
 
 
-def test_apply_writes_once_and_trashes(spark, tmp_path):
-    sub, old, target, trash = tmp_path / "a.srt", tmp_path / "b.srt", tmp_path / "v.en.srt", str(tmp_path / "trash")
-    sub.write_text(srt([1.0, 9.0])), old.write_text("x")
-    files = formats.scan_cue_files(spark, str(tmp_path)).where("path like '%a.srt'")
-    rendered = rewrite.render_files(files.withColumn("segments", F.expr("array(struct(cast(null as double) as split, 4.0D as offset))"))).persist()
-    rows = [(f"file:{sub}", "write", f"file:{target}"), (f"file:{old}", "supersede", None)]
-    out = spark.createDataFrame(rows, "subtitle string, action string, target string")
-    assert len(run.apply(out, rendered, trash)) == 2 and not target.exists() and old.exists()
-    run.apply(out, rendered, trash, dry_run=False)
-    assert formats.read_bytes(target.read_bytes(), "a.srt")["cues"][0]["start"] == 5.0 and not old.exists() and len(list((tmp_path / "trash").iterdir())) == 1
-    with pytest.raises(FileExistsError):
-        run.apply(out.where("action = 'write'"), rendered, trash, dry_run=False)
+def test_a_second_run_measures_nothing(spark, tmp_path):
+    from tidemark.operators import state
+    from tidemark.plans import perform
+
+    v, s, trash, store = (str(tmp_path / n) for n in ("v", "s", "trash", "store"))
+    (tmp_path / "v").mkdir(), (tmp_path / "s").mkdir()
+    rng, refs = np.random.default_rng(0), []
+    for e in (1, 2):
+        true = np.sort(rng.uniform(0, 1400, 300)).round(2)
+        (tmp_path / "v" / f"Blue Harbor S01E0{e}.mkv").write_bytes(b"x")
+        (tmp_path / "s" / f"Blue Harbor - 0{e}.en.srt").write_text(srt(true))
+        (tmp_path / "s" / f"Blue Harbor - 0{e}.en.sdh.srt").write_text(srt(true[::2]))
+        refs.append((f"file:{v}/Blue Harbor S01E0{e}.mkv", (true + 4.0).tolist(), 1410.0))
+    references = spark.createDataFrame(refs, "video string, starts array<double>, duration double")
+
+    def once(**more):
+        files = formats.scan_cue_files(spark, s).unionByName(formats.scan_cue_files(spark, v))
+        both = spark.read.format("binaryFile").option("pathGlobFilter", "*.srt")
+        digests = both.load(s).union(both.load(v)).select("path", state.full_key(F.col("content")).alias("digest"))
+        return perform.perform(run.scan(spark, v, s), references, files, digests, store, trash, tags={"en": "en"}, **more)
+
+    first = once(dry_run=False)
+    rows = first.results.collect()
+    assert len(rows) == 2 and all(r["output_path"].endswith(".en.srt") and len(r["superseded"]) == 1 and not r["write_failed"] for r in rows)
+    assert perform.read_records(spark, store).count() == 2 and len(list((tmp_path / "trash").rglob("*.srt"))) == 2
+    again = once(dry_run=False)
+    assert again.decided.count() == 0 and again.outcomes.count() == 0
 
 
 def made(spark, rows):

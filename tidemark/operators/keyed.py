@@ -26,14 +26,14 @@ KEY = ["digest", "kind"]
 ROW = "digest string, kind string, size long, version int, written_at timestamp, payload string, check long"
 
 
-def _check() -> Column:
+def check() -> Column:
     return F.xxhash64("digest", "kind", "size", "version", "payload")
 
 
 def entries(rows: DataFrame, kind: str | None = None, version: int = VERSION) -> DataFrame:
     """Rows (digest, size, payload, written_at[, kind]) as the table keeps them."""
     named = rows.withColumn("kind", F.lit(kind)) if kind is not None else rows
-    out = named.withColumn("version", F.lit(version)).withColumn("check", _check())
+    out = named.withColumn("version", F.lit(version)).withColumn("check", check())
     return out.select(*[F.col(c).cast(t) for c, t in (x.split() for x in ROW.split(", "))])
 
 
@@ -93,7 +93,7 @@ def lookup(wanted: DataFrame, path: str, kind: str, version: int = VERSION, digi
     table = read(wanted.sparkSession, path)
     if table is None:
         return wanted.withColumn("found", F.lit("miss")).withColumn("payload", F.lit(None).cast("string"))
-    own = table.where(F.col("kind") == kind).withColumn("sound", F.coalesce(F.col("check") == _check(), F.lit(False)))
+    own = table.where(F.col("kind") == kind).withColumn("sound", F.coalesce(F.col("check") == check(), F.lit(False)))
     own = own.select(F.col("part").alias("__part"), F.col("digest").alias("__digest"), F.struct("version", "size", "sound", "payload").alias("__row"))
     w = wanted.withColumn("__p", _part(digits))
     j = w.join(own, (w["__p"] == own["__part"]) & (w["digest"] == own["__digest"]), "left")

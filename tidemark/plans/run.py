@@ -18,13 +18,12 @@ Kana ranking (functions.kana.best_titles) is no part of a run.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import names, text
-from ..operators import agreement, align, pairing, ranking, runtime, verdict, witness
+from ..operators import agreement, align, applying, pairing, ranking, runtime, verdict, witness
 
 GROUP = ["cluster_title", "cluster_season", "cluster_group", "cluster_dir"]
 
@@ -217,13 +216,14 @@ def heard_there(judged: DataFrame, files: DataFrame, heard: DataFrame) -> DataFr
 
 def sync(
     items: DataFrame, references: DataFrame, files: DataFrame, tags: dict[str, str] | None = None, keep_all: bool = False, alias: DataFrame | None = None, heard: DataFrame | None = None,
-    settled: DataFrame | None = None, answers: DataFrame | None = None, scratch: str | None = None,
+    settled=None, answers: DataFrame | None = None, scratch: str | None = None,
 ) -> DataFrame:
     """One row per measured pair: segments, verdict, action and the name to write.
 
     ``alias``: (key, entity); ``heard``: transcript windows; ``settled``: videos
-    (video) that operators.state found to have nothing to do, and ``answers`` the
-    files (path, video) that answer them.  Names, fits and verdicts are read
+    (video) that operators.state found to have nothing to do, or a function that
+    finds them among the candidates, and ``answers`` the files (path, video) that
+    answer them.  Names, fits and verdicts are read
     several times: they are written below ``scratch``, a shared folder, or else
     checkpointed or cached.
     """
@@ -233,6 +233,7 @@ def sync(
     p = keep(parsed(items, tags), "names")
     e = keep(edges(p, references, alias), "candidates")
     if settled is not None:
+        settled = settled(e) if callable(settled) else settled
         e = e.join(settled.select("video").distinct(), "video", "left_anti")
     # fits are used by clusters and by verdicts
     fits = keep(measure(e.withColumnRenamed("score", "title_score"), references, files), "fits")
@@ -333,26 +334,8 @@ def write_ndjson(results: DataFrame, path: str) -> None:
     results.write.mode("errorifexists").json(path)
 
 
-def apply(results: DataFrame, rendered: DataFrame, trash: str, dry_run: bool = True) -> list[tuple[str, str]]:
-    """Write winners, then move superseded files to a trash folder; on the driver, file by file.
-
-    Nothing is written over an existing file and nothing is deleted; a dry run
-    only tells.  Rows stream to the driver one partition at a time.
-    """
-    local = lambda p: p.removeprefix("file://").removeprefix("file:")
-    done = []
-    todo = results.where("action = 'write'").join(rendered.where("status = 'OK'").select(F.col("path").alias("subtitle"), "content"), "subtitle")
-    for r in todo.select("target", "content").toLocalIterator():
-        done.append(("write", local(r["target"])))
-        if not dry_run:
-            with open(local(r["target"]), "xb") as f:
-                f.write(bytes(r["content"]))
-    for r in results.where("action = 'supersede'").select("subtitle").distinct().toLocalIterator():
-        path, n = local(r["subtitle"]), 0
-        while os.path.exists(slot := os.path.join(trash, f"{os.path.basename(path)}.{n}")):
-            n += 1
-        done.append(("trash", path))
-        if not dry_run:
-            os.makedirs(trash, exist_ok=True)
-            os.rename(path, slot)
-    return done
+def apply(results: DataFrame, rendered: DataFrame, trash: str, dry_run: bool = True, force: bool = False, name: str = "") -> DataFrame:
+    """Outcomes of writing winners and moving superseded files to the trash (``operators.applying``), stored."""
+    todo = scratch.stored(applying.intents(results, trash, force, name), "intents")
+    contents = rendered.where("status = 'OK'").select("path", "content")
+    return scratch.stored(applying.apply(todo, contents, trash, dry_run), "outcomes")
