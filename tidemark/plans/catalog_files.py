@@ -150,18 +150,28 @@ def text_grams(spark, d):
     )
 
 
-@query("""WITH t AS (SELECT c_custkey AS id, c_custkey % 4 AS k FROM customer)
-SELECT id, (['国学', 'カガク', 'it''s "x"', '広い 剣'])[k + 1] AS folded, (['han', 'kana', 'latin', 'kana'])[k + 1] AS majority, (['cjk', 'cjk', 'latin', 'cjk'])[k + 1] AS script,
-       k <> 2 AS crosses, (['国学', 'かがく', 'it''s "x"', '広い 剣'])[k + 1] AS hiragana, 'show tale' AS split_key FROM t""")
+#: Characters that stand for digits: variants of kanji and what they fold to, katakana and hiragana.
+VARIANTS, FOLDED, KATAKANA, HIRAGANA = "劍戀戰廣國學實櫻氣歸", "剣恋戦広国学実桜気帰", "カキクケコサシスセソ", "かきくけこさしすせそ"
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS id, p_partkey::VARCHAR AS k, p_size % 2 = 0 AS even, substr(p_name, 1, p_size % 9) AS w, p_name, p_brand FROM part),
+n AS (SELECT *, length(k) AS han, CASE WHEN even THEN length(k) ELSE 0 END AS kana, length(regexp_replace(w, '[^A-Za-z]', '', 'g')) AS latin, chr(39) || chr(34) AS quotes,
+  translate(k, '0123456789', '{FOLDED}') AS a, CASE WHEN even THEN translate(k, '0123456789', '{KATAKANA}') ELSE '' END AS b FROM p)
+SELECT id, a || b || quotes || w AS folded, CASE WHEN (han + kana) * 2 < han + kana + latin THEN 'latin' WHEN kana * 10 >= kana + han THEN 'kana' ELSE 'han' END AS majority,
+  CASE WHEN latin > 0 THEN 'mixed' ELSE 'cjk' END AS script, true AS crosses, a || translate(b, '{KATAKANA}', '{HIRAGANA}') || quotes || w AS hiragana,
+  trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^0-9a-z]+', ' ', 'g')) AS split_key FROM n""")
 def script_folds(spark, d):
-    k = F.col("c_custkey") % 4
-    raw = F.element_at(F.array(F.lit("國學"), F.lit("カガク"), F.lit("it’s “x”"), F.lit("廣い 劍")), (k + 1).cast("int"))
-    folded = text.fold_cjk_variants(text.fold_quotes(raw))
-    return table(spark, d, "customer").select(
-        F.col("c_custkey").alias("id"), folded.alias("folded"), text.majority_script(raw).alias("majority"), text.script_of(raw).alias("script"),
-        text.cross_script(text.script_of(raw), F.lit("latin")).alias("crosses"), text.kata_to_hira(folded).alias("hiragana"),
-        text.split_key(F.concat(F.col("c_custkey").cast("string"), F.lit(" "), F.lpad(F.col("c_custkey").cast("string"), 5, "0"), F.lit(" "))).isNotNull().cast("string").alias("split_key"),
-    ).withColumn("split_key", text.split_key(F.concat(F.lpad(F.col("id").cast("string"), 6, "0"), F.lit(" Show [Tag]（x） Tale!"))))
+    """Titles of every part in kanji variants, katakana, quotes and the first letters of its name."""
+    k = F.col("p_partkey").cast("string")
+    kana = F.when(F.col("p_size") % 2 == 0, F.translate(k, "0123456789", KATAKANA)).otherwise("")
+    raw = F.concat(F.translate(k, "0123456789", VARIANTS), kana, F.lit("’“"), F.substr("p_name", F.lit(1), F.col("p_size") % 9))
+    folder = F.concat(F.lpad(k, 6, "0"), F.lit(" "), "p_name", F.lit(" [Tag]（x） "), "p_brand", F.lit("!"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), raw.alias("raw"), folder.alias("folder"))
+    folded = text.fold_cjk_variants(text.fold_quotes(F.col("raw")))
+    return p.select(
+        "id", folded.alias("folded"), text.majority_script(F.col("raw")).alias("majority"), text.script_of(F.col("raw")).alias("script"),
+        text.cross_script(text.script_of(F.col("raw")), F.lit("latin")).alias("crosses"), text.kata_to_hira(folded).alias("hiragana"), text.split_key(F.col("folder")).alias("split_key"),
+    )
 
 
 @query("""WITH t AS (SELECT s_suppkey AS id, s_suppkey % 5 AS k FROM supplier)
@@ -459,12 +469,11 @@ def run_candidates(spark, d):
     return run.edges(run.stored(run.parsed(items, {"en": "en", "ja": "ja"}))).select("video", "subtitle", "speculative")
 
 
-@query(f"""WITH {MOMENTS}, o AS (SELECT pair_id, list_sort(list(round(t - 29e-2, 6))) AS starts FROM moments WHERE side = 0 GROUP BY pair_id)
-SELECT pair_id, len(starts) AS n, starts[1] AS first, starts[-1] AS last FROM o WHERE len(starts) >= 10""")
+@query(f"""WITH {MOMENTS}, o AS (SELECT pair_id, side, list_sort(list(round(t - 29e-2, 6))) AS starts FROM moments GROUP BY pair_id, side)
+SELECT pair_id, side, len(starts) AS n, starts[1] AS first, starts[-1] AS last FROM o WHERE len(starts) >= 10""")
 def speech_references(spark, d):
-    r, _ = inputs.sides(spark, d)
-    s = align.speech_reference(r, ["pair_id"], least=10)
-    return s.select("pair_id", F.size("starts").cast("long").alias("n"), F.round(F.element_at("starts", 1), 6).alias("first"), F.round(F.element_at("starts", -1), 6).alias("last"))
+    s = align.speech_reference(inputs.moments(spark, d), ["pair_id", "side"], least=10)
+    return s.select("pair_id", "side", F.size("starts").cast("long").alias("n"), F.round(F.element_at("starts", 1), 6).alias("first"), F.round(F.element_at("starts", -1), 6).alias("last"))
 
 
 @query("""WITH w AS (SELECT o_orderkey AS k FROM orders), r AS (SELECT l_orderkey AS k, bool_or(l_linenumber % 2 = 0) AS fresh FROM lineitem WHERE l_orderkey % 3 > 0 GROUP BY 1)
