@@ -126,7 +126,7 @@ def likely(items: DataFrame, alias: DataFrame | None = None) -> DataFrame:
     meet by episode alone, each kind in a join of its own.
     """
     v, s = (items.where(F.col("kind") == kind) for kind in ("video", "subtitle"))
-    by_title = v.join(likely_titles(items, alias), "key")
+    by_title = v.join(scratch.stored(likely_titles(items, alias), "titles"), "key")
     met = pairing.block(by_title.select("path", "s_key", "season", "episode"), s.withColumnRenamed("key", "s_key").select("path", "s_key", "season", "episode"), ["s_key"])
     han, empty = F.col("script").isin("cjk", "mixed"), F.col("key") == ""
     for a, b in ((han, ~han), (~han, han), (empty, F.lit(True)), (F.lit(True), empty)):
@@ -140,7 +140,7 @@ def edges(items: DataFrame, references: DataFrame | None = None, alias: DataFram
     Pairs grow with titles that are alike, not with the files of an episode (``likely``).
     ``items`` is read many times and should be stored or cached.
     """
-    pairs = likely(items, alias)
+    pairs = scratch.stored(likely(items, alias), "likely")  # several joins below read it
     v, s = numbered(items, series_pairs(items, alias))
     shifted = pairing.block(v, s, ["key"]).where("speculative")
     met = pairs.select("video", "subtitle").union(shifted.select("video", "subtitle"))
