@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from ..functions import names, text
-from ..operators import agreement, align, applying, pairing, ranking, runtime, verdict, witness
+from ..operators import agreement, align, applying, opinions, pairing, ranking, runtime, verdict, witness
 
 GROUP = ["cluster_title", "cluster_season", "cluster_group", "cluster_dir"]
 
@@ -55,8 +55,12 @@ def scan(spark: SparkSession, videos: str, subtitles: str | None = None) -> Data
     return items.where(F.col("kind").isNotNull() & ~names.is_junk(F.col("name")) & ~names.is_creditless(F.col("name")))
 
 
-def parsed(items: DataFrame, tags: dict[str, str]) -> DataFrame:
-    """Items with title key, tokens, season, episode, group, language and flags."""
+def parsed(items: DataFrame, tags: dict[str, str], others: DataFrame | None = None) -> DataFrame:
+    """Items with title key, tokens, season, episode, group, language and flags.
+
+    The episode is what the name, its folder's scheme and ``others`` (path, parser,
+    episode, season) come to; ``candidates`` are all that were proposed.
+    """
     cue = F.col("kind") == "subtitle"
     side = names.sidecar(F.col("name"), tags)
     base = items.withColumn("side", side).withColumn("stem", F.when(cue, F.col("side.stem")).otherwise(F.regexp_replace("name", r"\.[^.]*$", "")))
@@ -66,9 +70,11 @@ def parsed(items: DataFrame, tags: dict[str, str]) -> DataFrame:
         F.col("p.season").alias("season"), F.col("p.episode").alias("episode"), F.lower("p.group").alias("group"), F.col("p.kind").alias("name_kind"),
     )
     p = p.withColumn("key", text.title_key(F.col("title"))).withColumn("tokens", text.title_tokens(F.col("title"))).withColumn("signature", text.signature_of(F.col("title"))).withColumn("script", text.script_of(F.col("title")))
+    seen = opinions.settle(p.withColumn("kind", F.col("name_kind")), others)
+    p = p.drop("episode", "season").join(seen.withColumnRenamed("state", "vote"), "path")
     # films are what has no number at all
     two = frozenset(k for k in tags if len(k) == 2)
-    films = p.where(F.col("episode").isNull() & F.col("season").isNull()).select("name").distinct().withColumn("f", names.read_films(F.col("name"), tags=two)).where(F.col("f.refusal").isNull())
+    films = p.where((F.size("candidates") == 0) & F.col("season").isNull()).select("name").distinct().withColumn("f", names.read_films(F.col("name"), tags=two)).where(F.col("f.refusal").isNull())
     films = films.select("name", F.lit(True).alias("film"), text.title_key(F.col("f.title")).alias("film_key"), F.col("f.year").alias("year"), F.col("f.edition").alias("edition"))
     return p.join(films, "name", "left").withColumn("film", F.coalesce("film", F.lit(False)))
 
@@ -125,7 +131,9 @@ def likely(items: DataFrame, alias: DataFrame | None = None) -> DataFrame:
     Titles of other scripts and empty ones can't be told apart by their letters: they
     meet by episode alone, each kind in a join of its own.
     """
-    v, s = (items.where(F.col("kind") == kind) for kind in ("video", "subtitle"))
+    # a name whose readings differ meets by each of them; timing decides
+    proposed = items.withColumn("episode", F.explode("candidates")) if "candidates" in items.columns else items
+    v, s = (proposed.where(F.col("kind") == kind) for kind in ("video", "subtitle"))
     by_title = v.join(scratch.stored(likely_titles(items, alias), "titles"), "key")
     met = pairing.block(by_title.select("path", "s_key", "season", "episode"), s.withColumnRenamed("key", "s_key").select("path", "s_key", "season", "episode"), ["s_key"])
     han, empty = F.col("script").isin("cjk", "mixed"), F.col("key") == ""
