@@ -18,16 +18,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import discard, stored
-from .align import Settings, differences
+from .align import Settings, difference_counts, differences_near
 
 
-def density_runs(diffs: DataFrame, keys: list[str], s: Settings = Settings()) -> DataFrame:
-    """``keys, lo, hi, dense``: the bins of an offset histogram, smoothed by a box, as runs of one height above zero."""
+def binned(diffs: DataFrame, keys: list[str], s: Settings = Settings()) -> DataFrame:
+    """``keys, bin, n``: how many differences each bin has."""
+    b = F.floor((F.col("d") + s.window) / s.bin).cast("long")
+    return diffs.groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def density_runs(counts: DataFrame, keys: list[str], s: Settings = Settings()) -> DataFrame:
+    """``keys, lo, hi, dense``: the bins of an offset histogram (keys, bin, n), smoothed by a box, as runs of one height above zero."""
     bins = int(2 * s.window / s.bin) + 1
     half = (int(round(2 * s.tol / s.bin)) | 1) // 2
-    b = F.floor((F.col("d") + s.window) / s.bin).cast("int")
-    d = diffs.select(*keys, b.alias("b")).where((F.col("b") >= 0) & (F.col("b") < bins))
-    ends = F.array(F.struct(F.greatest(F.col("b") - half, F.lit(0)).alias("at"), F.lit(1).alias("by")), F.struct((F.col("b") + half + 1).alias("at"), F.lit(-1).alias("by")))
+    d = counts.select(*keys, F.col("bin").cast("int").alias("b"), "n").where((F.col("b") >= 0) & (F.col("b") < bins))
+    ends = F.array(F.struct(F.greatest(F.col("b") - half, F.lit(0)).alias("at"), F.col("n").alias("by")), F.struct((F.col("b") + half + 1).alias("at"), (-F.col("n")).alias("by")))
     steps = d.select(*keys, F.inline(ends)).where(F.col("at") < bins).groupBy(*keys, "at").agg(F.sum("by").alias("by")).where("by <> 0")
     w = Window.partitionBy(*keys).orderBy("at")
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -67,37 +72,84 @@ def _bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _weighted_middle(xs: Column) -> Column:
+    """Median of a sorted array of (d, n), in which d stands n times; null if it is empty."""
+    none = F.lit(None).cast("double")
+    start = F.struct(F.lit(0).cast("long").alias("so_far"), none.alias("low"), none.alias("high"))
+
+    def middle(total: Column) -> Column:
+        def add(acc: Column, x: Column) -> Column:
+            n = acc["so_far"] + x["n"]
+            at = lambda name, k: F.coalesce(acc[name], F.when(n > k, x["d"])).alias(name)
+            return F.struct(n.alias("so_far"), at("low", F.floor((total - 1) / 2)), at("high", F.floor(total / 2)))
+
+        return F.aggregate(xs, start, add, lambda acc: (acc["low"] + acc["high"]) / 2)
+
+    return _bound(F.aggregate(xs, F.lit(0).cast("long"), lambda n, x: n + x["n"]), middle)
+
+
+def _centred(runs: DataFrame, keys: list[str], most: int, s: Settings) -> DataFrame:
+    """``keys, rank, dense, centre, narrow`` of the densest plateaus; narrow ones are to move to a median."""
+    top = plateaus(runs, keys, most, s)
+    centre = F.floor((F.col("first") + F.col("last")) / 2) * s.bin - s.window
+    return top.select(*keys, "rank", "dense", centre.alias("centre"), ((F.col("last") - F.col("first")) * s.bin < s.tol).alias("narrow"))
+
+
+def _reach(s: Settings) -> float:
+    """How far from a centre its medians can lead."""
+    return s.tol * s.refine_passes + s.bin
+
+
+def _moved(top: DataFrame, near: DataFrame, keys: list[str], s: Settings) -> DataFrame:
+    """``keys, rank, offset, dense``: narrow centres moved to the median of what is ``near`` (keys, rank, ds: sorted (d, n)), as often as set."""
+    step = lambda o, _: _bound(F.filter("ds", lambda x: F.abs(x["d"] - o) <= s.tol), lambda n: F.coalesce(_weighted_middle(n), o))
+    passes = F.sequence(F.lit(1), F.lit(s.refine_passes)) if s.refine_passes else F.array().cast("array<int>")
+    none = F.array().cast("array<struct<d:double,n:bigint>>")
+    found = top.join(near, [*keys, "rank"], "left").withColumn("ds", F.coalesce("ds", none))
+    return found.select(*keys, "rank", F.aggregate(passes, F.col("centre"), step).alias("offset"), "dense")
+
+
 def peaks(diffs: DataFrame, keys: list[str], most: int, s: Settings = Settings()) -> DataFrame:
     """``keys, rank, offset, dense``: centres of the densest plateaus of differences.
 
     Where a plateau is narrower than the tolerance its centre moves to the median of
     the differences around it, as often as set.
     """
-    top = plateaus(density_runs(diffs, keys, s), keys, most, s)
-    top = top.select(*keys, "rank", "dense", (F.floor((F.col("first") + F.col("last")) / 2) * s.bin - s.window).alias("centre"), ((F.col("last") - F.col("first")) * s.bin < s.tol).alias("narrow"))
-    reach = s.tol * s.refine_passes + s.bin
+    top, reach = _centred(density_runs(binned(diffs, keys, s), keys, s), keys, most, s), _reach(s)
     cell = lambda c: F.floor(c / (2 * reach)).cast("long")
-    near = F.when(F.col("narrow"), F.sequence(cell(F.col("centre") - reach), cell(F.col("centre") + reach)))
-    asked = top.select(*keys, "rank", "dense", "centre", F.explode_outer(near).alias("cell"))
-    d = diffs.select(*keys, "d", cell(F.col("d")).alias("cell"))
-    found = asked.join(d, [*keys, "cell"], "left").groupBy(*keys, "rank", "dense", "centre")
-    ds = F.array_sort(F.collect_list(F.when(F.abs(F.col("d") - F.col("centre")) <= reach, F.col("d"))))
-    step = lambda o, _: _bound(F.filter("ds", lambda x: F.abs(x - o) <= s.tol), lambda n: F.coalesce(_middle(n), o))
-    passes = F.sequence(F.lit(1), F.lit(s.refine_passes)) if s.refine_passes else F.array().cast("array<int>")
-    return found.agg(ds.alias("ds")).select(*keys, "rank", F.aggregate(passes, F.col("centre"), step).alias("offset"), "dense")
+    asked = top.where("narrow").select(*keys, "rank", "centre", F.explode(F.sequence(cell(F.col("centre") - reach), cell(F.col("centre") + reach))).alias("cell"))
+    d = diffs.groupBy(*keys, "d").agg(F.count("*").alias("n")).withColumn("cell", cell(F.col("d")))
+    found = asked.join(d, [*keys, "cell"]).where(F.abs(F.col("d") - F.col("centre")) <= reach)
+    near = found.groupBy(*keys, "rank").agg(F.array_sort(F.collect_list(F.struct("d", "n"))).alias("ds"))
+    return _moved(top, near, keys, s)
+
+
+def stream_peaks(ref: DataFrame, sub: DataFrame, keys: list[str], s: Settings = Settings(), local: bool = True) -> DataFrame:
+    """``keys, bucket, rank, offset, dense``: peaks of the whole running time (bucket -1) and, if asked, of each stretch that has enough differences.
+
+    Differences are counted where they are made, by bin and then, near narrow
+    plateaus, by value; no table holds a row for each of them.
+    """
+    counts = stored(difference_counts(ref, sub, keys, s.window, s.bin, s.bucket), "differences")
+    whole = counts.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
+    of = [*keys, "bucket"]
+    top = _centred(density_runs(whole, keys, s), keys, s.global_peaks, s).select(*keys, F.lit(-1).alias("bucket"), "rank", "dense", "centre", "narrow")
+    if local:
+        each = counts.where("cell >= 0").withColumn("bucket", F.col("cell").cast("int"))
+        full = each.groupBy(*of).agg(F.sum("n").alias("total")).where(F.col("total") >= s.min_cues).select(*of)
+        top = top.union(_centred(density_runs(each.join(full, of, "left_semi"), of, s), of, s.bucket_peaks, s).select(*of, "rank", "dense", "centre", "narrow"))
+    top = stored(top, "plateaus")
+    near = differences_near(ref, sub, top.where("narrow").select(*of, "rank", "centre"), keys, _reach(s), s.window, s.bucket)
+    near = near.groupBy(*of, "rank").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("ds"))
+    return _moved(top, near, of, s)
 
 
 def offset_candidates(ref: DataFrame, sub: DataFrame, keys: list[str], s: Settings = Settings()) -> DataFrame:
     """``keys, cand, offset``: peaks over the whole running time, then those of each stretch of it that are clear of all before."""
-    d = differences(ref.where("t is not null"), sub.where("t is not null"), keys, s.window).withColumn("bucket", F.floor(F.col("r") / s.bucket).cast("int"))
-    whole = peaks(d, keys, s.global_peaks, s).select(*keys, F.lit(-1).alias("bucket"), "rank", "offset")
-    of = [*keys, "bucket"]
-    full = d.where("bucket >= 0").groupBy(*of).agg(F.count("*").alias("n")).where(F.col("n") >= s.min_cues).drop("n")
-    local = peaks(d.join(full, of, "left_semi"), of, s.bucket_peaks, s).select(*of, "rank", "offset")
     rows = F.array_sort(F.collect_list(F.struct("bucket", "rank", "offset")))
     clear = lambda found, p: (p["bucket"] < 0) | F.forall(found, lambda c: F.abs(p["offset"] - c) > s.separation)
     kept = F.aggregate(rows, F.array().cast("array<double>"), lambda found, p: F.when(clear(found, p), F.concat(found, F.array(p["offset"]))).otherwise(found))
-    both = whole.union(local).groupBy(*keys).agg(kept.alias("found"))
+    both = stream_peaks(ref, sub, keys, s).groupBy(*keys).agg(kept.alias("found"))
     return both.select(*keys, F.posexplode("found").alias("cand", "offset"))
 
 

@@ -46,7 +46,7 @@ p AS (SELECT r.pair_id, floor((r.t - a.t + 120e0) / 1e-2)::BIGINT AS bin FROM mo
 h AS (SELECT pair_id, bin, count(*) AS n FROM p GROUP BY 1, 2)
 SELECT pair_id, bin, n, sum(n) OVER (PARTITION BY pair_id ORDER BY bin RANGE BETWEEN 35 PRECEDING AND 35 FOLLOWING)::BIGINT AS smooth FROM h""")
 def offset_histogram(spark, d):
-    return align.offset_histogram(align.differences(*inputs.sides(spark, d), K), K)
+    return align.offset_histogram(*inputs.sides(spark, d), K)
 
 
 HITS = """
@@ -279,7 +279,7 @@ d AS (SELECT r.pair_id, r.t AS r, r.t - a.t AS d, floor(r.t / 120e0)::INT AS buc
 SELECT pair_id, rank, dense, round(o3, 6) AS "offset" FROM w_m3""")
 def offset_peaks(spark, d):
     """The densest offsets of every pair over the whole running time."""
-    x = splits.peaks(align.differences(*inputs.sides(spark, d), K), K, 6)
+    x = splits.stream_peaks(*inputs.sides(spark, d), K, local=False)
     return x.select("pair_id", "rank", "dense", F.round("offset", 6).alias("offset"))
 
 
