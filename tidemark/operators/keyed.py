@@ -4,8 +4,8 @@ Rows are ``digest`` (hex), ``kind``, ``size``, ``version``, ``written_at``, ``pa
 (JSON or any text) and a check of these, in Parquet folders by the first digits of the
 digest.  An upsert reads and replaces the folders its keys fall into; of the rows of
 one key the latest stands, so that the order in which batches come, and whether one
-comes twice, makes no difference.  The merged rows are stored before they replace
-anything: a run that ends in between can be repeated.
+comes twice, makes no difference.  The merged rows are written beside the table before
+they replace anything: a run that ends in between can be repeated.
 
 Defined results: a row of another version is stale, one whose check or size doesn't
 fit is damaged, and files that can't be read are passed over; all these are misses,
@@ -22,6 +22,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..scratch import discard, stored
 
 VERSION = 1
+#: Rows of a file, so that tasks that merge are more where rows are more.
+FILE = 1 << 18
 KEY = ["digest", "kind"]
 ROW = "digest string, kind string, size long, version int, written_at timestamp, payload string, check long"
 
@@ -56,21 +58,40 @@ def latest(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEY).agg(top.alias("x")).select(*KEY, "x.*").select(*rows.columns)
 
 
-def upsert(path: str, rows: DataFrame, digits: int = 2, files: int = 1) -> None:
+def merged(rows: DataFrame, parts: int, files: int = 1) -> DataFrame:
+    """``latest`` of rows with ``part``, dealt as they are written: a folder's digests over ``files`` tasks.
+
+    One shuffle serves both, as a key's rows are in one folder and file; hex digests
+    go through it as bytes.
+    """
+    packed = F.unhex("digest")
+    hexed = F.coalesce(F.lower(F.hex(packed)) == F.col("digest"), F.lit(False))
+    cols = [c for c in rows.columns if c not in (*KEY, "written_at", "part")]
+    at = F.pmod(F.xxhash64("digest"), F.lit(files)).alias("__at")
+    own = ["part", "__at", "__bytes", "__text", "kind"]
+    x = rows.select("part", at, F.when(hexed, packed).alias("__bytes"), F.when(~hexed, F.col("digest")).alias("__text"), "kind", "written_at", *cols)
+    # more tasks than files, or several would fall into one task; those without rows write nothing
+    x = x.repartition(4 * parts * files, "part", "__at")
+    top = x.groupBy(*own).agg(F.max(F.struct("written_at", *cols)).alias("x"))
+    digest = F.coalesce(F.lower(F.hex("__bytes")), "__text").alias("digest")
+    return top.select(digest, "kind", "x.*", "part").select(*rows.columns)
+
+
+def upsert(path: str, rows: DataFrame, digits: int = 2, files: int | None = None) -> None:
     """Merge rows of ``entries`` into the table; only folders of their digests are written.
 
-    ``files`` is how many files a folder gets; its rows are dealt over them by digest.
+    ``files`` is how many files a folder gets, by default one for ``FILE`` rows to be
+    merged; its rows are dealt over them by digest.
     """
     spark = rows.sparkSession
-    new = stored(latest(rows.where("digest is not null")).withColumn("part", _part(digits)), "upsert")
+    new = stored(rows.where("digest is not null").withColumn("part", _part(digits)), "upsert", compression="zstd")
     parts = [r[0] for r in new.select("part").distinct().collect()]  # 16 ** digits at most
     if parts:
         old = read(spark, path)
-        whole = new if old is None else latest(old.where(F.col("part").isin(parts)).unionByName(new))
-        merged = stored(whole, "merged")
-        dealt = merged.repartition(len(parts) * files, "part", F.pmod(F.xxhash64("digest"), F.lit(files)))
-        dealt.sortWithinPartitions("part", *KEY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
-        discard(merged)
+        whole = new if old is None else old.where(F.col("part").isin(parts)).unionByName(new)
+        files = files or 1 + whole.count() // (len(parts) * FILE)  # from the files' footers
+        # all folders are written beside the table before one of them is replaced
+        merged(whole, len(parts), files).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("part").parquet(path)
     discard(new)
 
 
