@@ -46,3 +46,14 @@ def test_likely_pairs_lose_none_that_is_not_surely_different(spark):
     every = pairing.block(items.where("kind = 'video'"), items.where("kind = 'subtitle'"))
     few = run.likely(items, alias)
     assert kept(few) == kept(every) and few.count() < every.count()
+
+
+def test_titles_whose_files_share_no_episode_are_not_compared(spark, monkeypatch):
+    # films have no episode, the second series' numberings never meet
+    rows = [(f"/{k}/{t}{n}", k, t, None, e) for k in ("video", "subtitle") for n in range(3) for t, e in (("Harbor One", None), ("Tide", float(n)), ("Tale", n + 10.0 * (k == "video") + 20))]
+    x = spark.createDataFrame(rows, "path string, kind string, title string, season int, episode double").withColumn("candidates", F.when(F.col("episode").isNull(), F.array().cast("array<double>")).otherwise(F.array("episode")))
+    items = x.withColumn("key", text.title_key(F.col("title"))).withColumn("tokens", text.title_tokens(F.col("title"))).withColumn("signature", text.signature_of(F.col("title"))).withColumn("script", text.script_of(F.col("title"))).cache()
+    seen, compare = [], run.likely_titles
+    monkeypatch.setattr(run, "likely_titles", lambda some, alias=None: seen.append({r["key"] for r in some.select("key").distinct().collect()}) or compare(some, alias))
+    got = {(r["video"], r["subtitle"]) for r in run.likely(items).collect()}
+    assert seen == [{"tide"}] and got == {(f"/video/Tide{n}", f"/subtitle/Tide{n}") for n in range(3)}
