@@ -1,4 +1,5 @@
 import struct
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +105,34 @@ def test_scan_and_render(spark, tmp_path):
 def test_name_ladder(name, season, episode, kind):
     p = names.parse_name(name)
     assert (p["season"], p["episode"], p["kind"]) == (season, episode, kind)
+
+
+def peak_of(task):
+    tracemalloc.start()
+    task()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+@pytest.mark.parametrize("kind", ["srt", "ass", "vtt", "idx"])
+def test_reading_holds_columns_and_not_objects(kind):
+    n = 20000
+    clock = [f"{i // 3600:02}:{i // 60 % 60:02}:{i % 60:02}" for i in range(n + 1)]
+    line = {
+        "srt": lambda i: f"{i + 1}\n{clock[i]},000 --> {clock[i + 1]},000\nline {i}\n\n", "vtt": lambda i: f"{clock[i]}.000 --> {clock[i + 1]}.000\nsay\n\n",
+        "ass": lambda i: f"Dialogue: 0,{clock[i]}.00,{clock[i + 1]}.00,text\n", "idx": lambda i: f"timestamp: {clock[i]}:000, filepos: 000000000\n",
+    }[kind]
+    head = {"srt": "", "vtt": "WEBVTT\n\n", "ass": "[Events]\nFormat: Layer, Start, End, Text\n", "idx": "# VobSub index file, v7\n"}[kind]
+    data = (head + "".join(map(line, range(n)))).encode()
+    rows = []
+    assert peak_of(lambda: rows.append(formats.read_bytes(data, f"a.{kind}"))) < 2 * len(data) + 150 * n
+    row = rows[0]
+    assert len(row["cues"]) == n and row["cues"][-1]["start"] == n - 1 and row["cues"][7]["end"] == 8
+
+
+def test_files_of_a_batch_come_out_in_parts(spark, monkeypatch):
+    made = formats.batch_of([formats.read_bytes(SRT.encode(), "a.srt"), formats.read_bytes(b"", "b.srt"), formats.read_bytes(IDX.encode(), "c.idx")])
+    assert [len(x) for x in made.column("cues").to_pylist()] == [2, 0, 2] and made.column("cues")[2].as_py()[0]["block_at"] is None
+    files = spark.createDataFrame([(f"{i}.srt", SRT.encode()) for i in range(5)], "path string, content binary").coalesce(1)
+    assert formats.read_cue_files(files).selectExpr("size(cues) n").groupBy("n").count().collect()[0][:] == (2, 5)
