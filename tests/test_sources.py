@@ -129,6 +129,10 @@ def test_reading_holds_columns_and_not_objects(kind):
     assert peak_of(lambda: rows.append(formats.read_bytes(data, f"a.{kind}"))) < 2 * len(data) + 150 * n
     row = rows[0]
     assert len(row["cues"]) == n and row["cues"][-1]["start"] == n - 1 and row["cues"][7]["end"] == 8
+    if kind != "idx":
+        new = []
+        assert peak_of(lambda: new.append(rewrite.render(row["text"], row["format"], row["cues"], [{"split": None, "offset": 1.0}]))) < 4 * len(data) + 150 * n
+        assert formats.read_bytes(new[0].encode(), f"a.{kind}")["cues"][-1]["start"] == n
 
 
 def test_files_of_a_batch_come_out_in_parts(spark, monkeypatch):
@@ -136,3 +140,5 @@ def test_files_of_a_batch_come_out_in_parts(spark, monkeypatch):
     assert [len(x) for x in made.column("cues").to_pylist()] == [2, 0, 2] and made.column("cues")[2].as_py()[0]["block_at"] is None
     files = spark.createDataFrame([(f"{i}.srt", SRT.encode()) for i in range(5)], "path string, content binary").coalesce(1)
     assert formats.read_cue_files(files).selectExpr("size(cues) n").groupBy("n").count().collect()[0][:] == (2, 5)
+    broken = formats.read_cue_files(files.limit(1)).selectExpr("*", "array(struct(cast(null as double) as split, -500.0D as offset)) as segments")
+    assert rewrite.render_files(broken).first()["reason"] == "no cue survives"
