@@ -142,3 +142,10 @@ def test_files_of_a_batch_come_out_in_parts(spark, monkeypatch):
     assert formats.read_cue_files(files).selectExpr("size(cues) n").groupBy("n").count().collect()[0][:] == (2, 5)
     broken = formats.read_cue_files(files.limit(1)).selectExpr("*", "array(struct(cast(null as double) as split, -500.0D as offset)) as segments")
     assert rewrite.render_files(broken).first()["reason"] == "no cue survives"
+
+
+def test_few_readings_of_an_unknown_encoding_are_held():
+    data = "привет мир ".encode("cp1251") * 6000
+    found = []
+    peak = peak_of(lambda: found.append(encoding.decode(data)))
+    assert found[0][1:] == ("cp1251", b"") and found[0][0].startswith("привет") and peak < 13 * len(data)
