@@ -60,3 +60,14 @@ def test_stage_drops_edited_copies_that_fingerprints_miss(spark, docs):
     assert (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() > simhash.MAX_BITS
     left = corpus_pipeline.drop_near_copies(spark, docs([(5, a), (3, b), (9, "something else altogether")]), "")
     assert sorted(r["doc_id"] for r in left.collect()) == [3, 9]
+
+
+def test_fingerprints_draw_together_what_no_band_does(docs):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+    a, b = " ".join(base), " ".join([*base[:-1], "edited"])
+    assert (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() <= simhash.MAX_BITS
+    assert not set(near.band_keys(near.shingles(a), 20000, 1, 16)) & set(near.band_keys(near.shingles(b), 20000, 1, 16))
+    rows = [(4, a), (2, b), (7, "something else altogether"), (9, ""), (8, None)]
+    got = {r["doc_id"]: r["component_id"] for r in near.components(docs(rows), rows=20000, bands=1).collect()}
+    assert got == {4: 2, 2: 2, 7: 7, 9: 8, 8: 8}

@@ -1,10 +1,13 @@
 """Near copies: documents whose word shingles have a Jaccard similarity of 0.8 or more.
 
 1. Texts of one shingle set are one class, named by a digest of the set.
-2. Least values under ``bands * rows`` permutations are cut into bands; classes
-   that share a band are drawn together into coarse groups.  A pair of similarity
-   s shares none with probability (1 - s**rows)**bands: 6e-5 at 0.8, less above.
-3. Within a coarse group all pairs are decided by their shingle sets themselves:
+2. SimHash fingerprints are linked by the method of ``simhash``; classes whose
+   fingerprints are in one component are drawn together into coarse groups.
+3. As most pairs at 0.8 differ in more bits, least values under ``bands * rows``
+   permutations are cut into bands; classes that share a band are drawn together
+   too.  A pair of similarity s shares none with probability
+   (1 - s**rows)**bands: 6e-5 at 0.8, less above.
+4. Within a coarse group all pairs are decided by their shingle sets themselves:
    a search from class to class links what is similar and splits the group.
 
 A coarse group of more than ``limit`` shingles is dealt out in blocks, and each
@@ -23,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import connected_components, release, written
 
 SEED = 42
@@ -83,7 +87,8 @@ def _signed(words: int, rows: int, bands: int):
             keys = [band_keys(h, rows, bands) for h in sets]
             flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), _longs([x for k in keys for x in k]))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), _longs([set_digest(h) for h in sets]), pa.array([len(h) for h in sets], pa.int64()), flat], names=["doc_id", "tag", "fp", "n", "keys"]
+                [b.column(0), b.column(1), _longs([set_digest(h) for h in sets]), pa.array([len(h) for h in sets], pa.int64()), flat, _longs([simhash.fingerprint(x.as_py()) for x in b.column(2)])],
+                names=["doc_id", "tag", "fp", "n", "keys", "sim"],
             )
 
     return run
@@ -150,12 +155,20 @@ def _search(similar: float):
     return run
 
 
+def fingerprint_keys(signed: DataFrame) -> DataFrame:
+    """``fp, key``: a key for each component of SimHash fingerprints that a class's texts are in; none for empty sets."""
+    own = signed.where("n > 0").select("fp", "sim").distinct()
+    edges = simhash.links(written(own.select(F.col("sim").alias("fp")).distinct(), "fingerprints"))
+    drawn = own.join(connected_components(edges), F.col("sim") == F.col("node"), "left")
+    return drawn.select("fp", F.xxhash64(F.lit("simhash"), F.coalesce("component", "sim")).alias("key"))
+
+
 def components(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, rows: int = ROWS, bands: int = BANDS, limit: int = LIMIT) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
-    signed = written(keyed.mapInArrow(_signed(words, rows, bands), f"doc_id {kind}, tag long, fp long, n long, keys array<long>"), "bands")
-    index = signed.select("fp", F.explode("keys").alias("key")).distinct()
+    signed = written(keyed.mapInArrow(_signed(words, rows, bands), f"doc_id {kind}, tag long, fp long, n long, keys array<long>, sim long"), "bands")
+    index = signed.select("fp", F.explode("keys").alias("key")).union(fingerprint_keys(signed)).distinct()
     heads = index.groupBy("key").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
     coarse = connected_components(index.join(heads, "key").where("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b")))
     classes = written(
