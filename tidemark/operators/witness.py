@@ -53,16 +53,39 @@ def score_windows(heard: DataFrame, cues: DataFrame, quiet: int = 8, empty: int
     return both.select("video", "start", "said", F.when(fine, containment(F.col("said"), F.col("text"))).alias("here"))
 
 
-def elsewhere(scored: DataFrame, cues: DataFrame, reach: float = 120.0, step: float = 0.5, margin: float = 3.0, empty: int = 4) -> DataFrame:
-    """Per scored window the best share at another place, and the middle of the shifts that reach it."""
+def elsewhere(scored: DataFrame, cues: DataFrame, reach: float = 120.0, step: float = 0.5, margin: float = 3.0, empty: int = 4, width: float = 30.0) -> DataFrame:
+    """Per scored window the best share at another place, and the middle of the shifts that reach it.
+
+    A line stands in a window over one stretch of shifts, so between the ends of
+    these stretches the text stays the same: a window meets its lines once and is
+    compared once a text, not once a shift.
+    """
     n = round(reach / step)
-    shifts = F.explode(F.transform(F.sequence(F.lit(-n), F.lit(n)), lambda k: k * step)).alias("d")
-    moved = scored.where("here is not null").select("video", "start", "said", shifts).where(F.abs("d") > margin)
-    w = written(moved, cues, F.col("d")).where(F.length("text") >= empty)
-    s = w.select("video", "start", F.col("shift").alias("d"), containment(F.col("said"), F.col("text")).alias("share"))
-    top = s.groupBy("video", "start").agg(F.max("share").alias("there"))
-    ties = s.join(top, ["video", "start"]).where("share >= there - 1e-9")
-    return ties.groupBy("video", "start").agg(F.first("there").alias("there"), (-(F.min("d") + F.max("d")) / 2).alias("shift"))
+    near = max(k for k in range(n + 1) if k * step <= margin)  # shifts that are no other place
+    lo, hi = F.col("start") - margin, F.col("start") + width + margin
+    cell = width + 2 * margin + 2 * reach
+    h = scored.where("here is not null").select("video", "start", "said", lo.alias("lo"), hi.alias("hi"))
+    first, last = (F.floor((c + d) / cell).cast("long") for c, d in ((F.col("lo"), -n * step), (F.col("hi"), n * step)))
+    h = h.withColumn("cell", F.explode(F.sequence(first, last)))
+    c = cues.select("video", "at", "text", F.floor(F.col("at") / cell).cast("long").alias("cell"))
+    hit = h.join(c, ["video", "cell"]).where((F.col("at") >= F.col("lo") - n * step) & (F.col("at") <= F.col("hi") + n * step))
+    # first and last shift of a line: the guess or one beside it, by the test itself
+    a, b = F.ceil((F.col("at") - F.col("hi")) / step).cast("int"), F.floor((F.col("at") - F.col("lo")) / step).cast("int")
+    a = F.when(F.col("at") <= F.col("hi") + (a - 1) * step, a - 1).when(F.col("at") <= F.col("hi") + a * step, a).otherwise(a + 1)
+    b = F.when(F.col("at") >= F.col("lo") + (b + 1) * step, b + 1).when(F.col("at") >= F.col("lo") + b * step, b).otherwise(b - 1)
+    lines = F.sort_array(F.collect_list(F.struct("at", "text", a.alias("a"), b.alias("b"))))
+    w = hit.groupBy("video", "start", "said").agg(lines.alias("lines"))
+    ends = F.flatten(F.transform("lines", lambda x: F.array(F.greatest(x["a"], F.lit(-n)), F.least(x["b"], F.lit(n)) + 1)))
+    ends = F.array_sort(F.array_distinct(F.concat(ends, F.array(*map(F.lit, (-n, -near, near + 1, n + 1))))))
+    w = w.withColumn("ends", ends).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("ends") - 2)))
+    w = w.select("video", "start", "said", "lines", F.get("ends", F.col("i")).alias("k"), (F.get("ends", F.col("i") + 1) - 1).alias("to")).where((F.col("k") > near) | (F.col("to") < -near))
+    w = w.withColumn("here", F.filter("lines", lambda x: (x["a"] <= F.col("k")) & (x["b"] >= F.col("k")))).where(F.size("here") > 0)
+    w = w.select("video", "start", "said", "k", "to", F.array_join(F.transform("here", lambda x: x["text"]), "").alias("text")).where(F.length("text") >= empty)
+    s = w.select("video", "start", containment(F.col("said"), F.col("text")).alias("share"), (F.col("k") * step).alias("d0"), (F.col("to") * step).alias("d1"))
+    g = s.groupBy("video", "start").agg(F.max("share").alias("there"), F.collect_list(F.struct("share", "d0", "d1")).alias("each"))
+    ties = F.filter("each", lambda x: x["share"] >= F.col("there") - 1e-9)
+    middle = -(F.array_min(F.transform(ties, lambda x: x["d0"])) + F.array_max(F.transform(ties, lambda x: x["d1"]))) / 2
+    return g.select("video", "start", "there", middle.alias("shift"))
 
 
 def check(heard: DataFrame, cues: DataFrame, match: float = 0.23, min_share: float = 0.75, min_scored: int = 4, gain: float = 0.15, least: float = 0.5) -> DataFrame:
