@@ -165,9 +165,13 @@ def pair_manifests(spark, d):
     k = F.col("o_orderkey")
     v, s = F.concat(F.lit("/v/"), k.cast("string")), F.when(k % 9 != 4, F.concat(F.lit("/s/"), k.cast("string")))
     entry = F.when(k % 2 == 0, F.to_json(F.filter(F.array(v, s), lambda x: x.isNotNull()))).otherwise(F.to_json(F.struct(v.alias("video"), s.alias("subtitle"))))
-    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), entry.alias("e")))), lambda x: x["e"]), ",")
-    whole = table(spark, d, "orders").agg(F.lit(0).alias("n"), F.concat(F.lit("["), rows, F.lit("]")).alias("value"))
-    return tables.read_manifest(spark, _one_file(whole, "manifest"))
+    o = table(spark, d, "orders")
+    end = o.agg(F.max(k).alias("end"))
+    rows = o.crossJoin(F.broadcast(end)).select(F.lit(1).alias("n"), k.alias("k"), F.concat(entry, F.when(k == F.col("end"), "").otherwise(",")).alias("value"))  # one row on the right
+    signs = end.select(F.inline(F.array(*[F.struct(F.lit(n).alias("n"), F.col("end").alias("k"), F.lit(c).alias("value")) for n, c in ((0, "["), (2, "]"))])))
+    path = scratch.stored(end.limit(0), "manifest").scratch + "-lines"
+    rows.union(signs).orderBy("n", "k").select("value").write.text(path)
+    return tables.read_manifest(spark, path)
 
 
 @query("""WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 17 > 0 THEN o_totalprice / 100 - 5 END AS t FROM orders),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -27,10 +27,39 @@ def read_vocabulary(spark: SparkSession, path: str, protected: DataFrame | None
     return v.join(protected, "token", "left_anti") if protected is not None else v
 
 
+def _listed_lines(spark: SparkSession, path: str) -> DataFrame | None:
+    """``seq, entry`` of a JSON list with a line for each entry, whose pieces may be several files in the order of their names; None for other forms."""
+    at = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("id"))
+    lines = spark.read.text(path).select(F.trim("value").alias("value"), at.alias("at"))
+    more, sign = F.endswith("value", F.lit(",")), F.col("value").isin("[", "]")
+    body = F.when(more, F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
+    # one whole value and nothing else: what is put behind it is the second of two
+    two = F.from_json(F.concat(F.lit("["), body, F.lit(",0]")), "array<string>")
+    x = lines.select("value", "at", sign.alias("sign"), more.alias("more"), F.when(~sign, two).alias("two"))
+    entry = ~F.col("sign")
+    whole = (F.size("two") == 2) & (F.get("two", F.lit(1)) == "0")
+    c = x.agg(
+        F.count_if(entry & ~F.coalesce(whole, F.lit(False))).alias("bad"), F.count_if(F.col("sign")).alias("signs"), F.count_if(entry & ~F.col("more")).alias("ends"),
+        F.min_by("value", "at").alias("first"), F.max_by("value", "at").alias("last"), F.max_by("more", F.when(entry, F.col("at"))).alias("open"),
+    ).first()
+    if (c["bad"], c["signs"], c["ends"], c["first"], c["last"], c["open"]) != (0, 2, 1, "[", "]", False):
+        return None
+    rows = x.where(entry).select(F.col("at.f").alias("f"), F.col("at.b").alias("b"), F.col("at.id").alias("id"), F.get("two", F.lit(0)).alias("entry"))
+    blocks = rows.groupBy("f", "b").agg(F.count("*").alias("n"))
+    before = blocks.select("f", "b", (F.sum("n").over(Window.orderBy("f", "b")) - F.col("n")).alias("before"))
+    own = rows.withColumn("r", F.row_number().over(Window.partitionBy("f", "b").orderBy("id")))
+    return own.join(F.broadcast(before), ["f", "b"]).select((F.col("before") + F.col("r") - 1).cast("int").alias("seq"), "entry")  # a row a block
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """``seq, video, subtitle, fault`` of a JSON list of pairs or of objects; faults stay rows."""
-    text = spark.read.text(path, wholetext=True)
-    rows = text.select(F.posexplode_outer(F.from_json("value", "array<string>")).alias("seq", "entry"))
+    """``seq, video, subtitle, fault`` of a JSON list of pairs or of objects; faults stay rows.
+
+    A list with a line for each entry is read in blocks, other forms as one text.
+    """
+    rows = _listed_lines(spark, path)
+    if rows is None:
+        text = spark.read.text(path, wholetext=True)
+        rows = text.select(F.posexplode_outer(F.from_json("value", "array<string>")).alias("seq", "entry"))
     pair, named = F.from_json("entry", "array<string>"), F.from_json("entry", "struct<video:string,subtitle:string>")
     listed = F.col("entry").startswith("[")
     video, sub = F.when(listed, F.get(pair, F.lit(0))).otherwise(named["video"]), F.when(listed, F.get(pair, F.lit(1))).otherwise(named["subtitle"])
