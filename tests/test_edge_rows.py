@@ -27,5 +27,6 @@ def test_edges_are_written_as_lists_of_few_names(spark, tmp_path):
     # 25 titles by turns, 200 videos and 400 cue files each
     spark.range(5000).selectExpr("id * 26 as o_orderkey", "id as o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
     spark.range(10000).selectExpr("id * 31 as p_partkey").write.parquet(f"{tmp_path}/part.parquet")
-    rows, size = written(catalog.QUERIES["candidate_join"](spark, str(tmp_path)), f"{tmp_path}/written")
-    assert rows > 800_000 and size < rows
+    for name in ("candidate_join", "shifted_candidate_join"):
+        rows, size = written(catalog.QUERIES[name](spark, str(tmp_path)), f"{tmp_path}/{name}")
+        assert rows > 800_000 and size < rows
